@@ -1,10 +1,12 @@
 """Assemble oracle SQL: the shared view CTEs plus each query body."""
 
+from oracle.documents import SQL as DOCUMENT_SQL
 from oracle.relational import SQL as RELATIONAL_SQL
 from tidewater.sources.logistics_sql import duckdb_cte_prefix
 
 BODIES: dict[str, str] = {}
 BODIES.update(RELATIONAL_SQL)
+BODIES.update(DOCUMENT_SQL)
 
 
 def oracle_sql() -> dict[str, str]:

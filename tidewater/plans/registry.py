@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.operators import document_jobs as DJ
 from tidewater.operators import relational as R
 from tidewater.sources.tables import Warehouse
 
@@ -73,8 +74,33 @@ RELATIONAL: dict[str, QueryFn] = {
     "f5_default_cap": R.f5_default_cap,
 }
 
+DOCUMENTS: dict[str, QueryFn] = {
+    "i1_i2_parse_status": DJ.i1_i2_parse_status,
+    "i3_lenient_check": DJ.i3_lenient_check,
+    "i4_long_fields": DJ.i4_long_fields,
+    "i6_overall_confidence": DJ.i6_overall_confidence,
+    "i9_review_summary": DJ.i9_review_summary,
+    "i10_rule_warnings": DJ.i10_rule_warnings,
+    "i15_completeness": DJ.i15_completeness,
+    "i16_auto_link": DJ.i16_auto_link,
+    "i17_notes": DJ.i17_notes,
+    "i18_review_merge": DJ.i18_review_merge,
+    "i18_unknown_reviews": DJ.i18_unknown_reviews,
+    "i19_manual_link": DJ.i19_manual_link,
+    "i20_field_registry": DJ.i20_field_registry,
+    "i21_confidence_bands": DJ.i21_confidence_bands,
+    "i22_type_rollup": DJ.i22_type_rollup,
+    "i23_bol_fields": DJ.i23_bol_fields,
+    "i23_packing_fields": DJ.i23_packing_fields,
+    "i23_customs_fields": DJ.i23_customs_fields,
+    "i23_invoice_fields": DJ.i23_invoice_fields,
+    "i23_parties": DJ.i23_parties,
+    "i24_typed_threshold": DJ.i24_high_confidence_invoices,
+}
+
 REGISTRY: dict[str, QueryFn] = {}
 REGISTRY.update(RELATIONAL)
+REGISTRY.update(DOCUMENTS)
 
 
 def bind(fn: QueryFn) -> Callable[[SparkSession, str], DataFrame]:

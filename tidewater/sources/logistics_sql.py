@@ -350,9 +350,10 @@ FROM doc_json"""
     first_score = ("CASE k2 WHEN 1 THEN '1.5' WHEN 2 THEN '[0.8, 0.6]' WHEN 3 THEN '{\"value\": 0.55}' "
                    "WHEN 4 THEN '\"0.65\"' WHEN 5 THEN 'null' WHEN 6 THEN '{\"score\": 0.33}' "
                    "WHEN 7 THEN '[\"n/a\", 0.9]' WHEN 8 THEN '0.7' WHEN 9 THEN '0.4' WHEN 10 THEN '-0.2' "
-                   "WHEN 11 THEN '0.1' ELSE NULL END")
+                   "WHEN 11 THEN '0.1' END")
     body = ("'{\"fields\": ' || fields_json || ', \"confidence_scores\": ' || "
-            "CASE WHEN k2 = 0 THEN conf_json ELSE regexp_replace(conf_json, '^[{](\"[a-z_]+\"): [^,}]+', "
+            "CASE WHEN k2 = 0 THEN conf_json WHEN k2 = 12 THEN regexp_replace(conf_json, '^[{]\"[a-z_]+\": [^,}]+, ', '{') "
+            "ELSE regexp_replace(conf_json, '^[{](\"[a-z_]+\"): [^,}]+', "
             "'{$1: ' || " + first_score + ") END || "
             "', \"document_type\": \"' || document_type || '\", \"notes\": \"' || "
             "CASE WHEN k2 = 12 THEN 'faint stamp' ELSE '' END || '\"}'")

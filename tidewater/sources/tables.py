@@ -7,12 +7,18 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.session import ensure_checkpoint_dir
 from tidewater.sources.logistics_sql import view_sql
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
+# Views that stand for stored input tables: materialised once (reliable
+# checkpoint in the shared folder) so their generating expressions are not
+# re-planned into every job that parses them.
+MATERIALISED = {"raw_responses"}
+
 LOGISTICS_VIEWS = [
     "customers", "carriers", "shipments", "shipment_charges", "tracking_events", "invoices",
     "extracted_documents",
@@ -63,12 +69,38 @@ class Warehouse:
                 self._frames[name] = df
             df.createOrReplaceTempView(name)
 
+    def memo(self, key: str, build) -> DataFrame:
+        """A job stage written once to the shared checkpoint folder and reused.
+
+        Used for multi-stage row pipelines whose output is a stored table in
+        production; it also stops Catalyst from re-inlining expensive stage
+        expressions into later filters.
+        """
+        df = self._frames.get(f"__memo_{key}")
+        if df is None:
+            ensure_checkpoint_dir(self.spark)
+            df = build().checkpoint(eager=True)
+            self._frames[f"__memo_{key}"] = df
+        return df
+
+    def stored(self, name: str) -> DataFrame:
+        """A view materialised as a table, for inputs that are tables in production."""
+        key = f"__stored_{name}"
+        df = self._frames.get(key)
+        if df is None:
+            ensure_checkpoint_dir(self.spark)
+            df = self._frames[name].checkpoint(eager=True)
+            self._frames[key] = df
+        return df
+
     @cached_property
     def _views(self) -> dict[str, str]:
         return view_sql("spark")
 
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("_frames", {})
+        if name in MATERIALISED and name in frames:
+            return self.stored(name)
         if name in frames:
             return frames[name]
         raise AttributeError(name)
