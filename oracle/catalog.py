@@ -2,11 +2,13 @@
 
 from oracle.documents import SQL as DOCUMENT_SQL
 from oracle.relational import SQL as RELATIONAL_SQL
+from oracle.screens import SQL as SCREEN_SQL
 from tidewater.sources.logistics_sql import duckdb_cte_prefix
 
 BODIES: dict[str, str] = {}
 BODIES.update(RELATIONAL_SQL)
 BODIES.update(DOCUMENT_SQL)
+BODIES.update(SCREEN_SQL)
 
 
 def oracle_sql() -> dict[str, str]:

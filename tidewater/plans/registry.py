@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators import document_jobs as DJ
+from tidewater.operators import quality as Q
 from tidewater.operators import relational as R
+from tidewater.operators import screen_jobs as SJ
 from tidewater.sources.tables import Warehouse
 
 QueryFn = Callable[[Warehouse], DataFrame]
@@ -98,9 +100,39 @@ DOCUMENTS: dict[str, QueryFn] = {
     "i24_typed_threshold": DJ.i24_high_confidence_invoices,
 }
 
+SCREENS: dict[str, QueryFn] = {
+    "j1_question_screen": SJ.j1_question_screen,
+    "j2_j3_readonly_sql": SJ.j2_readonly_sql,
+    "j4_pitfall_lint": SJ.j4_pitfall_lint,
+    "j5_referenced_tables": SJ.j5_referenced_tables,
+    "j6_scan_budget": SJ.j6_scan_budget,
+    "j7_answer_grounding": SJ.j7_answer_grounding,
+    "j8_rule_intent": SJ.j8_rule_intent,
+}
+
+CATALOG: dict[str, QueryFn] = {
+    "a2_parameterised_select": SJ.a2_parameterised_select,
+    "a6_row_counts": SJ.a6_row_counts,
+    "a7_table_profile": SJ.a7_table_profile,
+    "a9_value_profile": SJ.a9_value_profile,
+}
+
+QUALITY: dict[str, QueryFn] = {
+    "l1_row_count_expectations": Q.l1_row_count_expectations,
+    "l2_orphan_keys": Q.l2_orphan_keys,
+    "l3_coverage": Q.l3_coverage,
+    "l4_unique_keys": Q.l4_unique_keys,
+    "l5_conditional_not_null": Q.l5_conditional_not_null,
+    "l6_distribution_order": Q.l6_distribution_order,
+    "l7_invoice_reconciliation": Q.l7_invoice_reconciliation,
+}
+
 REGISTRY: dict[str, QueryFn] = {}
 REGISTRY.update(RELATIONAL)
 REGISTRY.update(DOCUMENTS)
+REGISTRY.update(SCREENS)
+REGISTRY.update(CATALOG)
+REGISTRY.update(QUALITY)
 
 
 def bind(fn: QueryFn) -> Callable[[SparkSession, str], DataFrame]:
