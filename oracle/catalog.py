@@ -1,6 +1,7 @@
 """Assemble oracle SQL: the shared view CTEs plus each query body."""
 
 from oracle.documents import SQL as DOCUMENT_SQL
+from oracle.evaluation import SQL as EVALUATION_SQL
 from oracle.relational import SQL as RELATIONAL_SQL
 from oracle.screens import SQL as SCREEN_SQL
 from tidewater.sources.logistics_sql import duckdb_cte_prefix
@@ -9,6 +10,7 @@ BODIES: dict[str, str] = {}
 BODIES.update(RELATIONAL_SQL)
 BODIES.update(DOCUMENT_SQL)
 BODIES.update(SCREEN_SQL)
+BODIES.update(EVALUATION_SQL)
 
 
 def oracle_sql() -> dict[str, str]:

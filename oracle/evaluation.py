@@ -1,0 +1,55 @@
+"""DuckDB SQL for retrieval analytics (K1-K5)."""
+
+_DOT = "list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(range(1, q.dims + 1), lambda i: q.v[i] * d.dv[i])), lambda a, b: a + b)"
+_NQ = "sqrt(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(q.v, lambda x: x * x)), lambda a, b: a + b))"
+_ND = "sqrt(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(d.dv, lambda x: x * x)), lambda a, b: a + b))"
+
+HITS = f"""
+, ex AS (SELECT label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings),
+pd AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY label, i),
+lab AS (SELECT label, list(m ORDER BY i) AS vec FROM pd GROUP BY label),
+ord AS (SELECT label, vec, lead(label) OVER (ORDER BY label) AS next_label FROM lab),
+coll AS (
+  SELECT 'table_' || CAST(label AS VARCHAR) AS doc_id, vec, CAST(label AS VARCHAR) AS tbl,
+         CAST(NULL AS VARCHAR) AS from_table, CAST(NULL AS VARCHAR) AS to_table FROM ord
+  UNION ALL
+  SELECT 'rel_' || CAST(a.label AS VARCHAR) || '_' || CAST(b.label AS VARCHAR),
+         list_transform(range(1, len(a.vec) + 1), lambda i: (a.vec[i] + b.vec[i]) / 2),
+         NULL, CAST(a.label AS VARCHAR), CAST(b.label AS VARCHAR)
+  FROM ord a JOIN lab b ON a.next_label = b.label),
+models(model, dims) AS (VALUES ('dims-64', 64), ('dims-32', 32), ('dims-16', 16)),
+q AS (SELECT m.model, m.dims, e.vec_id, e.label,
+             list_transform(list_slice(e.embedding, 1, m.dims), lambda x: CAST(x AS DOUBLE)) AS v
+      FROM embeddings e CROSS JOIN models m),
+d AS (SELECT m.model, c.doc_id, c.tbl, c.from_table, c.to_table, list_slice(c.vec, 1, m.dims) AS dv
+      FROM coll c CROSS JOIN models m),
+sim AS (SELECT q.model, q.vec_id, q.label, d.doc_id, d.tbl, d.from_table, d.to_table,
+               {_DOT} / ({_NQ} * {_ND}) AS s
+        FROM q JOIN d ON q.model = d.model),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, vec_id ORDER BY s DESC, doc_id) AS rank FROM sim)
+         WHERE rank <= 5),
+ret0 AS (SELECT model, vec_id, label,
+                list_filter(flatten(list([tbl, from_table, to_table] ORDER BY rank)), lambda x: x IS NOT NULL) AS w
+         FROM hits GROUP BY model, vec_id, label),
+ret AS (SELECT model, vec_id, label, list_filter(w, lambda x, i: list_position(w, x) = i) AS retrieved FROM ret0),
+sc AS (SELECT model, vec_id, label, list_contains(retrieved, CAST(label AS VARCHAR)) AS hit,
+              CASE WHEN list_contains(retrieved, CAST(label AS VARCHAR)) THEN 1.0 ELSE 0.0 END AS recall,
+              CASE WHEN len(retrieved) > 0 THEN CAST(CASE WHEN list_contains(retrieved, CAST(label AS VARCHAR)) THEN 1 ELSE 0 END AS DOUBLE) / len(retrieved) ELSE 0.0 END AS precision,
+              coalesce(1.0 / nullif(list_position(retrieved, CAST(label AS VARCHAR)), 0), 0.0) AS reciprocal_rank
+       FROM ret)"""
+
+SQL = {
+    "k1_nearest_documents": HITS + "\nSELECT model, vec_id, CAST(rank AS INTEGER) AS rank, doc_id FROM hits",
+    "k2_retrieved_tables": HITS + "\nSELECT model, vec_id, array_to_string(retrieved, ',') AS retrieved FROM ret",
+    "k3_question_scores": HITS + "\nSELECT model, vec_id, hit, precision, reciprocal_rank FROM sc",
+    "k4_k6_retrieval_summary": HITS + """,
+per AS (SELECT model, CASE model WHEN 'dims-64' THEN 64 WHEN 'dims-32' THEN 32 ELSE 16 END AS dims,
+               round(avg(recall), 4) AS recall_at_5, round(avg(precision), 4) AS precision_at_5,
+               round(avg(reciprocal_rank), 4) AS mrr, count(*) AS total, count(*) FILTER (WHERE hit) AS hits
+        FROM sc GROUP BY model)
+SELECT model, recall_at_5, precision_at_5, mrr, hits, total - hits AS misses,
+       round(recall_at_5 * 0.7 + mrr * 0.2 + (1.0 - dims / max(dims) OVER ()) * 0.1, 4) AS balance
+FROM per""",
+    "k5_category_recall": HITS + """
+SELECT model, label AS category, round(count(*) FILTER (WHERE hit) / count(*), 4) AS recall FROM sc GROUP BY model, label""",
+}

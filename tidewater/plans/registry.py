@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators import document_jobs as DJ
+from tidewater.operators import evaluation_jobs as EJ
 from tidewater.operators import quality as Q
 from tidewater.operators import relational as R
 from tidewater.operators import screen_jobs as SJ
@@ -127,12 +128,28 @@ QUALITY: dict[str, QueryFn] = {
     "l7_invoice_reconciliation": Q.l7_invoice_reconciliation,
 }
 
+EVALUATION: dict[str, QueryFn] = {
+    "k1_nearest_documents": EJ.k1_nearest_documents,
+    "k2_retrieved_tables": EJ.k2_retrieved_tables,
+    "k3_question_scores": EJ.k3_question_scores,
+    "k4_k6_retrieval_summary": EJ.k4_k6_model_summary,
+    "k5_category_recall": EJ.k5_category_recall,
+    "j9_normalise_responses": EJ.j9_normalise_responses,
+    "j10_behaviour": EJ.j10_behaviour,
+    "k7_k8_model_summary": EJ.k7_k8_model_summary,
+    "k9_costs": EJ.k9_costs,
+    "k10_category_matrix": EJ.k10_category_matrix,
+    "k11_failed_cases": EJ.k11_failed_cases,
+    "k12_winners": EJ.k12_winners,
+}
+
 REGISTRY: dict[str, QueryFn] = {}
 REGISTRY.update(RELATIONAL)
 REGISTRY.update(DOCUMENTS)
 REGISTRY.update(SCREENS)
 REGISTRY.update(CATALOG)
 REGISTRY.update(QUALITY)
+REGISTRY.update(EVALUATION)
 
 
 def bind(fn: QueryFn) -> Callable[[SparkSession, str], DataFrame]:
