@@ -236,6 +236,16 @@ SELECT d.document_id, array_to_string(list_filter([
          || [CASE WHEN m.missing_fields <> '' THEN 'Missing expected fields: ' || m.missing_fields END],
        lambda x: x IS NOT NULL AND x <> ''), ' | ') AS notes
 FROM per_doc d LEFT JOIN rules r USING (document_id) JOIN missing m USING (document_id)"""),
+    "m1_stream_ingest": _w(PARSED + "," + RULES + "," + MISSING + "," + LINK, """
+SELECT d.document_id, d.document_type, b.linked_shipment_id, array_to_string(list_filter([
+         CASE WHEN d.mean < 0.3 THEN 'WARNING: Very low overall confidence (' || printf('%.2f', d.mean)
+              || '). Document may be unrecognizable. ' || d.model_notes ELSE d.model_notes END,
+         CASE WHEN d.very_low <> '' THEN 'Very low confidence fields (below 0.4): ' || d.very_low END]
+         || coalesce(r.warnings, [])
+         || [CASE WHEN m.missing_fields <> '' THEN 'Missing expected fields: ' || m.missing_fields END],
+       lambda x: x IS NOT NULL AND x <> ''), ' | ') AS notes
+FROM per_doc d LEFT JOIN rules r USING (document_id) JOIN missing m USING (document_id)
+LEFT JOIN best b USING (document_id)"""),
     "i18_review_merge": _w(REVIEW_LOG, """
 SELECT e.document_id, coalesce(l.review_status, e.review_status) AS review_status,
        coalesce(l.corrected_fields, e.extracted_fields) AS extracted_fields

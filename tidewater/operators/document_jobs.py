@@ -184,3 +184,15 @@ def i24_high_confidence_invoices(wh, threshold: float = 0.9) -> DataFrame:
     e = wh.extracted_documents.filter((F.col("document_type") == "invoice")
                                       & (F.col("overall_confidence") > threshold))
     return e.agg(F.count("*").alias("invoices_above_threshold"))
+
+
+def m1_stream_ingest(wh) -> DataFrame:
+    """M1: stream the raw responses in; compare with the batch pipeline's link and notes."""
+    from tidewater.streaming.ingest import ingest_from_warehouse
+    docs = ingest_from_warehouse(wh)
+    return docs.select("document_id", "document_type", "linked_shipment_id", "notes")
+
+
+def m1_field_registry(wh) -> DataFrame:
+    """M1 registry: field names known after streaming every document (batch-equal)."""
+    return D.field_registry(D.to_stored(scored(wh)))

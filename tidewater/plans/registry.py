@@ -99,6 +99,7 @@ DOCUMENTS: dict[str, QueryFn] = {
     "i23_invoice_fields": DJ.i23_invoice_fields,
     "i23_parties": DJ.i23_parties,
     "i24_typed_threshold": DJ.i24_high_confidence_invoices,
+    "m1_stream_ingest": DJ.m1_stream_ingest,
 }
 
 SCREENS: dict[str, QueryFn] = {
