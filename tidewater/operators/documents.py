@@ -30,10 +30,7 @@ def _py_type(schema: Column) -> Column:
 
 
 def _is_numeric(schema: Column) -> Column:
-    cond = F.lit(False)
-    for p in NUMERIC_PREFIXES:
-        cond = cond | schema.startswith(p)
-    return cond
+    return schema.rlike("^(" + "|".join(NUMERIC_PREFIXES) + ")")
 
 
 # ------------------------------------------------------------------ I1 / I2
@@ -125,15 +122,15 @@ def _scalar_conf(x: Column) -> Column:
             .when(s == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0)))
 
 
-def coerce_confidence(c: Column) -> tuple[Column, Column]:
+def coerce_confidence(c: Column, s: Column | None = None) -> tuple[Column, Column]:
     """Model confidence of any JSON shape -> ``(confidence in [0,1], problem)``.
 
     Missing or null -> 0.5; list -> mean of its numeric items; object ->
     ``value``, then ``score``, then 0.5; string -> parsed; unparsable -> 0.5.
     A list with non-numeric text gives 0.5 and a problem note instead of
-    failing the document.
+    failing the document. ``s`` is the value's variant schema, if already known.
     """
-    s = F.schema_of_variant(c)
+    s = F.schema_of_variant(c) if s is None else s
     items = F.try_variant_get(c, "$", "array<variant>")
     scalars = F.filter(items, lambda e: _is_numeric(F.schema_of_variant(e))
                        | F.schema_of_variant(e).isin("STRING", "BOOLEAN"))
@@ -146,7 +143,8 @@ def coerce_confidence(c: Column) -> tuple[Column, Column]:
     from_obj = (F.when(has_value, _scalar_conf(F.variant_get(c, "$.value", "variant")))
                 .when(has_score, _scalar_conf(F.variant_get(c, "$.score", "variant")))
                 .otherwise(0.5))
-    raw = (F.when(c.isNull() | (s == "VOID"), 0.5)
+    raw = (F.when(_is_numeric(s), F.try_variant_get(c, "$", "double"))
+           .when(c.isNull() | (s == "VOID"), 0.5)
            .when(s.startswith("ARRAY"), F.when(bad_list, 0.5).otherwise(list_mean))
            .when(s.startswith("OBJECT"), from_obj)
            .otherwise(_scalar_conf(c)))
@@ -171,10 +169,11 @@ def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> D
                   (i + 1).alias("pos"), k.alias("field"),
                   F.element_at("_tmap", k).alias("value"),
                   F.schema_of_variant(F.element_at("_vmap", k)).alias("value_type"),
-                  F.element_at("_cmap", k).alias("c")))))
+                  F.element_at("_cmap", k).alias("c"))))
+              .withColumn("_raw", F.transform("_raw", lambda r: r.withField("ctype", F.schema_of_variant(r["c"])))))
 
     def score(r: Column) -> Column:
-        conf, problem = coerce_confidence(r["c"])
+        conf, problem = coerce_confidence(r["c"], r["ctype"])
         return F.struct(r["pos"].alias("pos"), r["field"].alias("field"), r["value"].alias("value"),
                         r["value_type"].alias("value_type"), conf.alias("confidence"),
                         problem.alias("problem"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.session import ensure_checkpoint_dir
+from tidewater.session import ensure_checkpoint_dir, shared_path
 from tidewater.sources.logistics_sql import view_sql
 
 DRIVER_TABLES = [
@@ -44,6 +45,7 @@ class Warehouse:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self.materialized_at: str | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
@@ -83,8 +85,36 @@ class Warehouse:
             self._frames[f"__memo_{key}"] = df
         return df
 
+    def materialize(self, out_dir: str | None = None) -> str:
+        """Write every logistics view as a Parquet table and read them back from there.
+
+        This is the production shape: facts are stored once, queries scan them
+        with column pruning and pushed filters. Documents are partitioned by
+        type; the rest are written clustered by their main key.
+        """
+        out = out_dir or shared_path(self.spark, "warehouse", uuid.uuid4().hex)
+        cluster = {"shipments": "id", "shipment_charges": "shipment_id", "tracking_events": "shipment_id",
+                   "invoices": "shipment_id", "customers": "id", "carriers": "id"}
+        for name in self._views:
+            if name.startswith(("ship_", "doc_")):
+                continue
+            path = os.path.join(out, name)
+            df = self._frames[name]
+            if name in cluster:
+                df = df.repartitionByRange(cluster[name]).sortWithinPartitions(cluster[name])
+            writer = df.write.mode("overwrite")
+            if name == "extracted_documents":
+                writer = writer.partitionBy("document_type")
+            writer.parquet(path)
+            self._frames[name] = self.spark.read.parquet(path)
+            self._frames[name].createOrReplaceTempView(name)
+        self.materialized_at = out
+        return out
+
     def stored(self, name: str) -> DataFrame:
         """A view materialised as a table, for inputs that are tables in production."""
+        if self.materialized_at:
+            return self._frames[name]
         key = f"__stored_{name}"
         df = self._frames.get(key)
         if df is None:
