@@ -114,6 +114,7 @@ SCREENS: dict[str, QueryFn] = {
 
 CATALOG: dict[str, QueryFn] = {
     "a2_parameterised_select": SJ.a2_parameterised_select,
+    "a13_upload_screening": SJ.a13_upload_screening,
     "a6_row_counts": SJ.a6_row_counts,
     "a7_table_profile": SJ.a7_table_profile,
     "a9_value_profile": SJ.a9_value_profile,
