@@ -396,7 +396,10 @@ def e2_transit_hours(wh) -> DataFrame:
         F.min(F.when(F.col("event_type") == "departed_origin", F.col("event_timestamp"))).alias("dep"),
         F.max(F.when(F.col("event_type") == "delivered", F.col("event_timestamp"))).alias("dlv"))
     return (g.filter(F.col("dep").isNotNull() & F.col("dlv").isNotNull())
-            .select("shipment_id", F.timestamp_diff("HOUR", "dep", "dlv").alias("transit_hours")))
+            # interval of two naive timestamps: no session time zone (and no DST) involved
+            .withColumn("gap", F.col("dlv") - F.col("dep"))
+            .select("shipment_id", (F.expr("extract(DAY FROM gap)").cast("bigint") * 24
+                                    + F.expr("extract(HOUR FROM gap)").cast("bigint")).alias("transit_hours")))
 
 
 def e3_recent_turns(wh, max_turns: int = SETTINGS.max_conversation_history,
