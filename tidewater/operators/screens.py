@@ -130,8 +130,12 @@ def lint_sql(log: DataFrame, sql_col: str = "sql") -> DataFrame:
     select_clause = F.regexp_extract(u, r"(?s)SELECT\s+(.*?)\s+FROM", 1)
     has_agg = u.rlike(r"\b(COUNT|SUM|AVG|MAX|MIN)\s*\(")
     # a JOIN counts only when its table is followed by whitespace, as in the reference
-    tables = F.regexp_extract_all(u, F.lit(r"\bJOIN\s+(\w+)\s*(?:\w+\s*)?(?=JOIN|WHERE|GROUP|ORDER|LIMIT|$)"), 1)
-    hit_tables = F.filter(tables, lambda t: F.regexp_like(u, F.concat(F.lit(r"JOIN\s+"), t, F.lit(r"\s+"))))
+    # the per-table pattern is built per row, so it is only evaluated where the rule can fire
+    candidate = F.contains(u, F.lit("JOIN")) & ~F.contains(u, F.lit("ON"))
+    tables = F.when(candidate, F.regexp_extract_all(
+        u, F.lit(r"\bJOIN\s+(\w+)\s*(?:\w+\s*)?(?=JOIN|WHERE|GROUP|ORDER|LIMIT|$)"), 1))
+    hit_tables = F.coalesce(F.filter(tables, lambda t: F.regexp_like(u, F.concat(F.lit(r"JOIN\s+"), t, F.lit(r"\s+")))),
+                            F.array().cast("array<string>"))
 
     def w(key: str, cond: Column) -> Column:
         sev, msg, _ = PITFALLS[key]
