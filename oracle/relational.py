@@ -166,4 +166,19 @@ UNION ALL
  ORDER BY n DESC, month DESC LIMIT 1)""",
     "f4_chronological": "SELECT strftime(booking_date, '%Y-%m') AS month, count(*) AS shipments FROM shipments GROUP BY 1 ORDER BY 1",
     "f5_default_cap": "SELECT shipment_id, booking_date, status FROM shipments ORDER BY booking_date DESC, shipment_id LIMIT 100",
+    "h6_json_extract": """
+SELECT event_type, sum(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS sum_k,
+       count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS n_k,
+       max(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_k
+FROM events GROUP BY event_type""",
+    "h_scalar_functions": """
+SELECT id, strftime(booking_date, '%Y-%m') AS month, CAST(year(booking_date) AS VARCHAR) || '-Q' || CAST(quarter(booking_date) AS VARCHAR) AS quarter,
+       datediff('day', booking_date, estimated_arrival) AS planned_days, CAST(booking_date - INTERVAL 30 DAY AS DATE) AS window_start,
+       coalesce(volume_cbm, 0.0) AS volume_or_zero, greatest(0.0, least(1.0, delay_days / 20.0)) AS delay_score,
+       printf('INV-%d-%06d', year(booking_date), id) AS invoice_key
+FROM shipments""",
+    "h12_cut_text": """
+SELECT question_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS title,
+       lower(trim(text)) = 'hi' AS is_hi, contains(lower(text), 'drop table') AS mentions_drop
+FROM questions""",
 }

@@ -449,3 +449,35 @@ def f5_default_cap(wh, limit: int = SETTINGS.default_row_limit) -> DataFrame:
     """the reference's default row cap on an uncapped result, with a total order."""
     return (wh.shipments.select("shipment_id", "booking_date", "status")
             .orderBy(F.desc("booking_date"), F.asc("shipment_id")).limit(limit))
+
+
+# ---------------------------------------------------------------- 2.8 scalar functions
+
+
+def h6_json_extract(wh) -> DataFrame:
+    """H6: typed JSON field extraction (``props`` like ``{"k": 87}``) aggregated per event type."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return wh.events.groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n_k"),
+                                               F.max(k).alias("max_k"))
+
+
+def h_scalar_functions(wh) -> DataFrame:
+    """H1, H2, H7, H13, H14, H15 on every shipment."""
+    from tidewater.functions import business_key, clamp01, to_number
+    s = wh.shipments
+    return s.select(
+        "id", month_bucket("booking_date").alias("month"), quarter_label("booking_date").alias("quarter"),
+        F.datediff("estimated_arrival", "booking_date").alias("planned_days"),
+        F.date_sub(F.col("booking_date"), 30).alias("window_start"),
+        to_number(F.col("volume_cbm")).alias("volume_or_zero"),
+        clamp01(F.col("delay_days") / 20.0).alias("delay_score"),
+        business_key("INV", F.year("booking_date"), F.col("id")).alias("invoice_key"))
+
+
+def h12_cut_text(wh, n: int = 80) -> DataFrame:
+    """H12 + H10/H11: titles cut with an ellipsis, loose comparisons, on every question."""
+    from tidewater.functions import cut_with_ellipsis, loose_contains, loose_equal
+    q = wh.questions
+    return q.select("question_id", cut_with_ellipsis(F.col("text"), n).alias("title"),
+                    loose_equal(F.col("text"), F.lit("hi")).alias("is_hi"),
+                    loose_contains(F.col("text"), F.lit("DROP TABLE")).alias("mentions_drop"))

@@ -75,6 +75,9 @@ RELATIONAL: dict[str, QueryFn] = {
     "f3_arg_extremes": R.f3_arg_extremes,
     "f4_chronological": R.f4_monthly_trend,
     "f5_default_cap": R.f5_default_cap,
+    "h6_json_extract": R.h6_json_extract,
+    "h_scalar_functions": R.h_scalar_functions,
+    "h12_cut_text": R.h12_cut_text,
 }
 
 DOCUMENTS: dict[str, QueryFn] = {
