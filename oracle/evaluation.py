@@ -187,4 +187,7 @@ s3 AS (SELECT model, round(comp, 1) AS composite, round(CASE WHEN cost > 0 THEN
 SELECT (SELECT model FROM s3 ORDER BY composite DESC, model DESC LIMIT 1) AS overall_winner,
        (SELECT model FROM s3 WHERE model IN ({_FREE}) ORDER BY composite DESC, model DESC LIMIT 1) AS best_free,
        (SELECT model FROM s3 ORDER BY eff DESC, model DESC LIMIT 1) AS best_efficiency""",
+    "a14_eval_cases": ", " + RESULTS.lstrip().lstrip(",") + f"""
+SELECT DISTINCT test_id, category, array_to_string({_refs('truth_sql')}, ',') AS expected_tables
+FROM res2 WHERE expected_behavior = 'answer' AND len({_refs('truth_sql')}) > 0""",
 })

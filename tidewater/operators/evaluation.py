@@ -243,6 +243,7 @@ def eval_results(wh) -> DataFrame:
     json_ok = F.col("p.json_parse_ok")
     out = r.select(
         F.col("question_id").alias("test_id"), "model", "category", "expected_behavior",
+        expected_tables.alias("expected_tables"),
         (~F.col("passed")).alias("guardrail_blocked"), F.col("raw_response"), sql.alias("sql"),
         json_ok.cast("int").alias("json_parse"),
         (json_ok & readonly).cast("int").alias("sql_valid"),
@@ -260,6 +261,13 @@ def eval_results(wh) -> DataFrame:
     return out
 
 
+def eval_cases(results: DataFrame) -> DataFrame:
+    """Answerable cases that name at least one expected table (one row per case)."""
+    return (results.filter((F.col("expected_behavior") == "answer") & (F.size("expected_tables") > 0))
+            .select("test_id", "category", F.array_join("expected_tables", ",").alias("expected_tables"))
+            .dropDuplicates(["test_id"]))
+
+
 def with_cost(results: DataFrame, prices: DataFrame) -> DataFrame:
     """K9: tokens / 1e6 x price; a model missing from the price table costs 0."""
     j = results.join(F.broadcast(prices), "model", "left")  # fixed six-row table

@@ -76,3 +76,7 @@ def k11_failed_cases(wh) -> DataFrame:
 
 def k12_winners(wh) -> DataFrame:
     return E.winners(E.model_summary(_costed(wh)), prices(wh))
+
+
+def a14_eval_cases(wh) -> DataFrame:
+    return E.eval_cases(_costed(wh))

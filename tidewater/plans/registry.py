@@ -146,6 +146,7 @@ EVALUATION: dict[str, QueryFn] = {
     "k10_category_matrix": EJ.k10_category_matrix,
     "k11_failed_cases": EJ.k11_failed_cases,
     "k12_winners": EJ.k12_winners,
+    "a14_eval_cases": EJ.a14_eval_cases,
 }
 
 REGISTRY: dict[str, QueryFn] = {}
