@@ -169,8 +169,8 @@ def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> D
                   (i + 1).alias("pos"), k.alias("field"),
                   F.element_at("_tmap", k).alias("value"),
                   F.schema_of_variant(F.element_at("_vmap", k)).alias("value_type"),
-                  F.element_at("_cmap", k).alias("c"))))
-              .withColumn("_raw", F.transform("_raw", lambda r: r.withField("ctype", F.schema_of_variant(r["c"])))))
+                  F.element_at("_cmap", k).alias("c"),
+                  F.schema_of_variant(F.element_at("_cmap", k)).alias("ctype")))))
 
     def score(r: Column) -> Column:
         conf, problem = coerce_confidence(r["c"], r["ctype"])
