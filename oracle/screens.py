@@ -93,13 +93,19 @@ counts AS (
   UNION ALL SELECT 'invoices', count(*) FROM invoices
   UNION ALL SELECT 'extracted_documents', count(*) FROM extracted_documents)"""
 
+from tidewater.operators.screens import INDEXED_COLUMNS  # noqa: E402
+
+_IDX = "MAP {" + ", ".join(f"'{t}': [" + ", ".join(f"'{c}'" for c in ["id", *cols]) + "]"
+                          for t, cols in INDEXED_COLUMNS.items()) + "}"
 J6 = rf"""
-, r0 AS (SELECT query_id, sql, list_filter(list_transform(regexp_extract_all(sql, '(?i)(?:FROM|JOIN)\s+(\w+)', 1), lambda x: lower(x)),
+, r0 AS (SELECT query_id, sql, regexp_extract(sql, '(?is)\bWHERE\b(.*)$', 1) AS where_text,
+                list_filter(list_transform(regexp_extract_all(sql, '(?i)(?:FROM|JOIN)\s+(\w+)', 1), lambda x: lower(x)),
                          lambda x: list_contains({_KNOWN}, x)) AS w FROM sql_log),
-r1 AS (SELECT query_id, regexp_matches(upper(sql), '\bWHERE\b') AS has_where, unnest({REFS}) AS table_name FROM r0),
+r1 AS (SELECT query_id, where_text, unnest({REFS}) AS table_name FROM r0),
 {COUNTS.strip()}
 SELECT r1.query_id, r1.table_name, c.row_count FROM r1 JOIN counts c USING (table_name)
-WHERE c.row_count > 1000 AND NOT r1.has_where"""
+WHERE c.row_count > 1000
+  AND len(list_filter({_IDX}[r1.table_name], lambda col: regexp_matches(r1.where_text, '(?i)\b' || col || '\b'))) = 0"""
 
 J7 = f"""
 , g0 AS (SELECT answer_id, result_rows, {_hits('answer', DATA_CLAIM_PATTERNS)} AS claims FROM answers)
