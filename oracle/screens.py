@@ -188,3 +188,57 @@ SELECT count(*) AS invoices_checked,
        count(*) FILTER (WHERE abs(i.subtotal_usd + i.tax_usd - i.total_usd) > 0.01) AS total_mismatches
 FROM invoices i JOIN ch USING (shipment_id)""",
 }
+
+
+# ---------------------------------------------------------------- A7 table profile
+
+# fixed values: column contract of each logistics table (FIXTURES section 1, as built here)
+_COLUMNS = {
+    "customers": ["id", "customer_code", "company_name", "industry", "country", "city", "tier", "contact_email",
+                  "annual_volume_teu"],
+    "carriers": ["id", "carrier_code", "carrier_name", "carrier_type", "headquarters_country", "reliability_score",
+                 "avg_transit_days", "cost_per_kg_usd"],
+    "shipments": ["id", "shipment_id", "customer_id", "carrier_id", "origin_port", "origin_country",
+                  "destination_port", "destination_country", "mode", "status", "booking_date", "estimated_departure",
+                  "actual_departure", "estimated_arrival", "actual_arrival", "weight_kg", "volume_cbm",
+                  "container_type", "container_count", "commodity", "incoterm", "po_number", "delay_days",
+                  "delay_reason", "priority"],
+    "shipment_charges": ["shipment_id", "charge_type", "amount_usd", "currency"],
+    "tracking_events": ["id", "shipment_id", "event_type", "event_timestamp", "location", "location_country",
+                        "description", "created_by", "is_milestone"],
+    "invoices": ["id", "invoice_number", "shipment_id", "customer_id", "carrier_id", "invoice_date", "due_date",
+                 "subtotal_usd", "tax_usd", "total_usd", "currency", "payment_status", "payment_date"],
+    "extracted_documents": ["id", "document_id", "document_type", "file_name", "upload_timestamp",
+                            "extraction_model", "overall_confidence", "review_status", "extracted_fields",
+                            "confidence_scores", "linked_shipment_id"],
+}
+_FKS = [
+    ("shipments", "customer_id", "customers", "id"), ("shipments", "carrier_id", "carriers", "id"),
+    ("shipment_charges", "shipment_id", "shipments", "id"), ("tracking_events", "shipment_id", "shipments", "id"),
+    ("invoices", "shipment_id", "shipments", "id"), ("invoices", "customer_id", "customers", "id"),
+    ("invoices", "carrier_id", "carriers", "id"),
+]
+_TYPED = "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT typeof({c}) FROM {t} LIMIT 1) AS t"
+    for t, cols in _COLUMNS.items() for c in cols)
+_FK_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in _FKS)
+
+SQL["a7_table_profile"] = ", " + COUNTS.strip() + f""",
+typed AS (
+  {_TYPED}),
+ctypes AS (
+  SELECT table_name, column_name,
+         CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BIGINT' THEN 'bigint' WHEN t = 'INTEGER' THEN 'int'
+              WHEN t = 'DOUBLE' THEN 'double' WHEN t = 'DATE' THEN 'date' WHEN t = 'TIMESTAMP' THEN 'timestamp_ntz'
+              WHEN t = 'BOOLEAN' THEN 'boolean' ELSE lower(replace(t, ' ', '')) END AS data_type
+  FROM typed),
+cols AS (SELECT table_name, count(*) AS column_count,
+                string_agg(column_name || ' ' || data_type, ', ' ORDER BY column_name, data_type) AS columns
+         FROM ctypes GROUP BY table_name),
+fk(from_table, from_column, to_table, to_column) AS (VALUES {_FK_ROWS}),
+fks AS (SELECT from_table AS table_name,
+               string_agg(from_column || ' -> ' || to_table || '.' || to_column, '; '
+                          ORDER BY from_column || ' -> ' || to_table || '.' || to_column) AS foreign_keys
+        FROM fk GROUP BY from_table)
+SELECT c.table_name, c.row_count, l.column_count, l.columns, f.foreign_keys
+FROM counts c JOIN cols l USING (table_name) LEFT JOIN fks f USING (table_name)"""
