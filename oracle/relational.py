@@ -181,4 +181,13 @@ FROM shipments""",
 SELECT question_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS title,
        lower(trim(text)) = 'hi' AS is_hi, contains(lower(text), 'drop table') AS mentions_drop
 FROM questions""",
+    "d12_bare_columns": """
+SELECT e.document_id, s.shipment_id,
+       any_value(json_extract_string(e.extracted_fields, '$.invoice_number')) AS invoice_number,
+       any_value(json_extract_string(e.extracted_fields, '$.total_amount')) AS extracted_amount,
+       sum(sc.amount_usd) AS actual_charges
+FROM extracted_documents e JOIN shipments s ON e.linked_shipment_id = s.shipment_id
+JOIN shipment_charges sc ON s.id = sc.shipment_id
+WHERE e.document_type = 'invoice'
+GROUP BY e.document_id, s.shipment_id""",
 }

@@ -481,3 +481,19 @@ def h12_cut_text(wh, n: int = 80) -> DataFrame:
     return q.select("question_id", cut_with_ellipsis(F.col("text"), n).alias("title"),
                     loose_equal(F.col("text"), F.lit("hi")).alias("is_hi"),
                     loose_contains(F.col("text"), F.lit("DROP TABLE")).alias("mentions_drop"))
+
+
+def d12_bare_columns(wh) -> DataFrame:
+    """The grouped query with non-grouped columns, written the Spark way.
+
+    The JSON fields are constant per document, so ``first()`` is exact here;
+    the charge rows are summed in the same aggregate (one shuffle on the key).
+    """
+    e = wh.extracted_documents.filter(F.col("document_type") == "invoice")
+    s = wh.shipments.select(F.col("id").alias("sid"), F.col("shipment_id").alias("linked_shipment_id"))
+    ch = wh.shipment_charges.select(F.col("shipment_id").alias("sid"), "amount_usd")
+    j = e.join(s, "linked_shipment_id").join(ch, "sid")
+    return j.groupBy("document_id", F.col("linked_shipment_id").alias("shipment_id")).agg(
+        F.first(F.get_json_object("extracted_fields", "$.invoice_number")).alias("invoice_number"),
+        F.first(F.get_json_object("extracted_fields", "$.total_amount")).alias("extracted_amount"),
+        F.sum("amount_usd").alias("actual_charges"))

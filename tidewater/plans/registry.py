@@ -58,6 +58,7 @@ RELATIONAL: dict[str, QueryFn] = {
     "d9_ratio_of_sums": R.d9_cost_per_kg,
     "d10_having": R.d10_route_delay_having,
     "d11_group_by_alias": R.d11_monthly_and_quarterly,
+    "d12_bare_columns": R.d12_bare_columns,
     "d13_two_level_aggregate": R.d13_two_level,
     "d14_percentage_of_total": R.d14_pct_delayed,
     "d15_rate_comparison": R.d15_cancellation_by_priority,
