@@ -27,7 +27,7 @@ def main() -> None:
     for name, fn in REGISTRY.items():
         df = fn(wh)
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         shuffles = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
         bhj = plan.count("BroadcastHashJoin")
         smj = plan.count("SortMergeJoin")
