@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from tidewater.operators import evaluation as E
 
 
+def _collection(wh) -> DataFrame:
+    # written once: its size is checked and then it is broadcast, so it is read twice
+    return wh.memo("knowledge_collection", lambda: E.knowledge_collection(wh.embeddings))
+
+
 def _hits(wh) -> DataFrame:
-    return wh.memo("retrieval_hits", lambda: E.nearest_documents(wh.embeddings, E.knowledge_collection(wh.embeddings)))
+    return wh.memo("retrieval_hits", lambda: E.nearest_documents(wh.embeddings, _collection(wh)))
 
 
 def _scores(wh) -> DataFrame:
