@@ -275,6 +275,8 @@ def missing_fields(document_type: Column, fields: Column) -> Column:
 
 def score_documents(parsed: DataFrame) -> DataFrame:
     """I4-I9, I10-I15, I17 on parsed responses; failures are kept with their reason."""
+    # a repeated JSON key keeps its last value, as a Python dict does
+    parsed.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     ok = with_field_array(parsed.filter(F.col("parse_error").isNull()), "fields_json", "confidence_json")
     confs = F.transform("fields", lambda f: f["confidence"])
     n = F.size("fields")
