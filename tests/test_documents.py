@@ -15,7 +15,6 @@ def _resp(fields, scores, doc_type="invoice", notes=""):
 def _run(spark, rows):
     raw = spark.createDataFrame(rows, "document_id string, file_name string, document_type string, "
                                       "model string, response_text string")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     parsed = D.parse_responses(raw).cache()
     scored = D.score_documents(parsed)
     _run.last = scored
@@ -136,3 +135,12 @@ def test_lenient_check(spark):
     assert out["a"] == (True, None)
     assert out["b"] == (False, "Missing required key: 'document_type'")
     assert out["c"] == (False, "Empty response from vision model.")
+
+
+def test_duplicate_keys_follow_python_dict(spark):
+    text = '{"fields": {"a": "1", "b": "2", "a": "3"}, "confidence_scores": {"a": 0.9, "a": 0.2}, "document_type": "x"}'
+    docs, errs = _run(spark, [("d", "f", "other", "m", text)])
+    assert errs["d"] is None
+    f = docs["d"]["fields"]
+    assert [x["field"] for x in f] == ["a", "b"]
+    assert f[0]["value"] == "3" and f[0]["confidence"] == 0.2

@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from tidewater.operators import documents as D
 
 
-def _ensure_last_wins(wh) -> None:
-    # a repeated JSON key keeps its last value, as a Python dict does
-    wh.spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-
-
 def parsed(wh) -> DataFrame:
     """I1 + I2 stage, written once per warehouse."""
     return wh.memo("parsed_responses", lambda: D.parse_responses(wh.raw_responses))
@@ -24,7 +19,6 @@ def parsed(wh) -> DataFrame:
 
 def scored(wh) -> DataFrame:
     """I4-I17 stage over parsed responses, written once per warehouse."""
-    _ensure_last_wins(wh)
     return wh.memo("scored_documents", lambda: D.score_documents(parsed(wh)).withColumn(
         "mean_confidence", F.aggregate(F.transform("fields", lambda f: f["confidence"]), F.lit(0.0),
                                        lambda a, x: a + x) / F.size("fields")))

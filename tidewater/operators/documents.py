@@ -102,6 +102,8 @@ def lenient_check(raw: DataFrame) -> DataFrame:
 
 def parse_responses(raw: DataFrame) -> DataFrame:
     """I1 + I2: one row per response with parse status and the JSON parts."""
+    # Python's json accepts a repeated key (last value wins); so must the VARIANT parser
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return (unwrap_response(raw, "response_text")
             .withColumn("parse_error", structure_reason(F.col("_v")))
             .select("document_id", "file_name", "document_type", "model", "parse_error",
@@ -153,6 +155,12 @@ def coerce_confidence(c: Column, s: Column | None = None) -> tuple[Column, Colum
     return conf, problem
 
 
+def _last(map_col: str, key: Column) -> Column:
+    """Value of the last entry with ``key``: a repeated JSON key keeps its last value,
+    as a Python dict does (``from_json`` keeps every entry and ``element_at`` finds the first)."""
+    return F.try_element_at(F.filter(F.map_entries(map_col), lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
 def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> DataFrame:
     """I4 + I5 + I8: ordered ``fields`` = array<struct<pos, field, value, value_type,
     confidence, needs_review, problem>>, plus ``fmap`` (field -> struct) for lookups.
@@ -167,10 +175,10 @@ def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> D
               .withColumn("_cmap", F.from_json(confidence_json, "map<string,variant>"))
               .withColumn("_raw", F.transform("_keys", lambda k, i: F.struct(
                   (i + 1).alias("pos"), k.alias("field"),
-                  F.element_at("_tmap", k).alias("value"),
-                  F.schema_of_variant(F.element_at("_vmap", k)).alias("value_type"),
-                  F.element_at("_cmap", k).alias("c"),
-                  F.schema_of_variant(F.element_at("_cmap", k)).alias("ctype")))))
+                  _last("_tmap", k).alias("value"),
+                  F.schema_of_variant(_last("_vmap", k)).alias("value_type"),
+                  _last("_cmap", k).alias("c"),
+                  F.schema_of_variant(_last("_cmap", k)).alias("ctype")))))
 
     def score(r: Column) -> Column:
         conf, problem = coerce_confidence(r["c"], r["ctype"])
@@ -275,8 +283,6 @@ def missing_fields(document_type: Column, fields: Column) -> Column:
 
 def score_documents(parsed: DataFrame) -> DataFrame:
     """I4-I9, I10-I15, I17 on parsed responses; failures are kept with their reason."""
-    # a repeated JSON key keeps its last value, as a Python dict does
-    parsed.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     ok = with_field_array(parsed.filter(F.col("parse_error").isNull()), "fields_json", "confidence_json")
     confs = F.transform("fields", lambda f: f["confidence"])
     n = F.size("fields")

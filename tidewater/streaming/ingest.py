@@ -37,7 +37,6 @@ def make_batch_writer(spark: SparkSession, index: DataFrame, docs_path: str, reg
                      "linked_shipment_id string, notes string, document_type string")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         parsed = D.parse_responses(batch).persist()  # batch-local; keeps later filters from re-parsing
         try:
             scored = D.score_documents(parsed)
