@@ -155,10 +155,11 @@ def coerce_confidence(c: Column, s: Column | None = None) -> tuple[Column, Colum
     return conf, problem
 
 
-def _last(map_col: str, key: Column) -> Column:
-    """Value of the last entry with ``key``: a repeated JSON key keeps its last value,
-    as a Python dict does (``from_json`` keeps every entry and ``element_at`` finds the first)."""
-    return F.try_element_at(F.filter(F.map_entries(map_col), lambda e: e["key"] == key), F.lit(-1))["value"]
+def _last(entries_col: str, key: Column) -> Column:
+    """Value of the last entry with ``key`` in a map's entries: a repeated JSON key keeps
+    its last value, as a Python dict does (``from_json`` keeps every entry and
+    ``element_at`` on the map would find the first)."""
+    return F.try_element_at(F.filter(entries_col, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
 def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> DataFrame:
@@ -170,9 +171,9 @@ def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> D
     """
     staged = (df
               .withColumn("_keys", F.array_distinct(F.json_object_keys(fields_json)))  # first position wins
-              .withColumn("_tmap", F.from_json(fields_json, "map<string,string>"))
-              .withColumn("_vmap", F.from_json(fields_json, "map<string,variant>"))
-              .withColumn("_cmap", F.from_json(confidence_json, "map<string,variant>"))
+              .withColumn("_tmap", F.map_entries(F.from_json(fields_json, "map<string,string>")))
+              .withColumn("_vmap", F.map_entries(F.from_json(fields_json, "map<string,variant>")))
+              .withColumn("_cmap", F.map_entries(F.from_json(confidence_json, "map<string,variant>")))
               .withColumn("_raw", F.transform("_keys", lambda k, i: F.struct(
                   (i + 1).alias("pos"), k.alias("field"),
                   _last("_tmap", k).alias("value"),
