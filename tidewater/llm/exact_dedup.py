@@ -20,7 +20,13 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import SPACE, stage, text_of
 from tidewater.session import shared_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Each partition's store is small, so it takes no space ahead, and
+#: a commit uploads the changes instead of whole files.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,7 +53,8 @@ class DedupState:
         self.spark = spark
         # The stream has a session of its own: its state store setting must not leak into the caller's.
         self.session = spark.newSession()
-        self.session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        for key, value in STATE_STORE.items():
+            self.session.conf.set(key, value)
         self.session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ingest(self, docs: DataFrame) -> None:
