@@ -31,6 +31,8 @@ HOT_POSTINGS = 512
 SALTS = 256
 #: Text bytes in a block at most (one longer text is a block of its own).
 BLOCK_BYTES = 24 << 20
+#: Rows in a block at most, so that a posting takes two bytes.
+BLOCK_ROWS = 1 << 15
 HEADER = ""
 
 #: Text in which Unicode's letters, numbers and spaces are the same in all
@@ -122,15 +124,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in set(plain) else chr(next(others)) for b in range(256)}
 
 
-POSTINGS = "pre_token string, salt int, block long, rows array<int>, header array<struct<row:int,doc_id:long,n_bytes:long,n_whole:long>>"
+POSTINGS = "pre_token string, salt int, block long, rows array<smallint>, header array<struct<row:smallint,doc_id:long,n_bytes:long,n_whole:long>>"
 
 
 def _postings(model_path: str, block_bytes: int):
-    schema = pa.schema([("pre_token", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("rows", pa.list_(pa.int32())),
-                        ("header", pa.list_(pa.struct([("row", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_whole", pa.int64())])))])
+    schema = pa.schema([("pre_token", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("rows", pa.list_(pa.int16())),
+                        ("header", pa.list_(pa.struct([("row", pa.int16()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_whole", pa.int64())])))])
 
     def flush(block: int, header: list, tokens: dict, ids: list, rows: list):
-        at, row = np.fromiter(ids, np.int32, len(ids)), np.fromiter(rows, np.int32, len(rows))
+        at, row = np.fromiter(ids, np.int32, len(ids)), np.fromiter(rows, np.int16, len(rows))
         order = np.argsort(at, kind="stable")
         bounds = np.searchsorted(at[order], np.arange(len(tokens) + 1)).astype(np.int32)
         size = np.diff(bounds)
@@ -150,7 +152,7 @@ def _postings(model_path: str, block_bytes: int):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 n_bytes = len(text.encode("utf-8"))
-                if header and size + n_bytes > block_bytes:
+                if header and (size + n_bytes > block_bytes or len(header) == BLOCK_ROWS):
                     yield from flush(next(numbers), header, tokens, ids, rows)
                     header, tokens, ids, rows, size = [], {}, [], [], 0
                 size += n_bytes
@@ -198,8 +200,12 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 1024, block_byte
                 .where("times + coalesce(headers, 0) <> 0 AND last >= 0"))
     counted = distinct.select("pre_token", "salt", pieces("pre_token").alias("n"))
     joined = posted.join(counted, ["pre_token", "salt"])
-    entry = "struct<row:int,doc_id:long,n_bytes:long,n:long>"
-    tail = F.transform("rows", lambda r: F.struct(r, F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("n").cast("long")).cast(entry))
-    parts = joined.select("block", F.explode(F.concat(tail, F.coalesce(F.col("header").cast(f"array<{entry}>"), F.array().cast(f"array<{entry}>")))).alias("e"))
-    sums = parts.groupBy("block", F.col("e.row").alias("row")).agg(F.max("e.doc_id").alias("doc_id"), F.max("e.n_bytes").alias("n_bytes"), F.sum("e.n").alias("n_tokens"))
+    # Row numbers of all blocks: block and row in one long.
+    entry = "struct<row:smallint,doc_id:long,n_bytes:long,n:long>"
+    none = F.lit(None).cast("long")
+    tail = F.transform("rows", lambda r: F.struct(r, none, none, F.col("n").cast("long")).cast(entry))
+    head = F.coalesce(F.col("header").cast(f"array<{entry}>"), F.array().cast(f"array<{entry}>"))
+    parts = joined.select("block", F.explode(F.concat(tail, head)).alias("e"))
+    parts = parts.select((F.col("block") * BLOCK_ROWS + F.col("e.row")).alias("row"), "e.doc_id", "e.n_bytes", "e.n")
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
