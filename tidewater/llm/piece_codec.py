@@ -69,6 +69,8 @@ class PieceModel:
         keys = np.array([self._hash(self.texts[i]) for i in inner], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], order.astype(np.int32)
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[self.keys >> np.uint64(44)] = True
         self.key_length = np.array([len(self.texts[i]) for i in inner], np.int32)[order]
         # The last merge inside each piece, and the rank of every pair's merge.
         self.left, self.right = np.arange(self.n + 1, dtype=np.int64), np.arange(self.n + 1, dtype=np.int64)
@@ -83,8 +85,11 @@ class PieceModel:
             if len(text) > 1:
                 a, b = self._last_merge(text, rank)
                 self.left[r], self.right[r] = a, b
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}  # little-endian ids
         self.valid: dict[int, bool] = {}
+        self.lone = np.array([self.id_of[SPACE_PIECE]], "<i4").tobytes()
+        self.spelled = [bytes([int(t[1:-1], 16)]) if kind == "byte" else t.replace(SPACE_PIECE, " ").encode() if kind == "text" else b""
+                        for t, kind in zip(self.texts, self.kinds, strict=True)]
         self.runs: dict[int, list[int]] = {0: [], 1: [self.id_of[SPACE_PIECE]]}
 
     @classmethod
@@ -128,7 +133,7 @@ class PieceModel:
         new = np.flatnonzero(out == None)  # noqa: E711
         if len(new):
             ok = self._survives(keys[new] // (self.n + 1), keys[new] % (self.n + 1))
-            if len(self.valid) > 2_000_000:
+            if len(self.valid) > 500_000:
                 self.valid.clear()
             self.valid.update(zip(keys[new].tolist(), ok.tolist(), strict=True))
             out[new] = ok
@@ -181,16 +186,25 @@ class PieceModel:
                 best = np.full(len(words), -1, np.int64)
                 for size in range(1, min(self.longest, end) + 1):
                     key = prefix[end] - prefix[end - size] * self.powers[size]
-                    at = np.minimum(np.searchsorted(self.keys, key), self.n - 1)
-                    hit = (self.keys[at] == key) & (self.key_length[at] == size)
-                    rank = np.where(hit, self.key_rank[at], self.n if size == 1 else -1)
-                    some = np.flatnonzero((rank >= 0) & (last[end - size] >= 0)) if end > size else np.flatnonzero(rank >= 0)
+                    # Most substrings are no pieces: one table look-up spares them the search.
+                    some = np.flatnonzero(self.likely[key >> np.uint64(44)])
+                    at = np.minimum(np.searchsorted(self.keys, key[some]), self.n - 1)
+                    hit = (self.keys[at] == key[some]) & (self.key_length[at] == size)
+                    some, rank = some[hit], self.key_rank[at[hit]].astype(np.int64)
+                    if size == 1 and len(some) < len(words):  # the others are characters without a piece
+                        ranks = np.full(len(words), self.n, np.int64)
+                        ranks[some] = rank
+                        some, rank = np.arange(len(words)), ranks
                     if end > size and len(some):
-                        some = some[self.follows(last[end - size][some], rank[some])]
+                        before = last[end - size][some]
+                        fits = before >= 0
+                        fits[fits] = self.follows(before[fits], rank[fits])
+                        some, rank = some[fits], rank[fits]
                     # Vectorised maximum over sizes: a valid candidate scores its size, others nothing.
-                    better = some[size > best[some]]
-                    best[better] = size
-                    last[end][better], back[end][better] = rank[better], size
+                    better = size > best[some]
+                    some, rank = some[better], rank[better]
+                    best[some] = size
+                    last[end][some], back[end][some] = rank, size
         at = np.full(len(words), length)
         rows = np.arange(len(words))
         steps = []
@@ -247,12 +261,9 @@ class PieceModel:
             self.words.clear()
             fresh = {w for words in split for w in words if w[1:2] != SPACE_PIECE}
         todo = list(fresh)
-        self.words.update(zip(todo, self.segment(todo), strict=True))
-        out = []
-        for words in split:
-            parts = [self.words[w] for w in self._settled(words)]
-            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
-        return out
+        self.words.update((w, ids.astype("<i4").tobytes()) for w, ids in zip(todo, self.segment(todo), strict=True))
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, self._settled(words))), "<i4") for words in split]
 
     def _words(self, text: str) -> list[str]:
         return WORD.findall(SPACE_PIECE + text.replace(" ", SPACE_PIECE)) if text else []
@@ -270,11 +281,11 @@ class PieceModel:
             if run:
                 # The last blank joins the run if its word leaves it alone.
                 ids = self.words[w]
-                alone = int(ids[0]) == self.id_of[SPACE_PIECE]
+                alone = ids[:4] == self.lone
                 self._key(out, run + alone)
                 if alone:
                     bare = f"{SPACE_PIECE}{SPACE_PIECE}{w}"
-                    self.words[bare] = ids[1:]
+                    self.words[bare] = ids[4:]
                     w = bare
                 run = 0
             out.append(w)
@@ -285,25 +296,13 @@ class PieceModel:
     def _key(self, out: list[str], n: int) -> None:
         key = SPACE_PIECE * (n + 1)
         if key not in self.words:
-            self.words[key] = np.array(self.blanks(n), np.int32)
+            self.words[key] = np.array(self.blanks(n), "<i4").tobytes()
         out.append(key)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes back to characters, blanks for their sign, and
         without the blank that encoding puts first."""
-        out, held = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == "byte":
-                held.append(int(self.texts[i][1:-1], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if self.kinds[i] == "text":
-                out.append(self.texts[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE_PIECE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -331,11 +330,15 @@ def code_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         model = PieceModel.at(model_path)
-        for batch in batches:
-            texts = [model.decode(ids) for ids in batch.column("piece_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("piece_ids"), pa.array(texts, pa.string())], ["doc_id", "piece_ids", "decoded"])
+        for batch in record_batches(batches, "text", BATCH_BYTES):
+            found = model.encode([t or "" for t in batch.column("text").to_pylist()])
+            bounds, ids = _flat(found)
+            texts = pa.array([model.decode(x.tolist()) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, ids), texts], ["doc_id", "piece_ids", "decoded"])
 
-    return encode_documents(docs, model_path).mapInArrow(run, "doc_id long, piece_ids array<int>, decoded string")
+    workers_import(docs.sparkSession)
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, piece_ids array<int>, decoded string")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -344,8 +347,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = PieceModel.at(model_path)
         for batch in batches:
-            texts = [None if ids is None else model.decode(ids) for ids in batch.column("piece_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for at in range(0, batch.num_rows, 256):  # a few hundred id lists at a time as Python numbers
+                part = batch.slice(at, 256)
+                texts = [None if ids is None else model.decode(ids) for ids in part.column("piece_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     workers_import(encoded.sparkSession)
     return encoded.select("doc_id", "piece_ids").mapInArrow(run, "doc_id long, text string")
