@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.session import shared_path
@@ -55,6 +55,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bounded_sample(rows: DataFrame, group: str, key: str, most: Column) -> DataFrame:
+    """At most ``most`` rows (an expression over ``group``) of each group, the
+    first by a hash of ``key``. Each group is first thinned by that hash to
+    about four times as many, by its counted size, so that what meets in one
+    task doesn't grow with the group."""
+    unit = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__size")).withColumnRenamed(group, "__of")
+    thin = rows.withColumn("__unit", unit).join(sizes, F.col(group).eqNullSafe(F.col("__of")))
+    thin = thin.where(F.col("__unit") * F.col("__size") <= 4 * most + 100)
+    order = Window.partitionBy(group).orderBy("__unit", key)
+    return thin.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(*rows.columns)
+
+
 def record_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``max_bytes`` of ``column``, so
     that Python memory does not follow the number of long texts in a batch."""

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import record_batches, workers_import
+from tidewater.llm.common import bounded_sample, record_batches, workers_import
 
 UNKNOWN = "und"
 
@@ -147,12 +147,10 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, params: Fit = Fit()) -> list[tuple[str, str]]:
     """At most ``per_language`` texts per language from outside the held-out
-    fold. Each task keeps its own first rows before the shuffle (a limit on a
-    row number), so no language meets in one task whole."""
+    fold, the first by a hash of the identifier."""
     learnable = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     ids = learnable.select(docs["lang"].cast("string").alias("l"), docs["doc_id"].cast("long").alias("d"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= params.per_language)
+    chosen = bounded_sample(ids, "l", "d", F.lit(params.per_language))
     first = chosen.select("l", F.col("d").alias("chosen")).distinct()
     texts = learnable.select(docs["lang"].cast("string").alias("lang"), docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("text"))
     rows = texts.join(first, (F.col("d") == F.col("chosen")) & (F.col("lang") == F.col("l")))

@@ -21,10 +21,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import record_batches, stage, workers_import
+from tidewater.llm.common import bounded_sample, record_batches, stage, workers_import
 
 
 @dataclass(frozen=True)
@@ -197,11 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Training = Training()) ->
     several labels has their majority (a tie is good); null labels don't count."""
     given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("d")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     ids = _narrow(docs).select(F.col("doc_id").alias("d")).where("d IS NOT NULL").distinct().join(given, "d", "left")
-    group = F.coalesce("y", F.lit(-1))
-    order = Window.partitionBy("g").orderBy(F.xxhash64("d"), "d")
-    # Row-number limits are applied in each task before the shuffle, so no group meets in one task.
-    picked = ids.withColumn("g", group).withColumn("n", F.row_number().over(order))
-    picked = picked.where(F.col("n") <= max(params.per_class, params.pool)).where(F.when(F.col("g") < 0, F.col("n") <= params.pool).otherwise(F.col("n") <= params.per_class))
+    ids = ids.select("d", F.coalesce("y", F.lit(-1)).alias("g"))
+    picked = bounded_sample(ids, "g", "d", F.when(F.col("g") < 0, params.pool).otherwise(params.per_class))
     picked = stage(picked.select(F.col("d").alias("chosen"), "g"), "quality-sample")
     own = _narrow(docs)
     rows = own.join(picked, own["doc_id"] == picked["chosen"]).select(*own.columns)
