@@ -46,7 +46,8 @@ def parse_quantity(x, strip_dollar: bool = False) -> Column:
     pattern = "[,$]" if strip_dollar else ","
     cleaned = F.trim(F.regexp_replace(_c(x).cast("string"), pattern, ""))
     first = F.split(cleaned, r"\s+").getItem(0)
-    return F.when(F.length(cleaned) > 0, first.try_cast("double"))
+    # a cast alone would also take type suffixes and hexadecimal numbers
+    return F.when(first.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), first.try_cast("double"))
 
 
 def loose_equal(a, b) -> Column:

@@ -395,7 +395,7 @@ def latest_review(documents: DataFrame, review_log: DataFrame) -> tuple[DataFram
 
 def manual_links(documents: DataFrame, link_log: DataFrame) -> DataFrame:
     """The latest manual link per document overrides the stored one."""
-    w = W.partitionBy("document_id").orderBy(F.desc("linked_at"))
+    w = W.partitionBy("document_id").orderBy(F.desc("linked_at"), F.desc("shipment_id"))  # a total order for ties
     last = (link_log.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
             .select("document_id", F.col("shipment_id").alias("manual_link")))
     return (documents.join(last, "document_id", "left")

@@ -80,7 +80,7 @@ PITFALLS = {
 
 
 def _ci(pattern: str) -> str:
-    return "(?iuU)" + pattern
+    return "(?iduU)" + pattern  # d: only a newline ends what a dot matches
 
 
 def _strip(x: Column) -> Column:

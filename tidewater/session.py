@@ -37,11 +37,14 @@ def build_session(master: str | None = None, app_name: str = "tidewater", **conf
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins. Only when it is unset (local tests) do we pick
-    a fresh folder of our own.
+    The cluster's setting wins. Only when it is unset and the master is local
+    (tests) do we pick a fresh folder of our own; elsewhere a folder of one
+    machine would be lost to the others, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidewater.config import SETTINGS
+from tidewater.session import ensure_checkpoint_dir
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, by Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, empty if nothing was ever written there; any
+    other failure to read it is raised."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_documents(spark: SparkSession, new_docs: DataFrame, path: str) -> DataFrame:
@@ -15,13 +30,16 @@ def append_documents(spark: SparkSession, new_docs: DataFrame, path: str) -> Dat
     The anti-join makes a replayed append idempotent; duplicates are reported
     back to the caller as the reference reports them as errors.
     """
-    try:
-        existing = spark.read.parquet(path).select("document_id")
-    except AnalysisException:
-        existing = spark.createDataFrame([], "document_id string")
+    existing = stored_table(spark, path, "document_id string").select("document_id")
     docs = new_docs.withColumn("review_status", F.lit("pending"))
-    fresh = docs.join(existing, "document_id", "left_anti")
-    dupes = docs.join(existing, "document_id", "left_semi").select("document_id")
+    # inside one append the first row of an id by its JSON text stays; the others are duplicates too
+    order = W.partitionBy("document_id").orderBy(F.to_json(F.struct(*new_docs.columns)))
+    ranked = docs.withColumn("__n", F.row_number().over(order))
+    fresh = ranked.filter("__n = 1").drop("__n").join(existing, "document_id", "left_anti")
+    dupes = (ranked.filter("__n > 1").select("document_id")
+             .unionByName(ranked.filter("__n = 1").join(existing, "document_id", "left_semi").select("document_id")))
+    ensure_checkpoint_dir(spark)
+    dupes = dupes.checkpoint()  # fixed before the append changes what is stored
     fresh.write.mode("append").partitionBy("document_type").parquet(path)
     return dupes
 
