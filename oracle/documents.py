@@ -183,10 +183,15 @@ review_log AS (
   UNION ALL SELECT document_id, 'rejected', NULL, upload_timestamp + INTERVAL 3 HOUR FROM docn WHERE n % 5 = 1
   UNION ALL SELECT document_id, 'corrected', '{"corrected_by": "reviewer ' || CAST(n % 7 AS VARCHAR) || '"}',
          upload_timestamp + INTERVAL 5 HOUR FROM docn WHERE n % 10 = 1
+  UNION ALL SELECT document_id, 'approved', NULL, upload_timestamp + INTERVAL 8 HOUR FROM docn WHERE n % 20 = 1
+  UNION ALL SELECT document_id, 'rejected', NULL, upload_timestamp + INTERVAL 2 HOUR FROM docn WHERE n % 15 = 0
   UNION ALL SELECT 'DOC-X' || CAST(n AS VARCHAR), 'approved', NULL, upload_timestamp FROM docn WHERE n % 9 = 0),
 last_review AS (
-  SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.document_id ORDER BY r.reviewed_at DESC) AS rn
-                 FROM review_log r WHERE r.document_id IN (SELECT document_id FROM extracted_documents)) WHERE rn = 1)"""
+  SELECT s.document_id, s.review_status, f.corrected_fields
+  FROM (SELECT document_id, review_status, row_number() OVER (PARTITION BY document_id ORDER BY reviewed_at DESC, review_status DESC) AS rn FROM review_log) s
+  LEFT JOIN (SELECT document_id, corrected_fields, row_number() OVER (PARTITION BY document_id ORDER BY reviewed_at DESC, corrected_fields DESC) AS rn
+             FROM review_log WHERE corrected_fields IS NOT NULL) f ON f.document_id = s.document_id AND f.rn = 1
+  WHERE s.rn = 1)"""
 
 LENIENT = rf"""
 l0 AS (SELECT document_id, {strip('response_text')} AS t FROM raw_responses),

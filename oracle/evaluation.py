@@ -162,7 +162,7 @@ summ2 AS (SELECT *, (jp + sv + sr + ct + cb) / 5.0 AS comp FROM summ)"""
 _MODEL_COLS = ", ".join(
     f"round(avg(correct_behavior) FILTER (WHERE model = '{m}') * 100, 1) AS "
     + "".join(ch if ch.isalnum() else "_" for ch in m.split("/")[-1]) for m in EVAL_MODELS)
-_FREE = ", ".join(f"'{m}'" for m, a, b in MODEL_PRICES if a == 0 and b == 0)
+_PAID = ", ".join(f"'{m}'" for m, a, b in MODEL_PRICES if a != 0 or b != 0)
 
 SQL.update({
     "j9_normalise_responses": ", " + RESULTS.lstrip().lstrip(",") + """
@@ -185,7 +185,7 @@ SELECT test_id, model, coalesce(nullif(error, ''), 'Incorrect behavior') AS erro
     "k12_winners": ", " + RESULTS.lstrip().lstrip(",") + f""",
 s3 AS (SELECT model, round(comp, 1) AS composite, round(CASE WHEN cost > 0 THEN comp / cost ELSE comp * 1000000 END, 2) AS eff FROM summ2)
 SELECT (SELECT model FROM s3 ORDER BY composite DESC, model DESC LIMIT 1) AS overall_winner,
-       (SELECT model FROM s3 WHERE model IN ({_FREE}) ORDER BY composite DESC, model DESC LIMIT 1) AS best_free,
+       (SELECT model FROM s3 WHERE model NOT IN ({_PAID}) ORDER BY composite DESC, model DESC LIMIT 1) AS best_free,
        (SELECT model FROM s3 ORDER BY eff DESC, model DESC LIMIT 1) AS best_efficiency""",
     "a14_eval_cases": ", " + RESULTS.lstrip().lstrip(",") + f"""
 SELECT DISTINCT test_id, category, array_to_string({_refs('truth_sql')}, ',') AS expected_tables

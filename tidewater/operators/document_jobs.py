@@ -88,6 +88,8 @@ def review_log(wh) -> DataFrame:
         action(doc, "rejected", F.lit(None), ts + F.expr("INTERVAL 3 HOURS"), n % 5 == 1),
         action(doc, "corrected", F.concat(F.lit('{"corrected_by": "reviewer '), (n % 7).cast("string"), F.lit('"}')),
                ts + F.expr("INTERVAL 5 HOURS"), n % 10 == 1),
+        action(doc, "approved", F.lit(None), ts + F.expr("INTERVAL 8 HOURS"), n % 20 == 1),  # after the correction
+        action(doc, "rejected", F.lit(None), ts + F.expr("INTERVAL 2 HOURS"), n % 15 == 0),  # at the time of an approval
         action(F.concat(F.lit("DOC-X"), n.cast("string")), "approved", F.lit(None), ts, n % 9 == 0))
     return (e.select(F.explode(ev).alias("r")).filter("r.keep")
             .select("r.document_id", "r.review_status", "r.corrected_fields", "r.reviewed_at"))

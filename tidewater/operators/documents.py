@@ -376,20 +376,24 @@ def to_stored(docs: DataFrame) -> DataFrame:
 
 
 def latest_review(documents: DataFrame, review_log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Latest-wins review merge. Returns (merged documents, unknown ids).
+    """Review merge, last status and last correction. Returns (merged documents, unknown ids).
 
     ``review_log``: (document_id, review_status, corrected_fields?, reviewed_at).
     """
     known = documents.select("document_id")
     unknown = review_log.join(known, "document_id", "left_anti").select("document_id").distinct()
-    w = W.partitionBy("document_id").orderBy(F.desc("reviewed_at"))
-    last = (review_log.join(known, "document_id", "left_semi")
-            .withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
-            .withColumnRenamed("review_status", "new_status"))
+    at = F.col("reviewed_at")
+    # the last status; the last correction, which a later approval keeps; equal times by value
+    last = (review_log.join(known, "document_id", "left_semi").groupBy("document_id").agg(
+        F.max_by("review_status", F.struct(at, F.col("review_status"))).alias("new_status"),
+        F.max_by("corrected_fields", F.when(F.col("corrected_fields").isNotNull(), F.struct(at, F.col("corrected_fields")))).alias("new_fields"),
+        F.max(at).alias("new_reviewed_at")))
+    reviewed = F.coalesce("new_reviewed_at", "reviewed_at") if "reviewed_at" in documents.columns else F.col("new_reviewed_at")
     merged = (documents.join(last, "document_id", "left")
               .withColumn("review_status", F.coalesce("new_status", "review_status"))
-              .withColumn("extracted_fields", F.coalesce("corrected_fields", "extracted_fields"))
-              .drop("new_status", "corrected_fields"))
+              .withColumn("extracted_fields", F.coalesce("new_fields", "extracted_fields"))
+              .withColumn("reviewed_at", reviewed)
+              .drop("new_status", "new_fields", "new_reviewed_at"))
     return merged, unknown
 
 

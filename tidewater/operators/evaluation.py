@@ -312,8 +312,9 @@ def failed_cases(costed: DataFrame) -> DataFrame:
 
 def winners(summary: DataFrame, prices: DataFrame) -> DataFrame:
     """Overall, best free, and most cost-efficient model."""
-    free = prices.filter((F.col("input_per_mtok") == 0) & (F.col("output_per_mtok") == 0)).select("model")
-    s = summary.join(free.withColumn("is_free", F.lit(True)), "model", "left")
+    # a model without a price is free
+    paid = prices.filter((F.col("input_per_mtok") != 0) | (F.col("output_per_mtok") != 0)).select("model", F.lit(True).alias("paid"))
+    s = summary.join(paid, "model", "left").withColumn("is_free", F.col("paid").isNull())
     return s.agg(
         F.max_by("model", F.struct("composite_score", F.col("model"))).alias("overall_winner"),
         F.max_by(F.when(F.col("is_free"), F.col("model")),
