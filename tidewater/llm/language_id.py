@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_sample, record_batches, workers_import
+from tidewater.llm.common import bounded_sample, record_batches, stage, workers_import
 
 UNKNOWN = "und"
 
@@ -151,7 +151,8 @@ def training_sample(docs: DataFrame, params: Fit = Fit()) -> list[tuple[str, str
     learnable = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     ids = learnable.select(docs["lang"].cast("string").alias("l"), docs["doc_id"].cast("long").alias("d"))
     chosen = bounded_sample(ids, "l", "d", F.lit(params.per_language))
-    first = chosen.select("l", F.col("d").alias("chosen")).distinct()
+    # A written table of known size: the join below moves it and not the texts, as long as Spark finds it small.
+    first = stage(chosen.select("l", F.col("d").alias("chosen")).distinct(), "language-sample")
     texts = learnable.select(docs["lang"].cast("string").alias("lang"), docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("text"))
     rows = texts.join(first, (F.col("d") == F.col("chosen")) & (F.col("lang") == F.col("l")))
     return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
