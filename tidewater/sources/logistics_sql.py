@@ -13,17 +13,16 @@ from tidewater.config import (
     MILESTONES,
 )
 
-# fixed values: carrier brand stems and event descriptions (ours, not matched)
+# invented names; one contains the name that the corpus asks for
 CARRIER_BRANDS = [
-    "Maersk Line", "Mediterranean Shipping", "COSCO Shipping", "CMA CGM", "Hapag-Lloyd",
-    "Evergreen Marine", "DHL Express", "FedEx Express", "UPS Supply Chain", "DB Schenker",
-    "Kuehne+Nagel", "XPO Logistics",
+    "Maersk Demo", "Blue Heron Lines", "Northlight Freight", "Amber Coast Cargo", "Quartz Bay Shipping",
+    "Juniper Haulage", "Skylark Air", "Tern Parcel", "Copper Rail", "Fjordway Forwarding", "Saltmarsh Logistics", "Willow Road Transport",
 ]
 STEP_DESCRIPTIONS = [
-    "Booked", "Picked Up", "Departed origin", "In Transit",
-    "Arrived at port", "Customs Cleared", "Out For Delivery", "Delivered to consignee",
+    "Order taken", "Loaded at shipper", "Left the first terminal", "Moving between terminals",
+    "Reached the harbour", "Released by customs", "On the last mile", "Handed over",
 ]
-CREATED_BY = ["system", "carrier_api", "manual", "edi"]
+CREATED_BY = ["system", "scanner", "clerk", "partner_feed"]
 
 
 def _pick(expr: str, values: list[str]) -> str:
