@@ -198,7 +198,13 @@ l0 AS (SELECT document_id, {strip('response_text')} AS t FROM raw_responses),
 l1 AS (SELECT document_id, t, string_split(t, chr(10)) AS lines FROM l0),
 l2 AS (SELECT document_id, t,
               {strip("CASE WHEN starts_with(t, '```') THEN array_to_string(list_slice(lines, 2, len(lines) - CASE WHEN trim(lines[len(lines)]) = '```' THEN 1 ELSE 0 END), chr(10)) ELSE t END")} AS cleaned
-       FROM l1)"""
+       FROM l1),
+l3 AS (SELECT *, CASE WHEN json_valid(cleaned) AND t <> '' THEN json_type(cleaned) = 'OBJECT' AND json_type(cleaned, '$.fields') IS NOT NULL
+              AND json_type(cleaned, '$.confidence_scores') IS NOT NULL AND json_type(cleaned, '$.document_type') IS NOT NULL ELSE false END AS ok FROM l2),
+l4 AS (SELECT *, CASE WHEN ok AND json_type(cleaned, '$.confidence_scores') = 'OBJECT' THEN list_filter(list_transform(
+              map_values(CAST(json_extract(cleaned, '$.confidence_scores') AS MAP(VARCHAR, JSON))),
+              lambda x: CASE WHEN json_type(x) = 'BOOLEAN' THEN CAST(CAST(x AS BOOLEAN) AS DOUBLE) WHEN json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN greatest(0.0, least(1.0, CAST(x AS DOUBLE))) END), lambda x: x IS NOT NULL)
+              END AS nums FROM l3)"""
 
 
 def _w(ctes: str, body: str) -> str:
@@ -218,8 +224,10 @@ SELECT document_id,
             WHEN json_type(cleaned) <> 'OBJECT' THEN 'Expected a JSON object, got something else.'
             WHEN json_type(cleaned, '$.fields') IS NULL THEN 'Missing required key: ''fields'''
             WHEN json_type(cleaned, '$.confidence_scores') IS NULL THEN 'Missing required key: ''confidence_scores'''
-            WHEN json_type(cleaned, '$.document_type') IS NULL THEN 'Missing required key: ''document_type''' END AS reason
-FROM l2"""),
+            WHEN json_type(cleaned, '$.document_type') IS NULL THEN 'Missing required key: ''document_type''' END AS reason,
+       CASE WHEN ok THEN CAST(coalesce(len(nums), 0) AS INTEGER) END AS n_scores,
+       CASE WHEN ok THEN round(coalesce(list_sum(nums), 0.0), 6) END AS score_sum
+FROM l4"""),
     "i4_long_fields": _w(PARSED, """
 SELECT document_id, CAST(pos AS INTEGER) AS pos, field, value, round(conf, 4) AS confidence, conf < 0.7 AS needs_review FROM fl"""),
     "i6_overall_confidence": _w(PARSED, """

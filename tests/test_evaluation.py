@@ -8,11 +8,11 @@ from tidewater.operators import evaluation as E
 
 def test_question_scores(spark):
     df = spark.createDataFrame([
-        ("m", 1, 1, 3, ["3", "1"]),       # relevant first
-        ("m", 1, 2, 1, ["3", "5", "1"]),  # relevant third
-        ("m", 1, 3, 7, ["3", "5"]),       # missed
-        ("m", 1, 4, 2, []),               # nothing retrieved
-    ], "model string, dims int, vec_id long, label int, retrieved array<string>")
+        ("m", 1.0, 1, 3, ["3", "1"]),       # relevant first
+        ("m", 1.0, 2, 1, ["3", "5", "1"]),  # relevant third
+        ("m", 1.0, 3, 7, ["3", "5"]),       # missed
+        ("m", 1.0, 4, 2, []),               # nothing retrieved
+    ], "model string, cost double, vec_id long, label int, retrieved array<string>")
     out = {r["vec_id"]: r for r in E.question_scores(df).collect()}
     assert (out[1]["hit"], out[1]["precision"], out[1]["reciprocal_rank"]) == (True, 0.5, 1.0)
     assert out[2]["reciprocal_rank"] == pytest.approx(1 / 3) and out[2]["precision"] == pytest.approx(1 / 3)
@@ -22,10 +22,10 @@ def test_question_scores(spark):
 
 def test_retrieved_tables_keep_rank_order(spark):
     hits = spark.createDataFrame([
-        ("m", 1, 9, 0, 2, "rel_1_2", None, "1", "2"),
-        ("m", 1, 9, 0, 1, "table_2", "2", None, None),
-        ("m", 1, 9, 0, 3, "table_0", "0", None, None),
-    ], "model string, dims int, vec_id long, label int, rank int, doc_id string, table string, "
+        ("m", 1.0, 9, 0, 2, "rel_1_2", None, "1", "2"),
+        ("m", 1.0, 9, 0, 1, "table_2", "2", None, None),
+        ("m", 1.0, 9, 0, 3, "table_0", "0", None, None),
+    ], "model string, cost double, vec_id long, label int, rank int, doc_id string, table string, "
        "from_table string, to_table string")
     r = E.retrieved_tables(hits).collect()[0]
     assert r["retrieved"] == ["2", "1", "0"]
@@ -36,7 +36,7 @@ def test_nearest_documents_exact_cosine(spark):
                                  (2, [0.9, 0.1] + [0.0] * 62, 0)], "vec_id long, embedding array<float>, label int")
     coll = E.knowledge_collection(emb)
     assert sorted(r["doc_id"] for r in coll.collect()) == ["rel_0_1", "table_0", "table_1"]
-    hits = E.nearest_documents(emb, coll, k=1).filter(F.col("model") == "dims-64")
+    hits = E.nearest_documents(emb, coll, k=1).filter(F.col("model") == "full")
     top = {r["vec_id"]: r["doc_id"] for r in hits.collect()}
     assert top[1] == "table_1" and top[2] == "table_0"
 
@@ -52,7 +52,7 @@ def test_normalise_model_response(spark):
     assert (out[4]["json_parse_ok"], out[4]["parse_error"]) == (False, "JSON parsed but missing 'sql' key")
     assert out[5]["parse_error"] == "JSON decode error"
     assert out[6]["parse_error"] == "Empty response from model"
-    assert out[7]["parse_error"] == "Expected JSON object, got array"
+    assert out[7]["parse_error"] == "Expected JSON object, got list"
 
 
 def test_behaviour_scoring(spark):

@@ -78,3 +78,45 @@ def clamp01(x) -> Column:
 def business_key(prefix: str, year, key, width: int = 6) -> Column:
     """Zero-padded key like ``SHP-YYYY-NNNNNN`` (never truncates)."""
     return F.format_string(f"{prefix}-%d-%0{width}d", _c(year), _c(key))
+
+
+def bound(value, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def python_type(schema: Column) -> Column:
+    """Python type name of a JSON value from its variant schema string."""
+    return (F.when(schema.startswith("OBJECT"), "dict").when(schema.startswith("ARRAY"), "list")
+            .when(schema == "STRING", "str").when(schema == "BOOLEAN", "bool")
+            .when(schema == "BIGINT", "int").when(schema == "VOID", "NoneType").otherwise("float"))
+
+
+def complete_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing more, else null.
+
+    Spark's parser stops where a value ends. Text that goes on is found by
+    setting it between other members: what may follow a value inside an array
+    is never what may follow it inside an object, so only a complete value
+    parses in both places.
+    """
+    return bound(text, _complete_json)
+
+
+def _complete_json(text: Column) -> Column:
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"w":0}')))
+    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
+
+
+def float_text(x) -> Column:
+    """A double as Python prints it: plain digits from 1e-4 up to 1e16, an
+    exponent of two digits and more outside."""
+    text = _c(x).cast("string")
+    size = F.abs(_c(x))
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2")
+    power = F.regexp_replace(F.regexp_replace(power, r"E-", "e-"), r"E", "e+")
+    return (F.when(~F.contains(text, F.lit("E")), text)
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(power))

@@ -29,7 +29,11 @@ def i1_i2_parse_status(wh) -> DataFrame:
 
 
 def i3_lenient_check(wh) -> DataFrame:
-    return D.lenient_check(wh.raw_responses)
+    checked = D.lenient_check(wh.raw_responses)
+    values = F.coalesce(F.map_values("clamped_scores"), F.array().cast("array<double>"))
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return checked.select("document_id", "passed", "reason", F.when(F.col("passed"), F.size(values)).alias("n_scores"),
+                          F.when(F.col("passed"), F.round(total, 6)).alias("score_sum"))
 
 
 def i4_long_fields(wh) -> DataFrame:

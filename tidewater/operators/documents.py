@@ -17,18 +17,12 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import EXPECTED_FIELDS, SETTINGS
-from tidewater.functions import clamp01, parse_quantity
+from tidewater.functions import clamp01, complete_json, float_text, parse_quantity, python_type
+from tidewater.session import accept_repeated_keys
 
 NUMERIC_PREFIXES = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
-def _py_type(schema: Column) -> Column:
-    """Python type name of a JSON value from its variant schema string."""
-    return (F.when(schema.startswith("OBJECT"), "dict").when(schema.startswith("ARRAY"), "list")
-            .when(schema == "STRING", "str").when(schema == "BOOLEAN", "bool")
-            .when(schema == "BIGINT", "int").when(schema == "VOID", "NoneType").otherwise("float"))
-
-
 def _is_numeric(schema: Column) -> Column:
     return schema.rlike("^(" + "|".join(NUMERIC_PREFIXES) + ")")
 
@@ -45,20 +39,21 @@ def unwrap_response(df: DataFrame, text_col: str) -> DataFrame:
     """Strip code fences; parse; else the outermost ``{...}``.
 
     Adds ``_json`` (the JSON text that parsed) and ``_v`` (its VARIANT); both
-    NULL when nothing parses. Each stage is its own column so no parse is
-    repeated.
+    NULL when nothing parses. Lambda variables bind each step once, so no
+    parse is repeated.
     """
+    def parsed(text: Column) -> Column:
+        return F.transform(F.array(text), lambda u: F.struct(u.alias("text"), complete_json(u).alias("v")))[0]
+
     t = _strip(F.col(text_col))
-    return (df.withColumn("_t", t)
-            .withColumn("_u", F.when(F.col("_t").startswith("```"), _strip(F.regexp_replace(
-                F.regexp_replace("_t", r"^```(?:json|sql)?\s*\n?", ""), r"\n?```\s*$", "")))
-                .otherwise(F.col("_t")))
-            .withColumn("_direct", F.try_parse_json("_u"))
-            .withColumn("_braces", F.when(F.col("_direct").isNull(), F.regexp_extract("_u", r"(?s)\{.*\}", 0)))
-            .withColumn("_v", F.coalesce("_direct", F.try_parse_json("_braces")))
-            .withColumn("_json", F.when(F.col("_direct").isNotNull(), F.col("_u"))
-                        .when(F.col("_v").isNotNull(), F.col("_braces")))
-            .drop("_t", "_u", "_direct", "_braces"))
+    fenced = _strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json|sql)?\s*\n?", ""), r"\n?```\s*$", ""))
+    whole = parsed(F.when(t.startswith("```"), fenced).otherwise(t))
+    found = F.transform(F.array(whole), lambda d: F.when(d["v"].isNotNull(), d).otherwise(
+        parsed(F.regexp_extract(d["text"], r"(?s)\{.*\}", 0))))[0]
+    return (df.withColumn("_found", found)
+            .withColumn("_v", F.col("_found.v"))
+            .withColumn("_json", F.when(F.col("_v").isNotNull(), F.col("_found.text")))
+            .drop("_found"))
 
 
 def structure_reason(v: Column) -> Column:
@@ -68,42 +63,60 @@ def structure_reason(v: Column) -> Column:
     conf = F.schema_of_variant(F.variant_get(v, "$.confidence_scores", "variant"))
     return (
         F.when(v.isNull(), F.lit("Invalid JSON: no parsable object in response"))
-        .when(~top.startswith("OBJECT"), F.concat(F.lit("Expected JSON object, got "), _py_type(top)))
+        .when(~top.startswith("OBJECT"), F.concat(F.lit("Expected JSON object, got "), python_type(top)))
         .when(fields.isNull(), F.lit("Missing required key 'fields' in response JSON"))
-        .when(~fields.startswith("OBJECT"), F.concat(F.lit("'fields' must be a dict, got "), _py_type(fields)))
+        .when(~fields.startswith("OBJECT"), F.concat(F.lit("'fields' must be a dict, got "), python_type(fields)))
         .when(conf.isNull(), F.lit("Missing required key 'confidence_scores' in response JSON"))
         .when(~conf.startswith("OBJECT"),
-              F.concat(F.lit("'confidence_scores' must be a dict, got "), _py_type(conf)))
+              F.concat(F.lit("'confidence_scores' must be a dict, got "), python_type(conf)))
         .when(fields == "OBJECT<>", F.lit("'fields' is empty — no data was extracted from the document"))
     )
 
 
 def lenient_check(raw: DataFrame) -> DataFrame:
-    """The standalone lenient check (fences by line, required keys, clamp)."""
-    t = _strip(F.col("response_text"))
+    """The standalone lenient check (fences by line, required keys).
+
+    ``cleaned`` is the JSON of a passing response with its numeric confidence
+    scores clamped to 0..1, ``clamped_scores`` those scores by name.
+    """
+    accept_repeated_keys(raw.sparkSession)
+    t = _strip(F.coalesce(F.col("response_text"), F.lit("")))
     lines = F.split(t, "\n")
     body = F.when(t.startswith("```"), F.array_join(
         F.slice(lines, 2, F.greatest(F.size(lines) - 1 - F.when(
             F.trim(F.element_at(lines, -1)) == "```", 1).otherwise(0), F.lit(0))), "\n"))
-    cleaned = _strip(F.coalesce(body, t))
-    v = F.try_parse_json(cleaned)
+    staged = raw.select("document_id", t.alias("_t"), complete_json(_strip(F.coalesce(body, t))).alias("_v"))
+    v = F.col("_v")
     top = F.schema_of_variant(v)
 
     def has(key: str) -> Column:
         return F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant")).isNotNull()
 
-    reason = (F.when(t == "", F.lit("Empty response from vision model."))
+    reason = (F.when(F.col("_t") == "", F.lit("Empty response from vision model."))
               .when(v.isNull(), F.lit("Invalid JSON"))
               .when(~top.startswith("OBJECT"), F.lit("Expected a JSON object, got something else.")))
     for key in ("fields", "confidence_scores", "document_type"):
         reason = reason.when(~has(key), F.lit(f"Missing required key: '{key}'"))
-    return raw.select("document_id", reason.isNull().alias("passed"), reason.alias("reason"))
+
+    def clamped(x: Column) -> Column:  # a boolean counts as a number, as in Python
+        number = F.when(F.schema_of_variant(x) == "BOOLEAN", x.try_cast("boolean").cast("double")).when(
+            _is_numeric(F.schema_of_variant(x)), x.try_cast("double"))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
+
+    scores = F.try_variant_get(v, "$.confidence_scores", "map<string,variant>")
+    numbers = F.map_filter(F.transform_values(scores, lambda k, x: F.when(x.isNotNull(), clamped(x))), lambda k, x: x.isNotNull())
+    kept = F.transform_values(scores, lambda k, x: F.coalesce(clamped(x).cast("variant"), x))
+    whole = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.when(
+        (k == "confidence_scores") & F.col("_scores").isNotNull(), F.to_variant_object(F.col("_scores"))).otherwise(x))
+    return (staged.withColumn("reason", reason).withColumn("_scores", kept)
+            .select("document_id", F.col("reason").isNull().alias("passed"), "reason",
+                    F.when(F.col("reason").isNull(), F.to_json(whole)).alias("cleaned"),
+                    F.when(F.col("reason").isNull(), numbers).alias("clamped_scores")))
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
     """I1 + I2: one row per response with parse status and the JSON parts."""
-    # Python's json accepts a repeated key (last value wins); so must the VARIANT parser
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    accept_repeated_keys(raw.sparkSession)
     return (unwrap_response(raw, "response_text")
             .withColumn("parse_error", structure_reason(F.col("_v")))
             .select("document_id", "file_name", "document_type", "model", "parse_error",
@@ -222,21 +235,17 @@ def _plain_float(f: Column) -> Column:
     return F.when(f.isNotNull() & (_is_numeric(t) | (t == "STRING")), F.trim(f["value"]).try_cast("double"))
 
 
-def _num_text(x: Column) -> Column:
-    return x.cast("string")
-
-
 def consistency_warnings(document_type: Column, fmap: Column) -> Column:
     """Array of rule messages in the reference's order."""
     sub, tot, tax = (_plain_float(_value(fmap, n)) for n in ("subtotal", "total_amount", "tax_amount"))
     inv_low = F.when(sub.isNotNull() & tot.isNotNull() & (tot < sub * 0.99), F.concat(
-        F.lit("Inconsistency: total_amount ("), _num_text(tot), F.lit(") is less than subtotal ("),
-        _num_text(sub), F.lit(").")))
+        F.lit("Inconsistency: total_amount ("), float_text(tot), F.lit(") is less than subtotal ("),
+        float_text(sub), F.lit(").")))
     exp = sub + tax
     inv_gap = F.when(sub.isNotNull() & tot.isNotNull() & tax.isNotNull()
                      & (F.abs(exp - tot) > tot * 0.02 + 0.01), F.concat(
-        F.lit("Inconsistency: subtotal ("), _num_text(sub), F.lit(") + tax ("), _num_text(tax),
-        F.lit(") = "), _num_text(exp), F.lit(", but total_amount is "), _num_text(tot), F.lit(".")))
+        F.lit("Inconsistency: subtotal ("), float_text(sub), F.lit(") + tax ("), float_text(tax),
+        F.lit(") = "), float_text(exp), F.lit(", but total_amount is "), float_text(tot), F.lit(".")))
 
     pol, pod = _value(fmap, "port_of_loading"), _value(fmap, "port_of_discharge")
     bol_same = F.when(_truthy(pol) & _truthy(pod)
@@ -246,8 +255,8 @@ def consistency_warnings(document_type: Column, fmap: Column) -> Column:
     gross, net, pk = (_value(fmap, n) for n in ("total_gross_weight", "total_net_weight", "total_packages"))
     g, n, p = parse_quantity(gross["value"]), parse_quantity(net["value"]), parse_quantity(pk["value"])
     pl_net = F.when(g.isNotNull() & n.isNotNull() & (n > g), F.concat(
-        F.lit("Inconsistency: net weight ("), _num_text(n), F.lit(") exceeds gross weight ("),
-        _num_text(g), F.lit(").")))
+        F.lit("Inconsistency: net weight ("), float_text(n), F.lit(") exceeds gross weight ("),
+        float_text(g), F.lit(").")))
     pl_pkg = F.when(p.isNotNull() & (p <= 0), F.lit("Inconsistency: total_packages should be positive."))
 
     dv = parse_quantity(_value(fmap, "declared_value")["value"], strip_dollar=True)

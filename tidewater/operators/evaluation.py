@@ -1,14 +1,11 @@
 """Retrieval and evaluation analytics.
 
-Retrieval: every stored vector is a question; the knowledge collection is
-built by Spark from the same table (one centroid per label, the "table
-documents", and one per neighbouring label pair, the "relationship
-documents"). The collection has at most 2 x (number of labels) rows, checked
-before it is broadcast, so each question meets a bounded candidate list on an
-equi-join (the embedding model), never a join of the data with itself.
-
-Evaluation: a results table is built per (question, model) from the screens
-and the SQL log, then rolled up like the reference's reports.
+Retrieval: every stored vector is a question; the collections are built by
+Spark from the same table (centroid documents, and one example per label). A
+collection of any size is cut into blocks; a question meets a block as one
+row, keeps its best k of it, and the k of every block are merged.
+
+Evaluation: replies of any models are parsed, scored and rolled up.
 """
 
 from __future__ import annotations
@@ -16,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tidewater.functions import bound, complete_json, python_type
 from tidewater.operators import screens as S
 
 # --- fixed values: model price table (USD per million tokens) ---
@@ -35,12 +33,9 @@ REFUSAL_PHRASES = [
     "not supported",
 ]
 
-# models evaluated in our results table (one is priced, one is unknown to the price table)
-EVAL_MODELS = ["openrouter/qwen/qwen3-coder", "google/gemini-2.5-flash", "openrouter/deepseek/deepseek-chat",
-               "openrouter/anthropic/claude-sonnet-4", "local/unpriced-model"]
-# embedding "models": how many leading dimensions each one reads
-EMBEDDING_MODELS = [("dims-64", 64), ("dims-32", 32), ("dims-16", 16)]
-MAX_COLLECTION_ROWS = 100_000
+# representations of a stored vector, each of the whole vector: (name, bits per dimension)
+EMBEDDING_MODELS = [("full", 32), ("sign", 1)]
+BLOCK_ROWS = 4096  # documents of a collection that a question meets as one row
 
 
 # ------------------------------------------------------------------ retrieval
@@ -56,59 +51,77 @@ def knowledge_collection(embeddings: DataFrame) -> DataFrame:
     per_dim = exploded.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     labels = per_dim.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
-    ordered = labels.withColumn("next_label", F.lead("label").over(W.orderBy("label")))  # one row per label
-    tables = ordered.select(F.concat(F.lit("table_"), F.col("label").cast("string")).alias("doc_id"), "vec",
-                            F.col("label").cast("string").alias("table"),
-                            F.lit(None).cast("string").alias("from_table"),
-                            F.lit(None).cast("string").alias("to_table"))
-    nxt = ordered.filter(F.col("next_label").isNotNull()).alias("a").join(
-        labels.alias("b"), F.col("a.next_label") == F.col("b.label"))
-    pairs = nxt.select(
+    name = F.col("label").cast("string")
+    none = F.lit(None).cast("string")
+    tables = labels.select(F.concat(F.lit("table_"), name).alias("doc_id"), "vec", name.alias("table"),
+                           none.alias("from_table"), none.alias("to_table"))
+    pairs = labels.alias("a").join(labels.alias("b"), F.col("a.label") + 1 == F.col("b.label")).select(
         F.concat(F.lit("rel_"), F.col("a.label").cast("string"), F.lit("_"), F.col("b.label").cast("string"))
         .alias("doc_id"),
-        F.zip_with("a.vec", "b.vec", lambda x, y: (x + y) / 2).alias("vec"),
-        F.lit(None).cast("string").alias("table"),
+        F.zip_with("a.vec", "b.vec", lambda x, y: (x + y) / 2).alias("vec"), none.alias("table"),
         F.col("a.label").cast("string").alias("from_table"), F.col("b.label").cast("string").alias("to_table"))
     return tables.unionByName(pairs)
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v * v))
-    return dot / (na * nb)
+def example_collection(embeddings: DataFrame) -> DataFrame:
+    """The worked examples: the vector with the smallest id of each label."""
+    first = embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec"), F.min("vec_id").alias("id"))
+    none = F.lit(None).cast("string")
+    return first.select(F.concat(F.lit("example_"), F.col("id").cast("string")).alias("doc_id"), "vec",
+                        F.col("label").cast("string").alias("table"), none.alias("from_table"), none.alias("to_table"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def _model_view(df: DataFrame, vec_col: str) -> DataFrame:
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(d).alias("dims")) for m, d in EMBEDDING_MODELS])
-    return (df.select("*", F.explode(models).alias("mv"))
-            .withColumn(vec_col, F.transform(F.slice(vec_col, 1, F.col("mv.dims")), lambda x: x.cast("double")))
-            .withColumn("model", F.col("mv.model")).withColumn("dims", F.col("mv.dims")).drop("mv"))
+def _represented(df: DataFrame, vec_col: str) -> DataFrame:
+    """One row per model: its representation of the whole vector, the norm, and
+    the bytes that a vector takes (the cost of a comparison)."""
+    whole = F.transform(vec_col, lambda x: x.cast("double"))
+    signs = F.transform(vec_col, lambda x: F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    views = F.array(*[F.struct(F.lit(m).alias("model"), (whole if m == "full" else signs).alias("vec"),
+                               (F.size(vec_col) * bits / 8).alias("cost")) for m, bits in EMBEDDING_MODELS])
+    rest = [c for c in df.columns if c != vec_col]
+    return (df.select(*rest, F.explode(views).alias("view")).select(*rest, "view.*")
+            .withColumn("norm", F.sqrt(_total(F.transform("vec", lambda v: v * v)))))
 
 
-def nearest_documents(questions: DataFrame, collection: DataFrame, k: int = 5) -> DataFrame:
-    """K1 + E4: top-k documents by cosine similarity per (model, question).
+def nearest_documents(questions: DataFrame, collection: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """K1 + E4: the exact top-k documents by cosine similarity per (model, question).
 
-    The collection side is counted first; it is broadcast only under a fixed
-    row bound (it is per-label, so it does not grow with the vectors).
+    The collection may have any size: the number of its blocks follows its
+    count, a block is one row of about ``block_rows`` documents, and each
+    question sends k candidates per block to the final ranking.
     """
-    n_docs = collection.count()
-    if n_docs > MAX_COLLECTION_ROWS:
-        raise ValueError(f"collection has {n_docs} rows; above {MAX_COLLECTION_ROWS} use an LSH prefilter")
-    docs = F.broadcast(_model_view(collection, "vec"))
-    q = _model_view(questions.select("vec_id", "label", F.col("embedding")), "embedding")
-    j = q.join(docs, ["model", "dims"]).withColumn("similarity", _cosine(F.col("embedding"), F.col("vec")))
-    w = W.partitionBy("model", "vec_id").orderBy(F.desc("similarity"), F.asc("doc_id"))  # <= 2L rows each
-    return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("model", "dims", "vec_id", "label", "rank", "doc_id", "table", "from_table", "to_table"))
+    blocks = -(-collection.count() // block_rows) or 1
+    docs = (_represented(collection, "vec").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+            .groupBy("model", "block")
+            .agg(F.collect_list(F.struct("doc_id", "vec", "norm", "table", "from_table", "to_table")).alias("docs")))
+    asked = (_represented(questions.select("vec_id", "label", "embedding"), "embedding")
+             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))))
+
+    def scored(d: Column) -> Column:
+        dot = _total(F.zip_with("vec", d["vec"], lambda x, y: x * y))
+        similarity = F.coalesce(F.try_divide(dot, F.col("norm") * d["norm"]), F.lit(0.0))
+        return F.struct((-similarity).alias("distance"), d["doc_id"].alias("doc_id"), d["table"].alias("table"),
+                        d["from_table"].alias("from_table"), d["to_table"].alias("to_table"))
+
+    best = F.slice(F.array_sort(F.transform("docs", scored)), 1, k)
+    candidates = (asked.join(docs, ["model", "block"])
+                  .select("model", "cost", "vec_id", "label", F.explode(best).alias("hit"))
+                  .select("model", "cost", "vec_id", "label", "hit.*"))
+    w = W.partitionBy("model", "vec_id").orderBy("distance", "doc_id")  # k rows per block
+    return (candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("model", "cost", "vec_id", "label", "rank", "doc_id", "table", "from_table", "to_table"))
 
 
 def retrieved_tables(hits: DataFrame) -> DataFrame:
     """K2 + E6 + G4: ordered distinct table names per question from three metadata keys."""
-    g = hits.groupBy("model", "dims", "vec_id", "label").agg(
+    g = hits.groupBy("model", "cost", "vec_id", "label").agg(
         F.array_sort(F.collect_list(F.struct("rank", "table", "from_table", "to_table"))).alias("h"))
     names = F.flatten(F.transform("h", lambda x: F.array(x["table"], x["from_table"], x["to_table"])))
-    return g.select("model", "dims", "vec_id", "label",
+    return g.select("model", "cost", "vec_id", "label",
                     F.array_distinct(F.filter(names, lambda x: x.isNotNull())).alias("retrieved"))
 
 
@@ -118,7 +131,7 @@ def question_scores(retrieved: DataFrame) -> DataFrame:
     pos = F.array_min(F.filter(F.transform(expected, lambda e: F.array_position("retrieved", e)),
                                lambda p: p > 0))
     return retrieved.select(
-        "model", "dims", "vec_id", "label",
+        "model", "cost", "vec_id", "label",
         (F.size(F.array_except(expected, "retrieved")) == 0).alias("hit"),
         F.when(F.size(F.array_except(expected, "retrieved")) == 0, 1.0).otherwise(0.0).alias("recall"),
         F.when(F.size("retrieved") > 0,
@@ -128,13 +141,13 @@ def question_scores(retrieved: DataFrame) -> DataFrame:
 
 
 def model_retrieval_summary(scores: DataFrame) -> DataFrame:
-    """K4 + K6: per-model means and the balance score (speed from dimensions read)."""
-    per = scores.groupBy("model", "dims").agg(
+    """K4 + K6: per-model means and the balance score (speed from the bytes a comparison reads)."""
+    per = scores.groupBy("model", "cost").agg(
         F.round(F.avg("recall"), 4).alias("recall_at_5"), F.round(F.avg("precision"), 4).alias("precision_at_5"),
         F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.count("*").alias("total"),
         F.count_if("hit").alias("hits"))
-    max_cost = F.max("dims").over(W.partitionBy())  # one row per model: bounded
-    speed = F.when(max_cost > 0, 1.0 - F.col("dims") / max_cost).otherwise(0.5)
+    max_cost = F.max("cost").over(W.partitionBy())  # one row per model: bounded
+    speed = F.when(max_cost > 0, 1.0 - F.col("cost") / max_cost).otherwise(0.5)
     return per.select("model", "recall_at_5", "precision_at_5", "mrr", "hits",
                       (F.col("total") - F.col("hits")).alias("misses"),
                       F.round(F.col("recall_at_5") * 0.7 + F.col("mrr") * 0.2 + speed * 0.1, 4).alias("balance"))
@@ -151,32 +164,39 @@ def category_recall(scores: DataFrame) -> DataFrame:
 
 def normalise_model_response(raw: Column) -> Column:
     """struct(json_parse_ok, sql, tables_used, parse_error) from a model reply."""
-    t = S._strip(raw)
-    no_think = S._strip(F.regexp_replace(t, r"(?s)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(no_think, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
-    body = F.when(no_think.rlike(r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"), S._strip(fenced)).otherwise(no_think)
-    braced = F.when(~body.startswith("{") & body.rlike(r"(?s)\{.*\}"),
-                    F.regexp_extract(body, r"(?s)\{.*\}", 0)).otherwise(body)
-    v = F.try_parse_json(braced)
-    top = F.schema_of_variant(v)
-    sql_t = F.schema_of_variant(F.variant_get(v, "$.sql", "variant"))
-    tables_t = F.schema_of_variant(F.variant_get(v, "$.tables_used", "variant"))
-    is_obj = top.startswith("OBJECT")
-    has_sql = is_obj & sql_t.isNotNull()
-    sql = F.when(has_sql & (sql_t == "STRING"), F.variant_get(v, "$.sql", "string")).when(
-        has_sql & (sql_t != "VOID"), F.to_json(F.variant_get(v, "$.sql", "variant")))
-    tables = (F.when(tables_t == "STRING", F.array(F.variant_get(v, "$.tables_used", "string")))
-              .when(tables_t.startswith("ARRAY"), F.try_variant_get(v, "$.tables_used", "array<string>"))
-              .otherwise(F.array().cast("array<string>")))
+    fence = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
+
+    def unfenced(x: Column) -> Column:
+        return F.when(x.rlike(fence), S._strip(F.regexp_extract(x, fence, 1))).otherwise(x)
+
+    def braced(x: Column) -> Column:
+        return F.when(~x.startswith("{") & x.rlike(r"(?s)\{.*\}"), F.regexp_extract(x, r"(?s)\{.*\}", 0)).otherwise(x)
+
+    def read(t: Column) -> Column:
+        plain = S._strip(F.regexp_replace(t, r"(?s)<think>.*?</think>", ""))
+        return bound(complete_json(bound(bound(plain, unfenced), braced)), lambda v: bound(
+            F.struct(t.alias("t"), v.alias("v"), F.variant_get(v, "$.sql", "variant").alias("sql"),
+                     F.variant_get(v, "$.tables_used", "variant").alias("tables"),
+                     F.schema_of_variant(v).alias("top")), _reply_parts))
+
+    return bound(S._strip(F.coalesce(raw, F.lit(""))), read)
+
+
+def _reply_parts(r: Column) -> Column:
+    t, v, top = r["t"], r["v"], r["top"]
+    sql_t, tables_t = F.schema_of_variant(r["sql"]), F.schema_of_variant(r["tables"])
+    none = F.array().cast("array<string>")
+    is_obj = F.coalesce(top.startswith("OBJECT"), F.lit(False)) & (t != "")
+    ok = is_obj & sql_t.isNotNull()
+    sql = F.when(sql_t == "STRING", r["sql"].try_cast("string")).when(sql_t != "VOID", F.to_json(r["sql"]))
+    tables = (F.when(tables_t == "STRING", F.array(r["tables"].try_cast("string")))
+              .when(tables_t.startswith("ARRAY"), r["tables"].try_cast("array<string>")))
     err = (F.when(t == "", F.lit("Empty response from model"))
            .when(v.isNull(), F.lit("JSON decode error"))
-           .when(~is_obj, F.concat(F.lit("Expected JSON object, got "), F.lower(F.split(top, "<").getItem(0))))
-           .when(~has_sql, F.lit("JSON parsed but missing 'sql' key")).otherwise(F.lit("")))
-    ok = (t != "") & has_sql
+           .when(~is_obj, F.concat(F.lit("Expected JSON object, got "), python_type(top)))
+           .when(~ok, F.lit("JSON parsed but missing 'sql' key")).otherwise(F.lit("")))
     return F.struct(ok.alias("json_parse_ok"), F.when(ok, F.coalesce(sql, F.lit(""))).otherwise(F.lit("")).alias("sql"),
-                    F.when(ok | (is_obj & (t != "")), F.coalesce(tables, F.array().cast("array<string>")))
-                    .otherwise(F.array().cast("array<string>")).alias("tables_used"),
-                    err.alias("parse_error"))
+                    F.when(is_obj, F.coalesce(tables, none)).otherwise(none).alias("tables_used"), err.alias("parse_error"))
 
 
 def behaviour_correct(expected: Column, json_ok: Column, sql: Column, raw: Column, blocked: Column) -> Column:
@@ -195,70 +215,37 @@ def behaviour_correct(expected: Column, json_ok: Column, sql: Column, raw: Colum
 # ------------------------------------------------------------------ results table
 
 
-def eval_results(wh) -> DataFrame:
-    """One row per (question, model): screened, answered from the SQL log, scored."""
-    screened = S.screen_questions(wh.questions)
-    intents = S.rule_intent(wh.questions)
-    q = screened.join(intents, "question_id").join(wh.questions.select("question_id", "text"), "question_id")
-    n_log = wh.sql_log.select(F.count(F.lit(1))).scalar()
-    models = F.array(*[F.lit(m) for m in EVAL_MODELS])
-    qm = q.select("*", F.posexplode(models).alias("m", "model"))
-    pattern_block = F.col("reason").isin(
-        "Input contains potentially dangerous SQL patterns.", "Input contains prompt injection patterns.",
-        "This is a read-only analytics system. Data modification (drop, delete, update) is not supported.")
-    qm = (qm.withColumn("expected_behavior", F.when(pattern_block, "block")
-                        .when(~F.col("passed") | (F.col("intent") != "sql_query"), "refuse").otherwise("answer"))
-          .withColumn("category", F.when(F.col("expected_behavior") == "block", "injection")
-                      .when(F.col("expected_behavior") == "refuse", "unanswerable")
-                      .otherwise(F.element_at(F.array(*[F.lit(c) for c in
-                                                        ("simple_count", "two_table_join", "aggregation",
-                                                         "time_filter")]),
-                                              (F.col("question_id") % 4 + 1).cast("int"))))
-          .withColumn("answer_key", (F.col("question_id") * 7 + F.col("m") * 13) % n_log)
-          .withColumn("truth_key", F.col("question_id") % n_log))
-    log = wh.sql_log.select("query_id", "sql")
-    answered = (qm.join(log.withColumnRenamed("query_id", "answer_key").withColumnRenamed("sql", "model_sql"),
-                        "answer_key")
-                .join(log.withColumnRenamed("query_id", "truth_key").withColumnRenamed("sql", "truth_sql"),
-                      "truth_key"))
-    reply = F.to_json(F.struct(F.col("model_sql").alias("sql"), F.lit("generated").alias("explanation"),
-                               S.referenced_tables(F.col("model_sql")).alias("tables_used")))
-    style = (F.col("question_id") + F.col("m")) % 6
-    raw = (F.when(~F.col("passed"), F.lit(""))
-           .when(style == 0, reply)
-           .when(style == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```")))
-           .when(style == 2, F.concat(F.lit("<think>which tables?</think>\n"), reply))
-           .when(style == 3, F.concat(F.lit("Here you go: "), reply, F.lit(" Hope it helps.")))
-           .when(style == 4, F.lit('{"explanation": "I cannot answer this from the available tables."}'))
-           .otherwise(F.lit("Sorry, that is not available.")))
-    r = answered.withColumn("raw_response", raw).withColumn("p", normalise_model_response(F.col("raw_response")))
+def score_replies(replies: DataFrame) -> DataFrame:
+    """One scored row per reply. ``replies``: (question_id, text, model, category,
+    expected_behavior, guardrail_reason, truth_sql, raw_response, latency_ms,
+    input_tokens, output_tokens); a guardrail_reason that isn't null was a block."""
+    r = replies.withColumn("p", normalise_model_response(F.col("raw_response")))
+    blocked = F.col("guardrail_reason").isNotNull()
     sql = F.col("p.sql")
     stripped = S._strip(sql)
+    single = ~F.contains(F.regexp_replace(F.regexp_replace(stripped, ";+$", ""), r"(?U)\s+$", ""), F.lit(";"))
     readonly = ((stripped != "") & ~stripped.rlike(S._ci(S.DML_PATTERN)) & F.upper(stripped).startswith("SELECT")
-                & ~stripped.rlike(S._ci(S.MULTI_STATEMENT_PATTERN))
-                & ~F.contains(F.regexp_replace(F.regexp_replace(stripped, ";+$", ""), r"(?U)\s+$", ""), F.lit(";")))
+                & ~stripped.rlike(S._ci(S.MULTI_STATEMENT_PATTERN)) & single)
     expected_tables = F.when(F.col("expected_behavior") == "answer", S.referenced_tables(F.col("truth_sql"))) \
         .otherwise(F.array().cast("array<string>"))
     reported = F.transform(F.col("p.tables_used"), lambda x: F.lower(F.trim(x)))
     json_ok = F.col("p.json_parse_ok")
-    out = r.select(
+    runs = F.size(S.referenced_tables(sql)) > 0  # valid read-only SQL that touches a table of the schema
+    behaved = behaviour_correct(F.col("expected_behavior"), json_ok, sql, F.col("raw_response"), blocked)
+    return r.select(
         F.col("question_id").alias("test_id"), "model", "category", "expected_behavior",
-        expected_tables.alias("expected_tables"),
-        (~F.col("passed")).alias("guardrail_blocked"), F.col("raw_response"), sql.alias("sql"),
-        json_ok.cast("int").alias("json_parse"),
-        (json_ok & readonly).cast("int").alias("sql_valid"),
-        # runs: valid read-only SQL that touches a table of the schema
-        (json_ok & readonly & (F.size(S.referenced_tables(sql)) > 0)).cast("int").alias("sql_runs"),
+        expected_tables.alias("expected_tables"), blocked.alias("guardrail_blocked"), "raw_response", sql.alias("sql"),
+        json_ok.cast("int").alias("json_parse"), (json_ok & readonly).cast("int").alias("sql_valid"),
+        (json_ok & readonly & runs).cast("int").alias("sql_runs"),
         ((F.size(expected_tables) == 0) | (F.size(F.array_except(expected_tables, reported)) == 0))
         .cast("int").alias("correct_tables"),
-        behaviour_correct(F.col("expected_behavior"), json_ok, sql, F.col("raw_response"), ~F.col("passed"))
-        .cast("int").alias("correct_behavior"),
-        F.when(F.col("passed"), 150 + (F.col("question_id") * 37 + F.col("m") * 101) % 4000)
-        .otherwise(0).cast("double").alias("latency_ms"),
-        F.when(F.col("passed"), F.floor((F.length("text") + 1200) / 4)).otherwise(0).cast("bigint").alias("input_tokens"),
-        F.floor(F.length("raw_response") / 4).cast("bigint").alias("output_tokens"),
-        F.when(F.col("passed") & ~json_ok, F.col("p.parse_error")).alias("error"))
-    return out
+        behaved.cast("int").alias("correct_behavior"), "latency_ms", "input_tokens", "output_tokens",
+        # the error texts of the five steps, in the order in which a report looks for one
+        F.col("guardrail_reason").alias("error"),
+        F.when(~blocked, F.col("p.parse_error")).alias("parse_error"),
+        F.when(json_ok & ~readonly, F.lit("Not a single read-only SELECT")).alias("validity_error"),
+        F.when(json_ok & readonly & ~runs, F.lit("No known table")).alias("execution_error"),
+        F.when(~behaved, F.concat(F.lit("Expected "), "expected_behavior")).alias("behavior_note"))
 
 
 def eval_cases(results: DataFrame) -> DataFrame:
@@ -295,19 +282,18 @@ def model_summary(costed: DataFrame) -> DataFrame:
 
 
 def category_matrix(costed: DataFrame) -> DataFrame:
-    """Category x model share of correct behaviour, 1 decimal, one column per model."""
-    short = F.regexp_replace(F.element_at(F.split("model", "/"), -1), "[^A-Za-z0-9]", "_")
-    names = [m.split("/")[-1] for m in EVAL_MODELS]
-    cols = ["".join(ch if ch.isalnum() else "_" for ch in n) for n in names]
-    return (costed.withColumn("model_short", short).groupBy("category").pivot("model_short", cols)
-            .agg(F.round(F.avg("correct_behavior") * 100, 1)))
+    """Share of correct behaviour per category and model, 1 decimal; any models."""
+    return costed.groupBy("category", "model").agg(F.round(F.avg("correct_behavior") * 100, 1).alias("correct_pct"))
+
+
+ERROR_COLUMNS = ["error", "parse_error", "validity_error", "execution_error"]
 
 
 def failed_cases(costed: DataFrame) -> DataFrame:
-    """Failed behaviour with the first non-empty error text."""
+    """Failed behaviour with the first non-empty of five error texts."""
+    texts = [F.nullif(c, F.lit("")) for c in ERROR_COLUMNS]
     return (costed.filter(F.col("correct_behavior") == 0)
-            .select("test_id", "model", F.coalesce(F.nullif("error", F.lit("")),
-                                                   F.lit("Incorrect behavior")).alias("error")))
+            .select("test_id", "model", F.coalesce(*texts, "behavior_note", F.lit("Unknown")).alias("error")))
 
 
 def winners(summary: DataFrame, prices: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import evaluation as E
+from tidewater.sources.replies import model_replies
 
 
 def _collection(wh) -> DataFrame:
-    # written once: its size is checked and then it is broadcast, so it is read twice
+    # written once: counted for its number of blocks and then read
     return wh.memo("knowledge_collection", lambda: E.knowledge_collection(wh.embeddings))
 
 
@@ -26,13 +27,19 @@ def prices(wh) -> DataFrame:
 
 
 def _costed(wh) -> DataFrame:
-    return wh.memo("eval_results", lambda: E.with_cost(E.eval_results(wh), prices(wh)))
+    return wh.memo("eval_results", lambda: E.with_cost(E.score_replies(model_replies(wh)), prices(wh)))
 
 
 def k1_nearest_documents(wh) -> DataFrame:
     return _hits(wh).select("model", "vec_id", "rank", "doc_id")
 
 
+def k1_nearest_examples(wh) -> DataFrame:
+    """The second collection: three worked examples per question."""
+    examples = wh.memo("example_collection", lambda: E.example_collection(wh.embeddings))
+    return E.nearest_documents(wh.embeddings, examples, k=3).select("model", "vec_id", "rank", "doc_id")
+
+
 def k2_retrieved_tables(wh) -> DataFrame:
     r = E.retrieved_tables(_hits(wh))
     return r.select("model", "vec_id", F.array_join("retrieved", ",").alias("retrieved"))

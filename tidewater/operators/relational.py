@@ -65,20 +65,18 @@ def b8_booked_in_month(wh, start: str = "1998-01-01", end: str = "1998-02-01") -
 
 
 def b9_calendar_periods(wh) -> DataFrame:
-    s = wh.shipments
-    d = F.col("booking_date")
-    return s.agg(
-        F.count_if(F.year(d) == 1998).alias("year_1998"),
-        F.count_if((F.year(d) == 1999) & (F.quarter(d) == 3)).alias("q3_1999"),
-        F.count_if((F.year(d) == 2000) & (F.month(d) <= 6)).alias("h1_2000"),
-        F.count_if((d >= F.lit("1996-03-01").cast("date")) & (d < F.lit("1996-06-01").cast("date")))
-        .alias("mar_may_1996"))
+    periods = {"year_1998": ("1998-01-01", "1999-01-01"), "q3_1999": ("1999-07-01", "1999-10-01"),
+               "h1_2000": ("2000-01-01", "2000-07-01"), "mar_may_1996": ("1996-03-01", "1996-06-01")}
+    inside = {name: _between("booking_date", *bounds) for name, bounds in periods.items()}
+    s = wh.shipments.filter(reduce(Column.__or__, inside.values()))  # pushed: row groups of other dates are skipped
+    return s.agg(*[F.count_if(cond).alias(name) for name, cond in inside.items()])
 
 
 def b10_relative_periods(wh, as_of: str = SETTINGS.as_of) -> DataFrame:
-    s = wh.shipments
     d, a = F.col("booking_date"), F.lit(as_of).cast("date")
     q_start = F.trunc(a, "quarter")
+    # the last quarter begins before any of the other periods
+    s = wh.shipments.filter((d >= F.least(F.add_months(q_start, -3), F.date_sub(a, 29))) & (d <= a))
     return s.agg(
         F.count_if((d > F.date_sub(a, 30)) & (d <= a)).alias("last_30_days"),
         F.count_if((d > F.date_sub(a, 7)) & (d <= a)).alias("past_week"),
@@ -122,6 +120,12 @@ def b17_name_match(wh, needle: str = "maersk") -> DataFrame:
     return s.groupBy("carrier_name").agg(F.count("*").alias("shipment_count"))
 
 
+def b18_point_hit(wh) -> DataFrame:
+    """A point lookup whose id comes from the table: the shipment booked last."""
+    last = wh.shipments.agg(F.max_by("shipment_id", F.struct("booking_date", "shipment_id")).alias("shipment_id"))
+    return wh.shipments.join(last, "shipment_id").select("shipment_id", "status", "mode")
+
+
 def b18_point_lookup(wh, shipment_id: str = "SHP-00100") -> DataFrame:
     return wh.shipments.filter(F.col("shipment_id") == shipment_id).select("shipment_id", "status", "mode")
 
@@ -191,6 +195,16 @@ def c5_shipments_without_invoice(wh) -> DataFrame:
     return wh.shipments.join(inv, "id", "left_anti").select("shipment_id", "status")
 
 
+def c5_shipments_without_events(wh) -> DataFrame:
+    seen = wh.tracking_events.select(F.col("shipment_id").alias("id"))
+    return wh.shipments.join(seen, "id", "left_anti").select("shipment_id", "status")
+
+
+def c5_customers_without_shipments(wh) -> DataFrame:
+    seen = wh.shipments.select(F.col("customer_id").alias("id"))
+    return wh.customers.join(seen, "id", "left_anti").select("customer_code", "company_name")
+
+
 def c6_customers_with_cancellations(wh) -> DataFrame:
     canc = wh.shipments.filter(F.col("status") == "cancelled").select(F.col("customer_id").alias("id"))
     return wh.customers.join(canc, "id", "left_semi").select("customer_code", "company_name", "tier")
@@ -214,8 +228,11 @@ def c8_extracted_vs_actual(wh) -> DataFrame:
                  F.get_json_object("extracted_fields", "$.invoice_number").alias("invoice_number"),
                  F.get_json_object("extracted_fields", "$.total_amount").alias("extracted_amount")))
     s = wh.shipments.select(F.col("id"), F.col("shipment_id").alias("linked_shipment_id"))
-    ch = wh.shipment_charges.groupBy(F.col("shipment_id").alias("id")).agg(F.sum("amount_usd").alias("amt"))
-    j = e.join(s, "linked_shipment_id").join(ch, "id")
+    linked = e.join(s, "linked_shipment_id")
+    # only the charges of invoiced shipments are summed
+    ch = (wh.shipment_charges.select(F.col("shipment_id").alias("id"), "amount_usd")
+          .join(linked.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("amount_usd").alias("amt")))
+    j = linked.join(ch, "id")
     return j.select("invoice_number", "extracted_amount", F.col("linked_shipment_id").alias("shipment_id"),
                     F.col("amt").cast("decimal(18,2)").alias("actual_charges"))
 
@@ -353,7 +370,7 @@ def d17_year_over_year(wh) -> DataFrame:
 
 
 def d18_monthly_avg_in_year(wh, year: int = 1998) -> DataFrame:
-    i = wh.invoices.filter(F.year("invoice_date") == year)
+    i = wh.invoices.filter(_between("invoice_date", f"{year}-01-01", f"{year + 1}-01-01"))
     return i.groupBy(month_bucket("invoice_date").alias("month")).agg(
         F.round(mean_of_decimal("total_usd"), 2).alias("avg_invoice"))
 
@@ -440,6 +457,13 @@ def f3_arg_extremes(wh) -> DataFrame:
                                         F.col("x.n").cast("double").alias("value"))))
 
 
+def f3_cheapest_carrier_type(wh) -> DataFrame:
+    """The carrier type with the lowest mean cost per kg."""
+    per = wh.carriers.groupBy("carrier_type").agg(F.avg(F.col("cost_per_kg_usd").cast("double")).alias("mean_cost"))
+    best = per.agg(F.min_by(F.struct("carrier_type", "mean_cost"), F.struct("mean_cost", "carrier_type")).alias("x"))
+    return best.select("x.carrier_type", F.round("x.mean_cost", 4).alias("mean_cost"))
+
+
 def f4_monthly_trend(wh) -> DataFrame:
     return (wh.shipments.groupBy(month_bucket("booking_date").alias("month")).agg(F.count("*").alias("shipments"))
             .orderBy("month"))

@@ -205,9 +205,13 @@ def ground_answers(answers: DataFrame) -> DataFrame:
                           F.when(failed, F.element_at(claims, 1)).alias("blocked_pattern"))
 
 
-def rule_intent(questions: DataFrame, text_col: str = "text") -> DataFrame:
+def with_intent(questions: DataFrame, text_col: str = "text") -> DataFrame:
     """Greeting -> general; shorter than 5 -> clarification; else sql_query."""
     q = F.lower(_strip(F.col(text_col)))
     intent = (F.when(q.isin(*GREETINGS), "general").when(F.length(q) < 5, "clarification")
               .otherwise("sql_query"))
-    return questions.select("question_id", intent.alias("intent"))
+    return questions.withColumn("intent", intent)
+
+
+def rule_intent(questions: DataFrame, text_col: str = "text") -> DataFrame:
+    return with_intent(questions, text_col).select("question_id", "intent")

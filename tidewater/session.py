@@ -54,3 +54,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A location under the shared checkpoint folder, for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """JSON objects may repeat a key and the last value wins, as in Python.
+
+    Spark has this as a session setting only. Every job that parses responses
+    and every ``Warehouse`` makes it first, so answers don't depend on order.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")

@@ -8,15 +8,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.session import ensure_checkpoint_dir, shared_path
+from tidewater.session import accept_repeated_keys, shared_path
 from tidewater.sources.logistics_sql import view_sql
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-# Views that stand for stored input tables: materialised once (reliable
-# checkpoint in the shared folder) so their generating expressions are not
+# Views that stand for stored input tables: written once to the shared folder so their generating expressions are not
 # re-planned into every job that parses them.
 MATERIALISED = {"raw_responses"}
 
@@ -39,21 +38,27 @@ class Warehouse:
     re-registration for another folder does not change it.
     """
 
-    _cache: dict[tuple[int, str], "Warehouse"] = {}
+    _cache: dict[tuple[str, str], "Warehouse"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
         self.materialized_at: str | None = None
+        self._stages: list[str] = []
+        self._seen: tuple = ()
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
-        key = (id(spark), os.path.abspath(sf_dir))
-        wh = cls._cache.get(key)
-        if wh is None:
-            wh = cls(spark, sf_dir)
-            cls._cache[key] = wh
+        accept_repeated_keys(spark)
+        key = (spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
+        wh = cls._cache.setdefault(key, cls(spark, sf_dir))
+        state = wh._input_state()
+        if wh._seen != state:
+            if wh._seen and not wh.materialized_at:
+                wh.forget()
+                wh._frames = {}
+            wh._seen = state
         wh._register()
         return wh
 
@@ -80,11 +85,33 @@ class Warehouse:
         """
         df = self._frames.get(f"__memo_{key}")
         if df is None:
-            ensure_checkpoint_dir(self.spark)
-            df = build().checkpoint(eager=True)
+            df = self._written(build(), key)
             self._frames[f"__memo_{key}"] = df
         return df
 
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a Parquet table in the shared folder: later readers prune its
+        columns, and a lost executor costs a re-read."""
+        path = shared_path(self.spark, "stages", f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        self._stages.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self) -> None:
+        """Remove the written stages; the next query builds them anew."""
+        for path in self._stages:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self._stages = []
+        self._frames = {k: v for k, v in self._frames.items() if not k.startswith("__")}
+
+    def _input_state(self) -> tuple:
+        """Names, sizes and times of the driver tables' files: stages built from
+        other files than these are stale."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        listed = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(target)
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
+
     def materialize(self, out_dir: str | None = None) -> str:
         """Write every logistics view as a Parquet table and read them back from there.
 
@@ -122,8 +149,7 @@ class Warehouse:
         key = f"__stored_{name}"
         df = self._frames.get(key)
         if df is None:
-            ensure_checkpoint_dir(self.spark)
-            df = self._frames[name].checkpoint(eager=True)
+            df = self._written(self._frames[name], name)
             self._frames[key] = df
         return df
 
