@@ -33,6 +33,8 @@ FROM shipments""",
     "b15_in_list": "SELECT mode, count(*) AS shipment_count FROM shipments WHERE mode IN ('ocean', 'air') GROUP BY mode",
     "b16_in_subquery": "SELECT mode, count(*) AS shipment_count FROM shipments WHERE customer_id IN (SELECT id FROM customers WHERE tier = 'gold') GROUP BY mode",
     "b17_name_match": "SELECT c.carrier_name, count(*) AS shipment_count FROM shipments s JOIN carriers c ON s.carrier_id = c.id WHERE c.carrier_name ILIKE '%maersk%' GROUP BY c.carrier_name",
+    "b18_point_hit": """SELECT shipment_id, status, mode FROM shipments
+WHERE shipment_id = (SELECT max_by(shipment_id, (booking_date, shipment_id)) FROM shipments)""",
     "b18_point_lookup": "SELECT shipment_id, status, mode FROM shipments WHERE shipment_id = 'SHP-00100'",
     "b19_json_filter": """
 SELECT document_id, document_type, overall_confidence, review_status,
@@ -59,6 +61,8 @@ FROM carriers c JOIN shipments s ON c.id = s.carrier_id
 LEFT JOIN (SELECT shipment_id, sum(amount_usd) AS total_cost FROM shipment_charges GROUP BY shipment_id) sc ON s.id = sc.shipment_id
 GROUP BY c.id, c.carrier_name, c.carrier_type
 ORDER BY total_shipments DESC, c.carrier_name ASC LIMIT 10""",
+    "c5_without_events": "SELECT s.shipment_id, s.status FROM shipments s LEFT JOIN tracking_events t ON t.shipment_id = s.id WHERE t.id IS NULL",
+    "c5_without_shipments": "SELECT c.customer_code, c.company_name FROM customers c LEFT JOIN shipments s ON s.customer_id = c.id WHERE s.id IS NULL",
     "c5_anti_join": "SELECT s.shipment_id, s.status FROM shipments s WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.shipment_id = s.id)",
     "c6_semi_join": "SELECT customer_code, company_name, tier FROM customers cu WHERE EXISTS (SELECT 1 FROM shipments s WHERE s.customer_id = cu.id AND s.status = 'cancelled')",
     "c7_document_shipment_join": """
@@ -155,6 +159,8 @@ WHERE rn <= 10 GROUP BY conv_id""",
 SELECT c.carrier_name, c.carrier_type, count(*) AS shipment_count FROM shipments s JOIN carriers c ON s.carrier_id = c.id
 GROUP BY c.id, c.carrier_name, c.carrier_type ORDER BY shipment_count DESC, c.carrier_name LIMIT 10""",
     "f2_top_n_rows": "SELECT shipment_id, weight_kg FROM shipments ORDER BY weight_kg DESC, shipment_id LIMIT 10",
+    "f3_cheapest_carrier_type": """SELECT carrier_type, round(avg(cost_per_kg_usd), 6) AS mean_cost FROM carriers
+GROUP BY carrier_type ORDER BY avg(cost_per_kg_usd), carrier_type LIMIT 1""",
     "f3_arg_extremes": """
 (SELECT 'cheapest_carrier' AS question, carrier_name AS answer, avg_freight AS value FROM (
    SELECT c.carrier_name, round(CAST(sum(sc.amount_usd) AS DOUBLE) / count(sc.amount_usd), 2) AS avg_freight

@@ -101,7 +101,7 @@ def lenient_check(raw: DataFrame) -> DataFrame:
     def clamped(x: Column) -> Column:  # a boolean counts as a number, as in Python
         number = F.when(F.schema_of_variant(x) == "BOOLEAN", x.try_cast("boolean").cast("double")).when(
             _is_numeric(F.schema_of_variant(x)), x.try_cast("double"))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
+        return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
     scores = F.try_variant_get(v, "$.confidence_scores", "map<string,variant>")
     numbers = F.map_filter(F.transform_values(scores, lambda k, x: F.when(x.isNotNull(), clamped(x))), lambda k, x: x.isNotNull())

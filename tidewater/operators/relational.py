@@ -9,12 +9,20 @@ per key before joins that would fan out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
 from tidewater.functions import mean_of_decimal, month_bucket, quarter_label, rate_pct
 
+
+def _between(column: str, start: str, end: str) -> Column:
+    """Half-open date bounds, which reach the scan."""
+    return (F.col(column) >= F.lit(start).cast("date")) & (F.col(column) < F.lit(end).cast("date"))
+
+
 # ---------------------------------------------------------------- 2.2 filters
 
 
@@ -461,7 +469,7 @@ def f3_cheapest_carrier_type(wh) -> DataFrame:
     """The carrier type with the lowest mean cost per kg."""
     per = wh.carriers.groupBy("carrier_type").agg(F.avg(F.col("cost_per_kg_usd").cast("double")).alias("mean_cost"))
     best = per.agg(F.min_by(F.struct("carrier_type", "mean_cost"), F.struct("mean_cost", "carrier_type")).alias("x"))
-    return best.select("x.carrier_type", F.round("x.mean_cost", 4).alias("mean_cost"))
+    return best.select("x.carrier_type", F.round("x.mean_cost", 6).alias("mean_cost"))
 
 
 def f4_monthly_trend(wh) -> DataFrame:

@@ -33,12 +33,15 @@ RELATIONAL: dict[str, QueryFn] = {
     "b15_in_list": R.b15_in_list,
     "b16_in_subquery": R.b16_in_subquery,
     "b17_name_match": R.b17_name_match,
+    "b18_point_hit": R.b18_point_hit,
     "b18_point_lookup": R.b18_point_lookup,
     "b19_json_filter": R.b19_json_field_filter,
     "c1_two_table_join": R.c1_shipments_per_carrier,
     "c2_three_table_join": R.c2_avg_freight_by_carrier,
     "c3_four_table_join": R.c3_four_table,
     "c4_carrier_performance": R.carrier_performance,
+    "c5_without_events": R.c5_shipments_without_events,
+    "c5_without_shipments": R.c5_customers_without_shipments,
     "c5_anti_join": R.c5_shipments_without_invoice,
     "c6_semi_join": R.c6_customers_with_cancellations,
     "c7_document_shipment_join": R.c7_documents_with_shipments,
@@ -73,6 +76,7 @@ RELATIONAL: dict[str, QueryFn] = {
     "e3_recent_turns": R.e3_recent_turns,
     "f1_top_n_groups": R.f1_top_carriers,
     "f2_top_n_rows": R.f2_heaviest,
+    "f3_cheapest_carrier_type": R.f3_cheapest_carrier_type,
     "f3_arg_extremes": R.f3_arg_extremes,
     "f4_chronological": R.f4_monthly_trend,
     "f5_default_cap": R.f5_default_cap,
