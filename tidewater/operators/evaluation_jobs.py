@@ -26,7 +26,7 @@ def prices(wh) -> DataFrame:
     return wh.spark.createDataFrame(E.MODEL_PRICES, "model string, input_per_mtok double, output_per_mtok double")
 
 
-def _costed(wh) -> DataFrame:
+def costed(wh) -> DataFrame:
     return wh.memo("eval_results", lambda: E.with_cost(E.score_replies(model_replies(wh)), prices(wh)))
 
 
@@ -58,37 +58,37 @@ def k5_category_recall(wh) -> DataFrame:
 
 
 def j9_normalise_responses(wh) -> DataFrame:
-    c = _costed(wh)
+    c = costed(wh)
     p = E.normalise_model_response(F.col("raw_response"))
     return c.select("test_id", "model", p["json_parse_ok"].alias("json_parse_ok"), p["sql"].alias("sql"),
                     F.array_join(p["tables_used"], ",").alias("tables_used"), p["parse_error"].alias("parse_error"))
 
 
 def j10_behaviour(wh) -> DataFrame:
-    return _costed(wh).select("test_id", "model", "expected_behavior", "correct_behavior")
+    return costed(wh).select("test_id", "model", "expected_behavior", "correct_behavior")
 
 
 def k7_k8_model_summary(wh) -> DataFrame:
-    return E.model_summary(_costed(wh))
+    return E.model_summary(costed(wh))
 
 
 def k9_costs(wh) -> DataFrame:
-    return _costed(wh).groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"),
+    return costed(wh).groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"),
                                             F.sum("output_tokens").alias("output_tokens"),
                                             F.round(F.sum("estimated_cost_usd"), 6).alias("cost_usd"))
 
 
 def k10_category_matrix(wh) -> DataFrame:
-    return E.category_matrix(_costed(wh))
+    return E.category_matrix(costed(wh))
 
 
 def k11_failed_cases(wh) -> DataFrame:
-    return E.failed_cases(_costed(wh))
+    return E.failed_cases(costed(wh))
 
 
 def k12_winners(wh) -> DataFrame:
-    return E.winners(E.model_summary(_costed(wh)), prices(wh))
+    return E.winners(E.model_summary(costed(wh)), prices(wh))
 
 
 def a14_eval_cases(wh) -> DataFrame:
-    return E.eval_cases(_costed(wh))
+    return E.eval_cases(costed(wh))

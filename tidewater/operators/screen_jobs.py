@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import screens as S
 from tidewater.sources import catalog as C
-from tidewater.sources import documents as SD
 
 
 def j1_question_screen(wh) -> DataFrame:
@@ -56,8 +55,3 @@ def a7_table_profile(wh) -> DataFrame:
 
 def a9_value_profile(wh) -> DataFrame:
     return C.value_profile(wh)
-
-
-def a13_upload_screening(wh) -> DataFrame:
-    """A13 over the data folder itself: every file is screened by type and size."""
-    return SD.screen_uploads(wh.spark, wh.sf_dir.rstrip("/") + "/*")

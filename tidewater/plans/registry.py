@@ -11,6 +11,7 @@ from tidewater.operators import evaluation_jobs as EJ
 from tidewater.operators import quality as Q
 from tidewater.operators import relational as R
 from tidewater.operators import screen_jobs as SJ
+from tidewater.operators import store_jobs as ST
 from tidewater.sources.tables import Warehouse
 
 QueryFn = Callable[[Warehouse], DataFrame]
@@ -122,7 +123,14 @@ SCREENS: dict[str, QueryFn] = {
 
 CATALOG: dict[str, QueryFn] = {
     "a2_parameterised_select": SJ.a2_parameterised_select,
-    "a13_upload_screening": SJ.a13_upload_screening,
+    "a13_upload_screening": ST.a13_upload_screening,
+    "a3_table_names": ST.a3_table_names,
+    "a4_column_metadata": ST.a4_column_metadata,
+    "a5_foreign_keys": ST.a5_foreign_keys,
+    "a10_append": ST.a10_append,
+    "a11_list_documents": ST.a11_list_documents,
+    "a12_get_document": ST.a12_get_document,
+    "a15_result_sink": ST.a15_result_sink,
     "a6_row_counts": SJ.a6_row_counts,
     "a7_table_profile": SJ.a7_table_profile,
     "a9_value_profile": SJ.a9_value_profile,

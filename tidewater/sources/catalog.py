@@ -26,6 +26,7 @@ FOREIGN_KEYS = [
     ("invoices", "shipment_id", "shipments", "id"),
     ("invoices", "customer_id", "customers", "id"),
     ("invoices", "carrier_id", "carriers", "id"),
+    ("extracted_documents", "linked_shipment_id", "shipments", "shipment_id"),
 ]
 ENUM_COLUMNS = {
     "shipments": ["mode", "status", "priority"],
@@ -51,6 +52,15 @@ def column_metadata(spark: SparkSession, wh) -> DataFrame:
                                        "notnull boolean, is_pk boolean")
 
 
+def null_counts(wh, table: str) -> DataFrame:
+    """A4 over the data: (table, column, position, null_count), one pass over the table."""
+    columns = wh.table(table).columns
+    counted = wh.table(table).agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
+                                                     F.count_if(F.col(c).isNull()).alias("null_count"))
+                                            for i, c in enumerate(columns)]).alias("c"))
+    return counted.select(F.lit(table).alias("table_name"), F.inline("c"))
+
+
 def foreign_keys(spark: SparkSession) -> DataFrame:
     """A5: declared foreign keys."""
     return spark.createDataFrame(FOREIGN_KEYS, "from_table string, from_column string, to_table string, to_column string")

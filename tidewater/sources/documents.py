@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
-from tidewater.session import ensure_checkpoint_dir
+from tidewater.session import shared_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -38,8 +40,10 @@ def append_documents(spark: SparkSession, new_docs: DataFrame, path: str) -> Dat
     fresh = ranked.filter("__n = 1").drop("__n").join(existing, "document_id", "left_anti")
     dupes = (ranked.filter("__n > 1").select("document_id")
              .unionByName(ranked.filter("__n = 1").join(existing, "document_id", "left_semi").select("document_id")))
-    ensure_checkpoint_dir(spark)
-    dupes = dupes.checkpoint()  # fixed before the append changes what is stored
+    # written before the append changes what is stored
+    reported = shared_path(spark, "store-duplicates", uuid.uuid4().hex)
+    dupes.write.parquet(reported)
+    dupes = spark.read.schema("document_id string").parquet(reported)
     fresh.write.mode("append").partitionBy("document_type").parquet(path)
     return dupes
 
@@ -64,14 +68,19 @@ def screen_uploads(spark: SparkSession, pattern: str) -> DataFrame:
     listed; no file body crosses to the driver.
     """
     files = spark.read.format("binaryFile").load(pattern).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
+    return screen_manifest(files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length"))
+
+
+def screen_manifest(files: DataFrame) -> DataFrame:
+    """A13 over a table of (file_name, length)."""
+    name = F.col("file_name")
     ext = F.lower(F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)))
     max_bytes = SETTINGS.max_file_size_mb * 1024 * 1024
     allowed = F.array(*[F.lit(e) for e in SETTINGS.supported_file_types])
     reason = (F.when(ext.isNull() | ~F.array_contains(allowed, ext),
                      F.concat(F.lit("Unsupported file type: ."), F.coalesce(ext, F.lit(""))))
               .when(F.col("length") > max_bytes, F.lit(f"File too large (max {SETTINGS.max_file_size_mb} MB)")))
-    return files.select(name.alias("file_name"), "length", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return files.select("file_name", "length", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def write_results(df: DataFrame, path: str) -> None:

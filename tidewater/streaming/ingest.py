@@ -57,14 +57,23 @@ def make_batch_writer(spark: SparkSession, index: DataFrame, docs_path: str, reg
 
 
 def run_ingest(spark: SparkSession, landing_dir: str, out_dir: str, shipments: DataFrame, invoices: DataFrame,
-               checkpoint_dir: str | None = None, files_per_trigger: int = 1) -> tuple[str, str]:
-    """Process every file now in ``landing_dir`` (availableNow) and return table paths."""
+               checkpoint_dir: str | None = None, files_per_trigger: int | None = None) -> tuple[str, str]:
+    """Process every file now in ``landing_dir`` (availableNow) and return table paths.
+
+    The reference index is written once a run, not rebuilt for each micro-batch.
+    ``files_per_trigger`` only bounds a micro-batch; all files are processed.
+    """
     docs_path = os.path.join(out_dir, "documents")
     registry_path = os.path.join(out_dir, "field_registry")
     ckpt = checkpoint_dir or os.path.join(out_dir, "_checkpoint")
-    index = D.reference_index(shipments, invoices)
-    stream = (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(landing_dir))
+    index_path = shared_path(spark, "m1_index", uuid.uuid4().hex)
+    built = D.reference_index(shipments, invoices)
+    built.write.parquet(index_path)
+    index = spark.read.schema(built.schema).parquet(index_path)
+    reader = spark.readStream.schema(RAW_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(landing_dir)
     query = (stream.writeStream.foreachBatch(make_batch_writer(spark, index, docs_path, registry_path))
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     query.awaitTermination()
@@ -82,5 +91,5 @@ def ingest_from_warehouse(wh) -> DataFrame:
          .write.mode("overwrite").parquet(os.path.join(landing, f"arrival={i}")))
     # a replayed arrival must not duplicate documents
     raw.filter(F.col("document_type") == "invoice").write.mode("overwrite").parquet(os.path.join(landing, "arrival=9"))
-    docs_path, _ = run_ingest(spark, os.path.join(landing, "*"), out, wh.shipments, wh.invoices)
+    docs_path, _ = run_ingest(spark, os.path.join(landing, "*"), out, wh.shipments, wh.invoices, files_per_trigger=1)
     return spark.read.parquet(docs_path)
