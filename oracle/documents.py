@@ -1,6 +1,53 @@
 r"""DuckDB SQL for the document jobs, written from the rules, not the Spark code."""
 
-from tidewater.config import EXPECTED_FIELDS
+# fixed values, stated here and not imported
+EXPECTED_FIELDS = {'invoice': ['invoice_number',
+             'invoice_date',
+             'vendor_name',
+             'buyer_name',
+             'total_amount',
+             'currency',
+             'tax_amount',
+             'subtotal',
+             'line_items',
+             'payment_terms',
+             'due_date',
+             'po_number',
+             'shipment_reference'],
+ 'bill_of_lading': ['bl_number',
+                    'shipper_name',
+                    'consignee_name',
+                    'notify_party',
+                    'vessel_name',
+                    'voyage_number',
+                    'port_of_loading',
+                    'port_of_discharge',
+                    'container_numbers',
+                    'description_of_goods',
+                    'gross_weight',
+                    'measurement',
+                    'date_of_issue',
+                    'number_of_packages'],
+ 'packing_list': ['packing_list_number',
+                  'date',
+                  'shipper',
+                  'consignee',
+                  'items',
+                  'total_packages',
+                  'total_gross_weight',
+                  'total_net_weight',
+                  'total_volume'],
+ 'customs_declaration': ['declaration_number',
+                         'date',
+                         'importer_name',
+                         'exporter_name',
+                         'country_of_origin',
+                         'hs_code',
+                         'description_of_goods',
+                         'quantity',
+                         'declared_value',
+                         'currency',
+                         'duty_amount']}
 
 NUM_TYPES = "('UBIGINT', 'BIGINT', 'DOUBLE', 'INTEGER', 'UINTEGER', 'HUGEINT')"
 

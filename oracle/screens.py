@@ -6,9 +6,40 @@ digits -> 'a', Unicode spaces -> ' ', other non-ASCII -> '#'), and lookaheads
 are rewritten as equivalent counts.
 """
 
-from tidewater.operators.screens import (
-    DATA_CLAIM_PATTERNS, DESTRUCTIVE_INTENT_PATTERNS, PROMPT_INJECTION_PATTERNS, SQL_INJECTION_PATTERNS,
-)
+# fixed values, stated here and not imported, so that a wrong pattern in the package shows
+DATA_CLAIM_PATTERNS = [
+    r"the data shows",
+    r"according to the (results|data|query)",
+    r"the (results|query) (show|indicate|reveal)",
+    r"there are \d+",
+    r"the (total|average|sum|count) is",
+]
+DESTRUCTIVE_INTENT_PATTERNS = [
+    r"\b(drop|delete|remove|destroy|erase|wipe|clear|truncate|purge)\b.*\b(table|data|database|records|rows|everything|all)\b",
+    r"\b(table|data|database|records|rows)\b.*\b(drop|delete|remove|destroy|erase|wipe|clear|truncate|purge)\b",
+    r"\b(modify|change|update|alter|edit)\b.*\b(schema|table|column|structure)\b",
+]
+PROMPT_INJECTION_PATTERNS = [
+    r"ignore\s+(previous|above)\s+instructions",
+    r"disregard\s+(all|your)",
+    r"you\s+are\s+now",
+    r"new\s+instructions",
+    r"system\s+prompt",
+    r"forget\s+(your|all)",
+]
+SQL_INJECTION_PATTERNS = [
+    r"(?:^|;\s*)DROP\s+TABLE\b",
+    r"(?:^|;\s*)DELETE\s+FROM\b",
+    r"(?:^|;\s*)INSERT\s+INTO\b",
+    r"(?:^|;\s*)UPDATE\s+\w+\s+SET\b",
+    r"(?:^|;\s*)ALTER\s+TABLE\b",
+    r"(?:^|;\s*)TRUNCATE\s+TABLE\b",
+    r"(?:^|;\s*)GRANT\b",
+    r"(?:^|;\s*)REVOKE\b",
+    r"UNION\s+SELECT\b",
+    r";\s*--",
+    r";\s*DROP\b",
+]
 
 ASCIIFY = (r"array_to_string(list_transform(string_split({x}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN ch "
            r"WHEN regexp_matches(ch, '^[\p{{L}}\p{{N}}]$') THEN 'a' "
@@ -62,17 +93,19 @@ u1 AS (SELECT query_id, u,
    regexp_extract_all(u, '\bJOIN\s+(\w+)\s*(?:\w+\s*)?(?:JOIN|WHERE|GROUP|ORDER|LIMIT|$)', 1) AS jt0 FROM u0),
 u2 AS (SELECT query_id, u, list_filter(jt0, lambda t: regexp_matches(u, 'JOIN\s+' || t || '\s+')) AS jt FROM u1),
 u3 AS (SELECT query_id, list_filter([
-     CASE WHEN regexp_matches(u, 'NOT\s+IN\s*\(') THEN {'severity': 'warning', 'message': 'NOT IN can return unexpected results if the subquery contains NULL values.'} END,
-     CASE WHEN len(regexp_extract_all(u, '\bUNION\b')) > len(regexp_extract_all(u, '\bUNION\s+ALL')) THEN {'severity': 'warning', 'message': 'UNION removes duplicates (slow). If duplicates aren''t a concern, use UNION ALL.'} END,
+     CASE WHEN regexp_matches(u, 'NOT\s+IN\s*\(') THEN {'severity': 'warning', 'message': 'NOT IN can return unexpected results if the subquery contains NULL values.', 'suggestion': 'Consider using NOT EXISTS instead: WHERE NOT EXISTS (SELECT 1 FROM ... WHERE ...)'} END,
+     CASE WHEN len(regexp_extract_all(u, '\bUNION\b')) > len(regexp_extract_all(u, '\bUNION\s+ALL')) THEN {'severity': 'warning', 'message': 'UNION removes duplicates (slow). If duplicates aren''t a concern, use UNION ALL.', 'suggestion': 'Change UNION to UNION ALL unless you specifically need deduplication.'} END,
      CASE WHEN regexp_matches(u, '\b(COUNT|SUM|AVG|MAX|MIN)\s*\(') AND NOT contains(u, 'GROUP BY')
                AND regexp_matches(u, '(?s)SELECT\s+(.*?)\s+FROM') AND contains(regexp_extract(u, '(?s)SELECT\s+(.*?)\s+FROM', 1), ',')
-          THEN {'severity': 'error', 'message': 'Multiple columns in SELECT with aggregate functions but no GROUP BY clause.'} END,
-     CASE WHEN len(jt) > 0 AND NOT contains(u, 'ON') THEN {'severity': 'error', 'message': 'JOIN with ' || jt[1] || ' appears to be missing an ON clause.'} END,
-     CASE WHEN contains(u, 'SELECT *') AND contains(u, 'JOIN') THEN {'severity': 'warning', 'message': 'SELECT * with JOINs can cause ambiguous column names.'} END,
-     CASE WHEN contains(u, 'HAVING') AND NOT contains(u, 'GROUP BY') THEN {'severity': 'error', 'message': 'HAVING clause without GROUP BY doesn''t make sense.'} END
+          THEN {'severity': 'error', 'message': 'Multiple columns in SELECT with aggregate functions but no GROUP BY clause.', 'suggestion': 'Add GROUP BY for all non-aggregated columns in the SELECT.'} END,
+     CASE WHEN len(jt) > 0 AND NOT contains(u, 'ON') THEN {'severity': 'error', 'message': 'JOIN with ' || jt[1] || ' appears to be missing an ON clause.', 'suggestion': 'Add ON clause: JOIN ' || jt[1] || ' ON <condition>'} END,
+     CASE WHEN contains(u, 'SELECT *') AND contains(u, 'JOIN') THEN {'severity': 'warning', 'message': 'SELECT * with JOINs can cause ambiguous column names.', 'suggestion': 'Specify explicit columns: SELECT t1.col1, t2.col2 instead of SELECT *.'} END,
+     CASE WHEN contains(u, 'HAVING') AND NOT contains(u, 'GROUP BY') THEN {'severity': 'error', 'message': 'HAVING clause without GROUP BY doesn''t make sense.', 'suggestion': 'Add GROUP BY before HAVING, or move the condition to WHERE.'} END
    ], lambda x: x IS NOT NULL) AS kept FROM u2)
 SELECT query_id, CAST(len(list_filter(kept, lambda x: x.severity = 'error')) AS INTEGER) AS errors,
-       CAST(len(kept) AS INTEGER) AS warnings, array_to_string(list_transform(kept, lambda x: x.message), ' | ') AS messages
+       CAST(len(kept) AS INTEGER) AS warnings, array_to_string(list_transform(kept, lambda x: x.message), ' | ') AS messages,
+       array_to_string(list_transform(kept, lambda x: x.severity), ' | ') AS severities,
+       array_to_string(list_transform(kept, lambda x: x.suggestion), ' | ') AS suggestions
 FROM u3"""
 
 _KNOWN = "['customers', 'carriers', 'shipments', 'shipment_charges', 'tracking_events', 'invoices', 'extracted_documents']"
@@ -93,7 +126,21 @@ counts AS (
   UNION ALL SELECT 'invoices', count(*) FROM invoices
   UNION ALL SELECT 'extracted_documents', count(*) FROM extracted_documents)"""
 
-from tidewater.operators.screens import INDEXED_COLUMNS  # noqa: E402
+# fixed values, stated here and not imported
+INDEXED_COLUMNS = {'customers': ['industry', 'country', 'tier'],
+ 'shipments': ['customer_id',
+               'carrier_id',
+               'status',
+               'mode',
+               'origin_country',
+               'destination_country',
+               'booking_date',
+               'commodity'],
+ 'shipment_charges': ['shipment_id', 'charge_type'],
+ 'tracking_events': ['shipment_id', 'event_type', 'event_timestamp'],
+ 'invoices': ['shipment_id', 'customer_id', 'payment_status', 'invoice_date'],
+ 'extracted_documents': ['document_type', 'review_status', 'linked_shipment_id'],
+ 'carriers': []}
 
 _IDX = "MAP {" + ", ".join(f"'{t}': [" + ", ".join(f"'{c}'" for c in ["id", *cols]) + "]"
                           for t, cols in INDEXED_COLUMNS.items()) + "}"
@@ -160,7 +207,9 @@ UNION ALL SELECT 'shipment_charges.shipment_id -> shipments.id', count(*) FROM s
 UNION ALL SELECT 'tracking_events.shipment_id -> shipments.id', count(*) FROM tracking_events x WHERE NOT EXISTS (SELECT 1 FROM shipments p WHERE p.id = x.shipment_id)
 UNION ALL SELECT 'invoices.shipment_id -> shipments.id', count(*) FROM invoices x WHERE NOT EXISTS (SELECT 1 FROM shipments p WHERE p.id = x.shipment_id)
 UNION ALL SELECT 'invoices.customer_id -> customers.id', count(*) FROM invoices x WHERE NOT EXISTS (SELECT 1 FROM customers p WHERE p.id = x.customer_id)
-UNION ALL SELECT 'invoices.carrier_id -> carriers.id', count(*) FROM invoices x WHERE NOT EXISTS (SELECT 1 FROM carriers p WHERE p.id = x.carrier_id)""",
+UNION ALL SELECT 'invoices.carrier_id -> carriers.id', count(*) FROM invoices x WHERE NOT EXISTS (SELECT 1 FROM carriers p WHERE p.id = x.carrier_id)
+UNION ALL SELECT 'extracted_documents.linked_shipment_id -> shipments.shipment_id', count(*) FROM extracted_documents x
+WHERE linked_shipment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM shipments p WHERE p.shipment_id = x.linked_shipment_id)""",
     "l3_coverage": """
 SELECT 'shipments_without_charges' AS check_name, count(*) AS missing FROM shipments s WHERE NOT EXISTS (SELECT 1 FROM shipment_charges c WHERE c.shipment_id = s.id)
 UNION ALL SELECT 'shipments_without_invoice', count(*) FROM shipments s WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.shipment_id = s.id)""",
@@ -217,6 +266,7 @@ _FKS = [
     ("shipment_charges", "shipment_id", "shipments", "id"), ("tracking_events", "shipment_id", "shipments", "id"),
     ("invoices", "shipment_id", "shipments", "id"), ("invoices", "customer_id", "customers", "id"),
     ("invoices", "carrier_id", "carriers", "id"),
+    ("extracted_documents", "linked_shipment_id", "shipments", "shipment_id"),
 ]
 _TYPED = "\n  UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT typeof({c}) FROM {t} LIMIT 1) AS t"
@@ -242,3 +292,20 @@ fks AS (SELECT from_table AS table_name,
         FROM fk GROUP BY from_table)
 SELECT c.table_name, c.row_count, l.column_count, l.columns, f.foreign_keys
 FROM counts c JOIN cols l USING (table_name) LEFT JOIN fks f USING (table_name)"""
+
+_FACTS = "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS position, count(*) = count({c}) AS full_column, "
+    f"{'true' if c == 'id' and t != 'shipment_charges' else 'false'} AS is_pk FROM {t}"
+    for t, cols in _COLUMNS.items() for i, c in enumerate(cols))
+_CTES = SQL["a7_table_profile"][:SQL["a7_table_profile"].rindex("SELECT c.table_name, c.row_count")].rstrip()
+SQL["a7_schema_text"] = _CTES + f""",
+facts AS ({_FACTS}),
+lines AS (SELECT table_name, string_agg('    ' || column_name || ' ' || data_type || CASE WHEN is_pk THEN ' PRIMARY KEY'
+                 WHEN full_column THEN ' NOT NULL' ELSE '' END, chr(10) ORDER BY position) AS body
+          FROM ctypes JOIN facts USING (table_name, column_name) GROUP BY table_name),
+refs AS (SELECT from_table AS table_name,
+                string_agg(chr(10) || '    FOREIGN KEY (' || from_column || ') REFERENCES ' || to_table || '(' || to_column || ')', ''
+                           ORDER BY from_column) AS tail FROM fk GROUP BY from_table)
+SELECT table_name, 'TABLE: ' || table_name || ' (' || format('{{:,}}', row_count) || ' rows)' || chr(10) || body || coalesce(tail, '')
+       AS description
+FROM counts JOIN lines USING (table_name) LEFT JOIN refs USING (table_name)"""

@@ -1,26 +1,7 @@
 """DuckDB SQL for the catalogue and document-store jobs; constants are stated here."""
 
 from oracle.evaluation import RESULTS
-
-_COLUMNS = {
-    "customers": "id customer_code company_name industry country city tier contact_email annual_volume_teu",
-    "carriers": "id carrier_code carrier_name carrier_type headquarters_country reliability_score avg_transit_days cost_per_kg_usd",
-    "shipments": "id shipment_id customer_id carrier_id origin_port origin_country destination_port destination_country mode status "
-                 "booking_date estimated_departure actual_departure estimated_arrival actual_arrival weight_kg volume_cbm "
-                 "container_type container_count commodity incoterm po_number delay_days delay_reason priority",
-    "shipment_charges": "shipment_id charge_type amount_usd currency",
-    "tracking_events": "id shipment_id event_type event_timestamp location location_country description created_by is_milestone",
-    "invoices": "id invoice_number shipment_id customer_id carrier_id invoice_date due_date subtotal_usd tax_usd total_usd "
-                "currency payment_status payment_date",
-    "extracted_documents": "id document_id document_type file_name upload_timestamp extraction_model overall_confidence "
-                           "review_status extracted_fields confidence_scores linked_shipment_id",
-}
-_KEYS = [
-    ("shipments", "customer_id", "customers", "id"), ("shipments", "carrier_id", "carriers", "id"),
-    ("shipment_charges", "shipment_id", "shipments", "id"), ("tracking_events", "shipment_id", "shipments", "id"),
-    ("invoices", "shipment_id", "shipments", "id"), ("invoices", "customer_id", "customers", "id"),
-    ("invoices", "carrier_id", "carriers", "id"), ("extracted_documents", "linked_shipment_id", "shipments", "shipment_id"),
-]
+from oracle.screens import _COLUMNS, _FKS as _KEYS
 
 
 def _nulls(table: str, column: str, at: int) -> str:
@@ -31,7 +12,7 @@ def _nulls(table: str, column: str, at: int) -> str:
 
 SQL = {
     "a3_table_names": " UNION ALL ".join(f"SELECT '{t}' AS table_name WHERE EXISTS (SELECT 1 FROM {t})" for t in _COLUMNS),
-    "a4_column_metadata": " UNION ALL ".join(_nulls(t, c, i) for t, cs in _COLUMNS.items() for i, c in enumerate(cs.split())),
+    "a4_column_metadata": " UNION ALL ".join(_nulls(t, c, i) for t, cs in _COLUMNS.items() for i, c in enumerate(cs)),
     "a5_foreign_keys": " UNION ALL ".join(
         f"SELECT '{a}' AS from_table, '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column, count({b}) AS rows_with_key FROM {a}"
         for a, b, c, d in _KEYS),

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import float_text
 from tidewater.operators import documents as D
 
 
@@ -144,3 +145,21 @@ def test_duplicate_keys_follow_python_dict(spark):
     f = docs["d"]["fields"]
     assert [x["field"] for x in f] == ["a", "b"]
     assert f[0]["value"] == "3" and f[0]["confidence"] == 0.2
+
+
+def test_lenient_check_clamps_scores(spark):
+    text = '{"fields": {"a": 1}, "confidence_scores": {"a": 1.7, "b": -2, "c": true, "d": "x", "e": 0.25}, "document_type": "invoice"}'
+    raw = spark.createDataFrame([("d1", text), ("d2", text + " done"), ("d3", None)], "document_id string, response_text string")
+    out = {r["document_id"]: r for r in D.lenient_check(raw).collect()}
+    assert out["d1"]["clamped_scores"] == {"a": 1.0, "b": 0.0, "c": 1.0, "e": 0.25}
+    cleaned = json.loads(out["d1"]["cleaned"])
+    assert cleaned["confidence_scores"] == {"a": 1.0, "b": 0.0, "c": 1.0, "d": "x", "e": 0.25} and cleaned["fields"] == {"a": 1}
+    assert (out["d2"]["passed"], out["d2"]["reason"]) == (False, "Invalid JSON")
+    assert out["d3"]["reason"] == "Empty response from vision model."
+
+
+def test_float_text_is_plain(spark):
+    values = [12500000.0, 1.25, 1e16, 0.0001, 0.00001, -3e7, 123456789.125, 0.0, 5.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    got = [r["t"] for r in df.select("i", float_text("x").alias("t")).orderBy("i").collect()]
+    assert got == [str(x) for x in values]

@@ -41,6 +41,38 @@ def test_nearest_documents_exact_cosine(spark):
     assert top[1] == "table_1" and top[2] == "table_0"
 
 
+def test_nearest_documents_over_many_blocks_is_exact(spark):
+    import math
+    emb = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 11) - 5, float(i % 13) - 6], i) for i in range(300)],
+                                "vec_id long, embedding array<float>, label int")
+    coll = E.example_collection(emb)
+    hits = E.nearest_documents(emb.filter("vec_id < 20"), coll, k=4, block_rows=16).filter("model = 'full'").collect()
+    vectors = {r["vec_id"]: r["embedding"] for r in emb.collect()}
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    for q in range(20):
+        want = sorted(((-cosine(vectors[q], v), f"example_{i}") for i, v in vectors.items()))[:4]
+        got = sorted((h["rank"], h["doc_id"]) for h in hits if h["vec_id"] == q)
+        near = [-cosine(vectors[q], vectors[int(d.split("_")[1])]) for _, d in got]
+        assert near == pytest.approx([w[0] for w in want]) and [r for r, _ in got] == [1, 2, 3, 4]
+
+
+def test_category_matrix_takes_any_model(spark):
+    rows = spark.createDataFrame([("a", "new/model-x", 1), ("a", "other/model-x", 0)], "category string, model string, correct_behavior int")
+    assert {(r["model"], r["correct_pct"]) for r in E.category_matrix(rows).collect()} == {("new/model-x", 100.0), ("other/model-x", 0.0)}
+
+
+def test_trailing_text_and_null_replies(spark):
+    good = '{"sql": "SELECT 1"}'
+    df = spark.createDataFrame([(0, good + " Hope it helps"), (1, None), (2, good + good), (3, "7"), (4, good + "}")], "id long, raw string")
+    out = [r["p"]["parse_error"] for r in df.select("id", E.normalise_model_response(F.col("raw")).alias("p")).orderBy("id").collect()]
+    assert out == ["JSON decode error", "Empty response from model", "JSON decode error", "Expected JSON object, got int",
+                   "JSON decode error"]
+
+
 def test_normalise_model_response(spark):
     good = '{"sql": "SELECT 1", "tables_used": "shipments"}'
     df = spark.createDataFrame(list(enumerate([

@@ -38,20 +38,20 @@ def l2_orphan_keys(wh) -> DataFrame:
 
     Each child table is scanned once with its keys exploded into
     (relation, parent, key) rows and pre-aggregated, so a hot key is one row;
-    the parents' keys are unioned once; a single anti-join finds the orphans.
+    the parents' keys are unioned once, all as text; a single anti-join finds the orphans.
     """
     by_child: dict[str, list[tuple[str, str, str, str]]] = {}
     for src, col, dst, key in FOREIGN_KEYS:
         by_child.setdefault(src, []).append((src, col, dst, key))
     child_keys = []
     for src, rels in by_child.items():
-        arr = F.array(*[F.struct(F.lit(f"{s}.{c} -> {d}.{k}").alias("relation"), F.lit(d).alias("parent"),
-                                 F.col(c).alias("k")) for s, c, d, k in rels])
+        arr = F.array(*[F.struct(F.lit(f"{s}.{c} -> {d}.{k}").alias("relation"), F.lit(f"{d}.{k}").alias("parent"),
+                                 F.col(c).cast("string").alias("k")) for s, c, d, k in rels])
         child_keys.append(wh.table(src).select(F.explode(arr).alias("x")).select("x.*"))
     refs = (reduce(DataFrame.unionByName, child_keys).filter(F.col("k").isNotNull())
             .groupBy("relation", "parent", "k").agg(F.count(F.lit(1)).alias("n")))
     parents = reduce(DataFrame.unionByName, [
-        wh.table(d).select(F.lit(d).alias("parent"), F.col(k).alias("k"))
+        wh.table(d).select(F.lit(f"{d}.{k}").alias("parent"), F.col(k).cast("string").alias("k"))
         for d, k in sorted({(d, k) for _, _, d, k in FOREIGN_KEYS})])
     orphans = refs.join(parents, ["parent", "k"], "left_anti").groupBy("relation").agg(F.sum("n").alias("orphans"))
     declared = wh.spark.createDataFrame([(f"{s}.{c} -> {d}.{k}",) for s, c, d, k in FOREIGN_KEYS], "relation string")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.config import KNOWN_TABLES, SETTINGS
+from tidewater.functions import bound
 
 # --- fixed values: question screen patterns, in checking order ---
 SQL_INJECTION_PATTERNS = [
@@ -149,13 +150,14 @@ def lint_sql(log: DataFrame, sql_col: str = "sql") -> DataFrame:
                             F.array().cast("array<string>"))
 
     def w(key: str, cond: Column) -> Column:
-        sev, msg, _ = PITFALLS[key]
-        return F.when(cond, F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("message")))
+        sev, msg, fix = PITFALLS[key]
+        return F.when(cond, F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("message"), F.lit(fix).alias("suggestion")))
 
     no_on = F.when((F.size(hit_tables) > 0) & ~F.contains(u, F.lit("ON")), F.struct(
         F.lit("error").alias("severity"),
         F.concat(F.lit("JOIN with "), F.element_at(hit_tables, 1), F.lit(" appears to be missing an ON clause."))
-        .alias("message")))
+        .alias("message"),
+        F.concat(F.lit("Add ON clause: JOIN "), F.element_at(hit_tables, 1), F.lit(" ON <condition>")).alias("suggestion")))
     found = F.array(
         w("not_in", u.rlike(r"NOT\s+IN\s*\(")),
         w("union", u.rlike(r"\bUNION\b(?!\s+ALL)")),
@@ -164,11 +166,14 @@ def lint_sql(log: DataFrame, sql_col: str = "sql") -> DataFrame:
         no_on,
         w("select_star_join", F.contains(u, F.lit("SELECT *")) & F.contains(u, F.lit("JOIN"))),
         w("having_no_group", F.contains(u, F.lit("HAVING")) & ~has_group))
-    kept = F.filter(found, lambda x: x.isNotNull())
-    return log.select("query_id",
-                      F.size(F.filter(kept, lambda x: x["severity"] == "error")).alias("errors"),
-                      F.size(kept).alias("warnings"),
-                      F.array_join(F.transform(kept, lambda x: x["message"]), " | ").alias("messages"))
+    def summary(kept: Column) -> Column:
+        return F.struct(
+            F.size(F.filter(kept, lambda x: x["severity"] == "error")).alias("errors"), F.size(kept).alias("warnings"),
+            *[F.array_join(F.transform(kept, lambda x: x[part]), " | ").alias(name)
+              for part, name in (("message", "messages"), ("severity", "severities"), ("suggestion", "suggestions"))])
+
+    found_once = bound(F.filter(found, lambda x: x.isNotNull()), summary)  # the rules run once a row
+    return log.select("query_id", found_once.alias("found")).select("query_id", "found.*")
 
 
 def referenced_tables(sql: Column) -> Column:

@@ -37,6 +37,10 @@ def a5_foreign_keys(wh) -> DataFrame:
     return C.foreign_keys(wh.spark).join(counts, ["from_table", "from_column"])
 
 
+def a7_schema_text(wh) -> DataFrame:
+    return C.schema_text(wh)
+
+
 def a10_append(wh) -> DataFrame:
     """Two appends to a new store, the second with ids that are stored and ids
     twice in itself: per type, rows stored and duplicates reported."""

@@ -127,6 +127,7 @@ CATALOG: dict[str, QueryFn] = {
     "a3_table_names": ST.a3_table_names,
     "a4_column_metadata": ST.a4_column_metadata,
     "a5_foreign_keys": ST.a5_foreign_keys,
+    "a7_schema_text": ST.a7_schema_text,
     "a10_append": ST.a10_append,
     "a11_list_documents": ST.a11_list_documents,
     "a12_get_document": ST.a12_get_document,

@@ -94,6 +94,26 @@ def table_profile(spark: SparkSession, wh) -> DataFrame:
     return row_counts(wh).join(cols, "table_name").join(fks, "table_name", "left")
 
 
+def schema_text(wh) -> DataFrame:
+    """A7 as one text per table: its rows, columns with constraints, and keys.
+
+    A column is NOT NULL where the data holds no null: Parquet declares none.
+    """
+    meta = column_metadata(wh.spark, wh)
+    nulls = reduce(DataFrame.unionByName, [null_counts(wh, t) for t in KNOWN_TABLES])
+    rule = (F.when(F.col("is_pk"), " PRIMARY KEY").when(F.col("null_count") == 0, " NOT NULL").otherwise(""))
+    line = F.concat(F.lit("    "), "column_name", F.lit(" "), "data_type", rule)
+    columns = meta.join(nulls, ["table_name", "column_name"]).groupBy("table_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))),
+                                 lambda c: c["line"]), "\n").alias("body"))
+    key = F.concat(F.lit("\n    FOREIGN KEY ("), "from_column", F.lit(") REFERENCES "), "to_table", F.lit("("), "to_column", F.lit(")"))
+    keys = foreign_keys(wh.spark).groupBy(F.col("from_table").alias("table_name")).agg(
+        F.array_join(F.array_sort(F.collect_list(key)), "").alias("tail"))
+    head = F.concat(F.lit("TABLE: "), "table_name", F.lit(" ("), F.format_number("row_count", 0), F.lit(" rows)\n"))
+    return (row_counts(wh).join(columns, "table_name").join(keys, "table_name", "left")
+            .select("table_name", F.concat(head, "body", F.coalesce("tail", F.lit(""))).alias("description")))
+
+
 def value_profile(wh) -> DataFrame:
     """Per enum column, values with their share, e.g. ``ocean(55%)``, most common first."""
     parts = []
