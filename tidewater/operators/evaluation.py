@@ -257,7 +257,7 @@ def eval_cases(results: DataFrame) -> DataFrame:
 
 def with_cost(results: DataFrame, prices: DataFrame) -> DataFrame:
     """K9: tokens / 1e6 x price; a model missing from the price table costs 0."""
-    j = results.join(F.broadcast(prices), "model", "left")  # fixed six-row table
+    j = results.join(prices, "model", "left")
     return j.withColumn("estimated_cost_usd",
                         F.col("input_tokens") / 1e6 * F.coalesce("input_per_mtok", F.lit(0.0))
                         + F.col("output_tokens") / 1e6 * F.coalesce("output_per_mtok", F.lit(0.0)))
