@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -81,6 +82,21 @@ def test_licences(make):
     assert licenses.scan_licenses(make([])).count() == 0
 
 
+def test_wrapped_licence_sentences_in_comments(make):
+    text = {name: x for name, x in licenses.SENTENCES}
+    wrapped = lambda *names: [line for n in names for line in (*textwrap.wrap(text[n] + ".", 60), "")]
+    notices = {"GPL-3.0-or-later": wrapped("GplFree", "GplHope", "GplSee"), "MIT": wrapped("MitGrantOnly", "MitNotice", "MitWarranty"),
+               "ISC": wrapped("IscGrant"), "LGPL-2.1-or-later": wrapped("LgplFree"), "Apache-2.0": wrapped("ApacheHeader"), "Unlicense": textwrap.wrap(text["Unlicense"], 12)}
+    rows, want = [], []
+    for licence, lines in notices.items():
+        for mark in ("", "# ", " * ", "// ", "! ", "//! ", "REM ", ";; ", "dnl ", "-- "):
+            for head in (["Copyright 2020 Someone", ""], ["Copyright 2020 Someone"], ["code();", "Copyright 2020 Someone"]):
+                rows.append((len(rows), "\n".join((mark + x).rstrip() for x in head + lines)))
+                want.append(licence)
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(make(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def fill(sizes, weights=(1, 2, 3), cap=3):
     """Targets by sharing and resharing."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

@@ -105,8 +105,10 @@ RULES = (
 )
 
 #: Every known sentence matches this, so texts without it hold none (tested).
-CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|warranty|all\s+rights\s+reserved|public\s+domain"
+CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|warranty|all(?:\W|rem|dnl)+rights(?:\W|rem|dnl)+reserved|public(?:\W|rem|dnl)+domain"
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
+#: A line's comment mark ("!" would end a sentence, REM is a word).
+COMMENT = r"(?md)^([ \t]*)(?:[#*;%!/>'\"|<-]+|@?(?:REM|rem)|dnl)(?=[ \t\r]|$)"
 UNKNOWN = "-"
 
 
@@ -117,26 +119,42 @@ def normalise(sentence: str) -> str:
 
 
 KNOWN = {normalise(text): name for name, text in SENTENCES}
+#: Known sentences that take up whole lines of a normalised block, the longest first.
+RUN = r"\n(?:" + "|".join(k.replace(" ", r"[ \n]") for k in sorted(KNOWN, key=len, reverse=True)) + r")(?=\n)"
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def normalised_lines(block: Column) -> Column:
+    """Each line normalised, between line ends; lines without a word are left out."""
+    kept = F.regexp_replace(F.translate(block, UPPER, LOWER), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), kept, F.lit("\n")), "[ \n]*\n[ \n]*", "\n")
+
+
 def sentence_identifiers(text: Column) -> Column:
     """One identifier per sentence, UNKNOWN for others. Sentences may be wrapped
-    over lines; a stretch of lines that isn't known as a whole is looked up line
-    by line, so a heading without a full stop is a sentence too."""
+    over lines, with comment marks; in a stretch of lines that isn't known as a
+    whole every run of lines is looked up, so a heading without a full stop is a
+    sentence too."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    none = F.array().cast("array<string>")
 
     def name(sentence: Column) -> Column:
         return F.coalesce(F.get(F.array(F.element_at(known, normalised(sentence))), F.lit(0)), F.lit(UNKNOWN))
 
+    def of_runs(lines: Column) -> Column:
+        return let(F.regexp_extract_all(lines, F.lit(RUN), F.lit(0)), lambda found: F.flatten(F.transform(F.split(lines, RUN, -1), lambda other, i: F.concat(
+            F.when(other.rlike(r"\A\n*\z"), none).otherwise(F.array(F.lit(UNKNOWN))),
+            F.when(i < F.size(found), F.array(name(F.get(found, i)))).otherwise(none)))))
+
     def of_block(block: Column) -> Column:
         return let(name(block), lambda whole: F.when((whole != UNKNOWN) | ~F.contains(block, F.lit("\n")), F.array(whole))
-                   .otherwise(F.transform(F.split(block, "\n", -1), name)))
+                   .otherwise(let(normalised_lines(block), of_runs)))
 
-    return F.flatten(F.transform(F.split(text, SENTENCE_END, -1), of_block))
+    marked = F.regexp_replace(text, COMMENT, "$1*")
+    return F.flatten(F.transform(F.split(marked, SENTENCE_END, -1), of_block))
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
