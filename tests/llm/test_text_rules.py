@@ -82,6 +82,34 @@ def test_licences(make):
     assert licenses.scan_licenses(make([])).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_every_licence_sentence_alone_and_numbered_lists(make):
+    used = {i: licence for licence, ids in reversed(licenses.RULES) if len(ids) == 1 for i in ids}
+    alone = list(licenses.SENTENCES)
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed, see it."
+    lists = [BSD, BSD.replace("met:\n\n", "met:\n"), " ".join(BSD.split()), "\n".join(f"# {x}" for x in BSD.split("\n")), BSD.replace("1.", "(1)").replace("2.", "2)").replace("3.", "c)")]
+    rows = [(i, text) for i, (_, text) in enumerate(alone)] + [(100, mpl), (101, BSD[:BSD.index("3. ")]), *((200 + i, x) for i, x in enumerate(lists))]
+    rows += [(300, "This work is licensed under the GNU General Public License, version\n2. It is free.")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(make(rows)).collect()}
+    for i, (identifier, text) in enumerate(alone):
+        assert got[i].n_known == 1 and got[i].licenses == used.get(identifier, ""), text
+    assert got[100].licenses == "MPL-2.0" and got[101].licenses == "BSD-2-Clause" and got[300].licenses == "GPL-2.0"
+    assert {got[200 + i].licenses for i in range(len(lists))} == {"BSD-3-Clause"}
+
+
 def test_wrapped_licence_sentences_in_comments(make):
     text = {name: x for name, x in licenses.SENTENCES}
     wrapped = lambda *names: [line for n in names for line in (*textwrap.wrap(text[n] + ".", 60), "")]

@@ -106,9 +106,13 @@ RULES = (
 
 #: Every known sentence matches this, so texts without it hold none (tested).
 CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|warranty|all(?:\W|rem|dnl)+rights(?:\W|rem|dnl)+reserved|public(?:\W|rem|dnl)+domain"
-SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
+#: Not after the "v." of a version number.
+SENTENCE_END = r"(?!(?<=\b[vV])\.[ \t\r\n*]+[0-9])[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 #: A line's comment mark ("!" would end a sentence, REM is a word).
 COMMENT = r"(?md)^([ \t]*)(?:[#*;%!/>'\"|<-]+|@?(?:REM|rem)|dnl)(?=[ \t\r]|$)"
+#: The number of a list's item, at the start of a line or after another item.
+LIST_MARK = r"(?md)(^[ \t*]*|[:;.][ \t]+)\(?([0-9]{1,2}|[A-Za-z]|[ivx]{2,4})[.)][ \t]+"
+ONLY_MARKS = r"(?:\n(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})(?=\n|\z))*\n*"
 UNKNOWN = "-"
 
 
@@ -137,7 +141,7 @@ def sentence_identifiers(text: Column) -> Column:
     """One identifier per sentence, UNKNOWN for others. Sentences may be wrapped
     over lines, with comment marks; in a stretch of lines that isn't known as a
     whole every run of lines is looked up, so a heading without a full stop is a
-    sentence too."""
+    sentence too. The numbers of a list are no sentences."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     none = F.array().cast("array<string>")
 
@@ -146,14 +150,14 @@ def sentence_identifiers(text: Column) -> Column:
 
     def of_runs(lines: Column) -> Column:
         return let(F.regexp_extract_all(lines, F.lit(RUN), F.lit(0)), lambda found: F.flatten(F.transform(F.split(lines, RUN, -1), lambda other, i: F.concat(
-            F.when(other.rlike(r"\A\n*\z"), none).otherwise(F.array(F.lit(UNKNOWN))),
+            F.when(other.rlike(rf"\A{ONLY_MARKS}\z"), none).otherwise(F.array(F.lit(UNKNOWN))),
             F.when(i < F.size(found), F.array(name(F.get(found, i)))).otherwise(none)))))
 
     def of_block(block: Column) -> Column:
         return let(name(block), lambda whole: F.when((whole != UNKNOWN) | ~F.contains(block, F.lit("\n")), F.array(whole))
                    .otherwise(let(normalised_lines(block), of_runs)))
 
-    marked = F.regexp_replace(text, COMMENT, "$1*")
+    marked = F.regexp_replace(F.regexp_replace(text, COMMENT, "$1*"), LIST_MARK, "$1*\n$2\n")
     return F.flatten(F.transform(F.split(marked, SENTENCE_END, -1), of_block))
 
 
