@@ -108,6 +108,28 @@ def test_quality_classifier(spark, make, odd_rows):
     assert quality_classifier.score_quality(make([]), none).count() == 0
 
 
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
+    """More unlabelled documents than any sample: the surest of all are found."""
+    import numpy as np
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000_000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 20_000_000))
+    model = quality_classifier.train(docs, labels, quality_classifier.Training(rounds=0))
+    rows = quality_classifier.feature_rows(docs).join(labels.where("quality IS NOT NULL"), "doc_id", "left_anti").withColumn("tie", F.xxhash64("doc_id"))
+    for learned in ([], [10_000_000 + k for k in range(5000)]):
+        params = quality_classifier.Training(per_round=100)
+        found = quality_classifier.surest(rows, params)(model.views, [learned, learned])
+        every = rows.toArrow()
+        views = [np.vstack(x) for x in zip(*map(quality_classifier._views, every.to_batches()))]
+        ids, tie = every.column("doc_id").to_numpy(), every.column("tie").to_numpy()
+        assert len(ids) > 18_000
+        for (v, label), best in found.items():
+            p = np.round(quality_classifier._sigmoid(model.views[v].odds(views[v])), 12)
+            p = p if label else np.round(1 - p, 12)
+            order = [int(ids[i]) for i in np.lexsort((ids, tie, -p)) if p[i] >= params.sure and ids[i] not in set(learned)][:100]
+            assert [x[0] for x in best] == order
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     d = "/root/testdata/sf0.01"

@@ -7,21 +7,23 @@ and those become training rows of the *other* one. Both are then calibrated on
 labelled documents that neither has learned from, and their calibrated odds
 are combined to score every document.
 
-Fitting reads features of at most ``per_class`` labelled documents a class and
-``pool`` unlabelled ones, picked by a hash of the identifier: a bounded sample.
-Scoring reads every whole text.
+Fitting reads features of at most ``per_class`` labelled documents a class,
+picked by a hash of the identifier, and the pseudo-labelled ones. These are
+searched for among all unlabelled documents: every round scores the stored
+features of each of them and takes the surest ``per_round`` a view and class.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bounded_sample, record_batches, stage, workers_import
@@ -32,7 +34,6 @@ class Training:
     """Parameters of the fit."""
 
     per_class: int = 3000     # bound of the labelled sample, per class
-    pool: int = 6000          # bound of the unlabelled sample
     rounds: int = 5
     sure: float = 0.97        # calibrated confidence of a pseudo-label
     per_round: int = 400      # pseudo-labels a view may give per class and round
@@ -42,6 +43,8 @@ class Training:
 
 
 SOURCE_BINS, LANG_BINS = 32, 16
+SLICE = 2048  # rows whose features are expanded at a time
+MERGES = 16   # tasks a class and view in which candidates meet first
 _UPPER, _DIGIT = bytes(range(65, 91)), b"0123456789"
 _LETTER = bytes([*range(65, 91), *range(97, 123)])
 _SYMBOL = b"#*$%&<>^~@=+_\\{}[]"
@@ -142,32 +145,33 @@ class CoTrained:
         return self.prior + sum(view.odds(x) - self.prior for view, x in zip(self.views, (text, meta), strict=True))
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], params: Training = Training()) -> CoTrained | None:
-    """``labelled`` and ``pool``: the two views' feature rows in one order each.
-    None if the labels don't have both classes on either side of the split."""
+#: (views, per view the identifiers that it has learned) -> per view and label the surest
+#: other documents, as (doc_id, the two views' features).
+Search = Callable[[list[Logistic], list[list[int]]], dict[tuple[int, int], list[tuple[int, list[np.ndarray]]]]]
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, search: Search, params: Training = Training()) -> CoTrained | None:
+    """``labelled``: the two views' feature rows in one order. None if the
+    labels don't have both classes on either side of the split."""
     back = np.arange(len(y)) % 10 < round(params.held_back * 10)
     if len(np.unique(y[~back])) < 2 or len(np.unique(y[back])) < 2:
         return None
-    extra: list[dict[int, float]] = [{}, {}]  # per view: pool row -> label given by the other view
+    extra: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # per view: document -> label given by the other view, features
 
     def trained(v: int) -> Logistic:
-        rows = sorted(extra[v])
-        x = np.vstack([labelled[v][~back], pool[v][rows]]) if rows else labelled[v][~back]
-        view = Logistic.fit(x, np.concatenate([y[~back], [extra[v][r] for r in rows]]), params.ridge)
+        rows = [extra[v][d] for d in sorted(extra[v])]
+        x = np.vstack([labelled[v][~back], *[r[1] for r in rows]])
+        view = Logistic.fit(x, np.concatenate([y[~back], [r[0] for r in rows]]), params.ridge)
         view.calibrate(labelled[v][back], y[back])
         return view
 
     views = [trained(0), trained(1)]
-    for _ in range(params.rounds if len(pool[0]) else 0):
-        new = 0
-        for v, other in ((0, 1), (1, 0)):
-            p = _sigmoid(views[v].odds(pool[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = [int(i) for i in np.argsort(-sure, kind="stable")[:4 * params.per_round] if sure[i] >= params.sure and int(i) not in extra[other]]
-                for i in best[:params.per_round]:
-                    extra[other][i] = label
-                    new += 1
-        if not new:
+    for _ in range(params.rounds):
+        found = search(views, [sorted(e) for e in extra])
+        for (v, label), best in found.items():
+            for doc_id, features in best:
+                extra[1 - v][doc_id] = (float(label), features[1 - v])
+        if not any(found.values()):
             break
         views = [trained(0), trained(1)]
     share = y[~back].mean()
@@ -179,36 +183,91 @@ def _narrow(docs: DataFrame) -> DataFrame:
                        docs["lang"].cast("string").alias("lang"), docs["n_chars"].cast("long").alias("n_chars"))
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in batch.column("text").to_pylist()], dtype=float)
-    meta = np.array([meta_features(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)], dtype=float)
-    return text, meta
+FEATURES = "doc_id long, text_view array<double>, source string, lang string, n_chars long"
+META = ("source", "lang", "n_chars")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in record_batches(batches, "text", 8 << 20):
-        text, meta = _features(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))],
-                                         ["doc_id", "text_view", "meta_view"])
-
-
-def train(docs: DataFrame, labels: DataFrame, params: Training = Training()) -> CoTrained | None:
-    """Fit on a bounded sample; ``labels`` is (doc_id, quality). A document with
-    several labels has their majority (a tie is good); null labels don't count."""
+        text = pa.array([text_features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, *map(batch.column, META)], ["doc_id", "text_view", *META])
+
+
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """What both views read of each row."""
+    return _narrow(docs).mapInArrow(_feature_rows, FEATURES)
+
+
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    text = batch.column("text_view").flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT_FEATURES)
+    return [text, np.array([meta_features(*x) for x in zip(*(batch.column(c).to_pylist() for c in META), strict=True)], dtype=float)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def surest(pool: DataFrame, params: Training) -> Search:
+    """A search over every row of ``pool``: FEATURES with distinct doc_ids and
+    a ``tie``. Each task keeps its surest rows, these meet in MERGES tasks a
+    view and label, and what those keep is merged here: never more than
+    4 * MERGES * per_round rows, whatever the table's size."""
+    most, sure = params.per_round, params.sure
+    order = [("p", "descending"), ("tie", "ascending"), ("doc_id", "ascending")]
+    columns = [c.split()[0] for c in FEATURES.split(", ")]
+
+    def search(views, learned):
+        shared = pool.sparkSession.sparkContext.broadcast((views, [np.array(x, dtype=np.int64) for x in learned]))
+
+        def run(batches):
+            views, learned = shared.value
+            best: dict[tuple[int, int], pa.Table] = {}
+            for batch in _slices(batches):
+                ids = batch.column("doc_id").to_numpy()
+                for v, x in enumerate(_views(batch)):
+                    p = np.round(_sigmoid(views[v].odds(x)), 12)
+                    new = ~np.isin(ids, learned[1 - v])
+                    for label, own in ((1, p), (0, np.round(1 - p, 12))):
+                        at = np.flatnonzero(new & (own >= sure))
+                        if len(at):
+                            rows = pa.Table.from_batches([batch.take(pa.array(at))]).append_column("p", pa.array(own[at]))
+                            known = [best[v, label]] if (v, label) in best else []
+                            best[v, label] = pa.concat_tables([*known, rows]).sort_by(order).slice(0, most)
+            for (v, label), rows in best.items():
+                n = rows.num_rows
+                rows = rows.append_column("v", pa.array([v] * n, pa.int32())).append_column("label", pa.array([label] * n, pa.int32()))
+                yield from rows.append_column("part", pa.array([TaskContext.get().partitionId() % MERGES] * n, pa.int32())).combine_chunks().to_batches()
+
+        out = pool.mapInArrow(run, f"{FEATURES}, tie long, p double, v int, label int, part int")
+        place = F.row_number().over(Window.partitionBy("v", "label", "part").orderBy(F.desc("p"), "tie", "doc_id"))
+        kept = out.withColumn("place", place).where(F.col("place") <= most).drop("place", "part").toArrow().sort_by(order)
+        shared.unpersist()
+        found = {}
+        for key in ((0, 1), (0, 0), (1, 1), (1, 0)):
+            rows = kept.filter((pa.compute.field("v") == key[0]) & (pa.compute.field("label") == key[1])).slice(0, most)
+            batches = rows.select(columns).combine_chunks().to_batches()
+            found[key] = [(d, [x[0][i], x[1][i]]) for b in batches if b.num_rows for x in [_views(b)] for i, d in enumerate(b.column("doc_id").to_pylist())]
+        return found
+
+    return search
+
+
+def train(docs: DataFrame, labels: DataFrame, params: Training = Training(), features: DataFrame | None = None) -> CoTrained | None:
+    """Fit on a bounded sample of the labelled documents and on pseudo-labels
+    from all others; ``labels`` is (doc_id, quality). A document with several
+    labels has their majority (a tie is good); null labels don't count.
+    ``features``: the stored feature_rows of ``docs``."""
+    rows = stage(feature_rows(docs), "quality-features") if features is None else features
     given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("d")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    ids = _narrow(docs).select(F.col("doc_id").alias("d")).where("d IS NOT NULL").distinct().join(given, "d", "left")
-    ids = ids.select("d", F.coalesce("y", F.lit(-1)).alias("g"))
-    picked = bounded_sample(ids, "g", "d", F.when(F.col("g") < 0, params.pool).otherwise(params.per_class))
-    picked = stage(picked.select(F.col("d").alias("chosen"), "g"), "quality-sample")
-    own = _narrow(docs)
-    rows = own.join(picked, own["doc_id"] == picked["chosen"]).select(*own.columns)
-    found = rows.mapInArrow(_feature_rows, "doc_id long, text_view array<double>, meta_view array<double>").dropDuplicates(["doc_id"])
-    sample = sorted(found.join(picked, found["doc_id"] == picked["chosen"]).select(F.xxhash64("doc_id"), "doc_id", "g", "text_view", "meta_view").collect())
-    if not sample:
+    marked = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(given, F.col("doc_id") == F.col("d"), "left").drop("d")
+    marked = stage(marked.withColumn("tie", F.xxhash64("doc_id")), "quality-marked")
+    sample = bounded_sample(marked.where("y IS NOT NULL"), "y", "doc_id", F.lit(params.per_class)).toArrow().sort_by([("tie", "ascending"), ("doc_id", "ascending")])
+    if not sample.num_rows:
         return None
-    g = np.array([r[2] for r in sample])
-    views = [np.array([r[k] for r in sample], dtype=float) for k in (3, 4)]
-    return co_train([v[g >= 0] for v in views], g[g >= 0].astype(float), [v[g < 0] for v in views], params)
+    views = [np.vstack(x) for x in zip(*map(_views, sample.to_batches()), strict=True)]
+    return co_train(views, sample.column("y").to_numpy().astype(float), surest(marked.where("y IS NULL").drop("y"), params), params)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: Training = Training(), model: CoTrained | None = None) -> DataFrame:
@@ -221,23 +280,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, params: Training = Trainin
     ignored.
     """
     workers_import(docs.sparkSession)
-    learned = model if model is not None else train(docs, labels, params)
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
+    rows = feature_rows(docs)
+    if model is None:
+        rows = stage(rows, "quality-features")
+        model = train(docs, labels, params, rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     accept = params.accept
 
     def run(batches):
         fitted = shared.value
-        for batch in record_batches(batches, "text", 8 << 20):
-            if fitted is None or not batch.num_rows:
+        for batch in _slices(batches):
+            if fitted is None:
                 text = meta = both = np.full(batch.num_rows, 0.5)
             else:
-                views = _features(batch)
+                views = _views(batch)
                 text, meta = (_sigmoid(view.odds(x)) for view, x in zip(fitted.views, views, strict=True))
                 both = _sigmoid(fitted.odds(*views))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= accept)],
                                              ["doc_id", "text_score", "meta_score", "quality_score", "accepted"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, quality_score double, accepted boolean")
+    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, quality_score double, accepted boolean")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, params: Training = Training()) -> DataFrame:
