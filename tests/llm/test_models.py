@@ -118,9 +118,9 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
     rows = quality_classifier.feature_rows(docs).join(labels.where("quality IS NOT NULL"), "doc_id", "left_anti").withColumn("tie", F.xxhash64("doc_id"))
     for learned in ([], [10_000_000 + k for k in range(5000)]):
         params = quality_classifier.Training(per_round=100)
-        found = quality_classifier.surest(rows, params)(model.views, [learned, learned])
+        found = quality_classifier.surest(rows, model.vocabulary, params)(model.views, [learned, learned])
         every = rows.toArrow()
-        views = [np.vstack(x) for x in zip(*map(quality_classifier._views, every.to_batches()))]
+        views = [np.vstack(x) for x in zip(*(quality_classifier._views(b, model.vocabulary) for b in every.to_batches()))]
         ids, tie = every.column("doc_id").to_numpy(), every.column("tie").to_numpy()
         assert len(ids) > 18_000
         for (v, label), best in found.items():
@@ -130,6 +130,14 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
             assert [x[0] for x in best] == order
 
 
+def test_sources_and_languages_do_not_share_weights():
+    names = [f"s{i}" for i in range(100)]
+    known = quality_classifier.Vocabulary.of(names * 2 + ["once"], ["de", "es"] * 100 + ["xx"])
+    assert len({tuple(known.features(n, "de", 1)) for n in names}) == 100
+    assert known.features("s1", "de", 1) != known.features("s1", "es", 1)
+    assert known.features("once", "xx", 1) == known.features("new", None, 1)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     d = "/root/testdata/sf0.01"

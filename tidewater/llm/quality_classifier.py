@@ -15,7 +15,7 @@ features of each of them and takes the surest ``per_round`` a view and class.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -42,7 +42,6 @@ class Training:
     accept: float = 0.5       # a document under this score is rejected
 
 
-SOURCE_BINS, LANG_BINS = 32, 16
 SLICE = 2048  # rows whose features are expanded at a time
 MERGES = 16   # tasks a class and view in which candidates meet first
 _UPPER, _DIGIT = bytes(range(65, 91)), b"0123456789"
@@ -51,7 +50,6 @@ _SYMBOL = b"#*$%&<>^~@=+_\\{}[]"
 _STOP = b".,;:"
 _BEYOND = bytes(range(128, 256))
 TEXT_FEATURES = 18
-META_FEATURES = 3 + SOURCE_BINS + LANG_BINS
 
 
 def text_features(text: str | None) -> list[float]:
@@ -78,14 +76,27 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    out = [0.0] * META_FEATURES
-    known = n_chars is not None and n_chars >= 0
-    out[0], out[1] = (np.log1p(n_chars) / 10, (np.log1p(n_chars) / 10) ** 2) if known else (0.0, 0.0)
-    out[2] = 0.0 if known else 1.0
-    out[3 + zlib.crc32((source or "").encode()) % SOURCE_BINS] = 1.0
-    out[3 + SOURCE_BINS + zlib.crc32((lang or "").encode()) % LANG_BINS] = 1.0
-    return out
+@dataclass
+class Vocabulary:
+    """A place for each source and language that occurs twice in the labelled
+    sample; the last place of either is for all others."""
+
+    sources: dict[str, int]
+    langs: dict[str, int]
+
+    @classmethod
+    def of(cls, sources: list[str | None], langs: list[str | None]) -> Vocabulary:
+        return cls(*({w: i for i, w in enumerate(sorted(w for w, n in Counter(x or "" for x in values).items() if n > 1))} for values in (sources, langs)))
+
+    def features(self, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+        first = 3 + len(self.sources) + 1
+        out = [0.0] * (first + len(self.langs) + 1)
+        known = n_chars is not None and n_chars >= 0
+        out[0], out[1] = (np.log1p(n_chars) / 10, (np.log1p(n_chars) / 10) ** 2) if known else (0.0, 0.0)
+        out[2] = 0.0 if known else 1.0
+        out[3 + self.sources.get(source or "", len(self.sources))] = 1.0
+        out[first + self.langs.get(lang or "", len(self.langs))] = 1.0
+        return out
 
 
 @dataclass
@@ -137,6 +148,7 @@ def _newton(z: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.n
 @dataclass
 class CoTrained:
     views: list[Logistic]
+    vocabulary: Vocabulary
     prior: float           # log odds of the labelled sample
     pseudo: list[int]      # rows that each view learned from the other
 
@@ -150,7 +162,7 @@ class CoTrained:
 Search = Callable[[list[Logistic], list[list[int]]], dict[tuple[int, int], list[tuple[int, list[np.ndarray]]]]]
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, search: Search, params: Training = Training()) -> CoTrained | None:
+def co_train(labelled: list[np.ndarray], y: np.ndarray, vocabulary: Vocabulary, search: Search, params: Training = Training()) -> CoTrained | None:
     """``labelled``: the two views' feature rows in one order. None if the
     labels don't have both classes on either side of the split."""
     back = np.arange(len(y)) % 10 < round(params.held_back * 10)
@@ -175,7 +187,7 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, search: Search, params:
             break
         views = [trained(0), trained(1)]
     share = y[~back].mean()
-    return CoTrained(views, float(np.log(share / (1 - share))), [len(e) for e in extra])
+    return CoTrained(views, vocabulary, float(np.log(share / (1 - share))), [len(e) for e in extra])
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -198,9 +210,9 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return _narrow(docs).mapInArrow(_feature_rows, FEATURES)
 
 
-def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _views(batch: pa.RecordBatch, vocabulary: Vocabulary) -> list[np.ndarray]:
     text = batch.column("text_view").flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT_FEATURES)
-    return [text, np.array([meta_features(*x) for x in zip(*(batch.column(c).to_pylist() for c in META), strict=True)], dtype=float)]
+    return [text, np.array([vocabulary.features(*x) for x in zip(*(batch.column(c).to_pylist() for c in META), strict=True)], dtype=float)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +221,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE)
 
 
-def surest(pool: DataFrame, params: Training) -> Search:
+def surest(pool: DataFrame, vocabulary: Vocabulary, params: Training) -> Search:
     """A search over every row of ``pool``: FEATURES with distinct doc_ids and
     a ``tie``. Each task keeps its surest rows, these meet in MERGES tasks a
     view and label, and what those keep is merged here: never more than
@@ -226,7 +238,7 @@ def surest(pool: DataFrame, params: Training) -> Search:
             best: dict[tuple[int, int], pa.Table] = {}
             for batch in _slices(batches):
                 ids = batch.column("doc_id").to_numpy()
-                for v, x in enumerate(_views(batch)):
+                for v, x in enumerate(_views(batch, vocabulary)):
                     p = np.round(_sigmoid(views[v].odds(x)), 12)
                     new = ~np.isin(ids, learned[1 - v])
                     for label, own in ((1, p), (0, np.round(1 - p, 12))):
@@ -248,7 +260,7 @@ def surest(pool: DataFrame, params: Training) -> Search:
         for key in ((0, 1), (0, 0), (1, 1), (1, 0)):
             rows = kept.filter((pa.compute.field("v") == key[0]) & (pa.compute.field("label") == key[1])).slice(0, most)
             batches = rows.select(columns).combine_chunks().to_batches()
-            found[key] = [(d, [x[0][i], x[1][i]]) for b in batches if b.num_rows for x in [_views(b)] for i, d in enumerate(b.column("doc_id").to_pylist())]
+            found[key] = [(d, [x[0][i], x[1][i]]) for b in batches if b.num_rows for x in [_views(b, vocabulary)] for i, d in enumerate(b.column("doc_id").to_pylist())]
         return found
 
     return search
@@ -266,8 +278,10 @@ def train(docs: DataFrame, labels: DataFrame, params: Training = Training(), fea
     sample = bounded_sample(marked.where("y IS NOT NULL"), "y", "doc_id", F.lit(params.per_class)).toArrow().sort_by([("tie", "ascending"), ("doc_id", "ascending")])
     if not sample.num_rows:
         return None
-    views = [np.vstack(x) for x in zip(*map(_views, sample.to_batches()), strict=True)]
-    return co_train(views, sample.column("y").to_numpy().astype(float), surest(marked.where("y IS NULL").drop("y"), params), params)
+    vocabulary = Vocabulary.of(sample.column("source").to_pylist(), sample.column("lang").to_pylist())
+    views = [np.vstack(x) for x in zip(*(_views(b, vocabulary) for b in sample.to_batches()), strict=True)]
+    search = surest(marked.where("y IS NULL").drop("y"), vocabulary, params)
+    return co_train(views, sample.column("y").to_numpy().astype(float), vocabulary, search, params)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: Training = Training(), model: CoTrained | None = None) -> DataFrame:
@@ -293,7 +307,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, params: Training = Trainin
             if fitted is None:
                 text = meta = both = np.full(batch.num_rows, 0.5)
             else:
-                views = _views(batch)
+                views = _views(batch, fitted.vocabulary)
                 text, meta = (_sigmoid(view.odds(x)) for view, x in zip(fitted.views, views, strict=True))
                 both = _sigmoid(fitted.odds(*views))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= accept)],
