@@ -131,3 +131,10 @@ def test_components_of_a_chain_and_no_edges(spark):
     got = {r.node: r.component for r in graph.connected_components(chain).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert graph.connected_components(chain.where("a < 0")).count() == 0
+
+
+def test_other_texts_under_one_id_stay(make):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1] + " "), (3, texts[2]), (7, texts[2]), (7, texts[3])]
+    got = sorted((r.doc_id, r.text.strip()) for r in simhash.drop_near_duplicates(make(rows)).collect())
+    assert got == sorted([(5, texts[0]), (5, texts[1]), (3, texts[2]), (7, texts[3])])

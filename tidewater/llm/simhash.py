@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.llm.common import record_batches, stage, workers_import
 from tidewater.llm.graph import connected_components
@@ -131,24 +132,47 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     Repeated rows give repeated results; an empty table gives no rows; other
     columns are ignored.
     """
-    marked = stage(fingerprints(docs, shingle), "fingerprints")
+    found = _components(fingerprints(docs, shingle), max_bits, max_posting)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(marked: DataFrame, max_bits: int = MAX_BITS, max_posting: int = 256) -> DataFrame:
+    """``marked`` (doc_id, fp) with component_id and root, a fingerprint that
+    identifies the component: two may have the same smallest doc_id."""
+    marked = stage(marked, "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct.select("fp"), max_bits, max_posting))
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(roots, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(roots, "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` of which each group keeps the smallest doc_id; rows
-    repeated under one doc_id keep one. Rows without a doc_id can't be told
-    apart from others and stay."""
-    groups = simhash_components(docs, shingle, max_bits)
+    """The rows of ``docs`` of which each group keeps the smallest doc_id. Rows
+    under one doc_id are told apart by their fingerprints: each group that
+    keeps it keeps one of them. Rows without a doc_id can't be told apart from
+    others and stay."""
+    groups = stage(_components(fingerprints(docs, shingle), max_bits), "groups")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__rep")), "repeated")
+    repeated = stage(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__rep")), "repeated")
+    own = docs["doc_id"].cast("long")
     if repeated.isEmpty():
-        return left
-    same = left["doc_id"] == repeated["__rep"]
-    return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+        return docs.join(gone, own == gone["__gone"], "left_anti")
+    once = docs.join(repeated, own == repeated["__rep"], "left_anti")
+    once = once.join(gone, once["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    several = _with_fingerprint(docs.join(repeated, own == repeated["__rep"], "left_semi"), shingle)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__of"), F.col("fp").alias("__fp_of"), F.col("root").alias("__root")).distinct()
+    several = several.join(kept, (several["doc_id"].cast("long") == kept["__of"]) & (several["__fp"] == kept["__fp_of"]))
+    return once.union(several.dropDuplicates(["doc_id", "__root"]).select(*docs.columns))
+
+
+def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
+    """Whole rows with their fingerprint."""
+    def run(batches):
+        for batch in record_batches(batches, "__text", 8 << 20):
+            fps = [fingerprint(t, shingle) for t in batch.column("__text").to_pylist()]
+            yield batch.append_column("__fp", pa.array(fps, pa.int64()))
+
+    rows = docs.withColumn("__text", docs["text"].cast("string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__fp", LongType())]))
