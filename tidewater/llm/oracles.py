@@ -209,4 +209,43 @@ SELECT pg.page_id, pg.host, pg.path, own.rule,
 FROM pg LEFT JOIN own ON own.host = pg.host AND own.path = pg.path LEFT JOIN passed ON passed.node = pg.node
 """
 
-SQL: dict[str, str] = {"op1_license_scan": LICENSE_SCAN, "op7_quality_rules": QUALITY_RULES, "op5_exact_dedup": EXACT_DEDUP, "op9_source_mix": SOURCE_MIX, "op10_url_filter": URL_FILTER}
+# --- line dedup --------------------------------------------------------------
+_KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINE_DEDUP = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT r, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d
+), keyed AS (
+  SELECT r, i, line, {_KEY} AS k FROM lines
+), often AS (
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM keyed WHERE k NOT IN (SELECT k FROM often) GROUP BY r
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+# --- fill in the middle ------------------------------------------------------
+FILL_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), h AS (
+  SELECT *, len(u)::BIGINT AS n, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN [0, 1, 2, 3]] AS x FROM d
+), c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT doc_id, n, form, t, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+SQL: dict[str, str] = {"op1_license_scan": LICENSE_SCAN, "op7_quality_rules": QUALITY_RULES, "op5_exact_dedup": EXACT_DEDUP, "op9_source_mix": SOURCE_MIX,
+                       "op10_url_filter": URL_FILTER, "op12_line_dedup": LINE_DEDUP, "op13_fill_middle": FILL_MIDDLE}

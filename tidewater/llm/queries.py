@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import (exact_dedup, language_id, licenses, mixing, piece_codec, quality_classifier, quality_rules,
-                           simhash, token_counts, url_filter)
+from tidewater.llm import (exact_dedup, fill_middle, language_id, licenses, line_dedup, mixing, piece_codec,
+                           quality_classifier, quality_rules, simhash, token_alignment, token_counts, url_filter)
 from tidewater.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,6 +60,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut every text, and give digests of the output and of the text rebuilt from it."""
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restored_text(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_piece_codec, op4_language_id, op5_exact_dedup, op6_quality_classifier,
-    op7_quality_rules, op8_simhash, op9_source_mix, op10_url_filter)}
+    op7_quality_rules, op8_simhash, op9_source_mix, op10_url_filter, op11_token_alignment, op12_line_dedup, op13_fill_middle)}
