@@ -1,11 +1,12 @@
 """Hand-made rows for the document rules (I1-I17), expectations from the rules."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import float_text
+from tidewater.functions import clean_reference, float_text
 from tidewater.operators import documents as D
 
 
@@ -163,3 +164,34 @@ def test_float_text_is_plain(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
     got = [r["t"] for r in df.select("i", float_text("x").alias("t")).orderBy("i").collect()]
     assert got == [str(x) for x in values]
+
+
+def test_references_lose_all_white_space_at_their_ends(spark):
+    rows = [("  PO-1 ",), ("\t\nPO 2\r\x0b\x0c",), ("  PO-3　",), ("\x1cPO-4\x1f",), ("   ",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(clean_reference("x")).collect()]
+    assert got == [None if x is None else x.strip() or None for x, in rows]
+
+
+def test_fields_of_wide_documents_keep_order_and_take_linear_time(spark):
+    def doc(n):
+        names = [f"f{(i * 7919) % n}" for i in range(n)]
+        fields = ", ".join(f'"{k}": {i}' for i, k in enumerate(names)) + ', "f1": "last"'
+        scores = ", ".join(f'"{k}": 0.{1 + i % 9}' for i, k in enumerate(reversed(names)) if i % 3) + ', "other": 1, "f2": 0.25'
+        return names, "{" + fields + "}", "{" + scores + "}"
+
+    took = {}
+    for n in (1000, 10_000):
+        names, fields, scores = doc(n)
+        df = spark.createDataFrame([(f"d{i}", fields, scores) for i in range(4)], "document_id string, f string, c string").repartition(1).cache()
+        df.count()
+        out = D.with_field_array(df, "f", "c").select("document_id", F.explode("fields").alias("x")).select("document_id", "x.*")
+        out.write.format("noop").mode("overwrite").save()
+        start = time.monotonic()
+        out.write.format("noop").mode("overwrite").save()
+        took[n] = time.monotonic() - start
+        want_score = json.loads(scores)
+        got = out.where("document_id = 'd0'").orderBy("pos").collect()
+        assert [r.field for r in got] == names and [r.pos for r in got] == list(range(1, n + 1))
+        assert {r.field: r.confidence for r in got} == {k: want_score.get(k, 0.5) for k in names}
+        assert {r.field: r.value for r in got}["f1"] == "last"
+    assert took[10_000] < 40 * took[1000] + 0.5, took

@@ -9,8 +9,9 @@ def test_orphans_counted_per_relation(spark):
     t = {
         "customers": spark.createDataFrame([(1,), (2,)], "id long"),
         "carriers": spark.createDataFrame([(10,)], "id long"),
-        "shipments": spark.createDataFrame([(100, 1, 10), (101, 3, 10), (102, 3, 11), (103, None, 10)],
-                                           "id long, customer_id long, carrier_id long"),
+        "shipments": spark.createDataFrame([(100, "S100", 1, 10), (101, "S101", 3, 10), (102, "S102", 3, 11), (103, "S103", None, 10)],
+                                           "id long, shipment_id string, customer_id long, carrier_id long"),
+        "extracted_documents": spark.createDataFrame([("S100",), ("S999",), (None,), ("100",)], "linked_shipment_id string"),
         "shipment_charges": spark.createDataFrame([(100,), (999,)], "shipment_id long"),
         "tracking_events": spark.createDataFrame([(101,)], "shipment_id long"),
         "invoices": spark.createDataFrame([(100, 1, 10), (555, 7, 10)], "shipment_id long, customer_id long, carrier_id long"),
@@ -25,4 +26,5 @@ def test_orphans_counted_per_relation(spark):
         "invoices.shipment_id -> shipments.id": 1,
         "invoices.customer_id -> customers.id": 1,
         "invoices.carrier_id -> carriers.id": 0,
+        "extracted_documents.linked_shipment_id -> shipments.shipment_id": 2,
     }

@@ -37,8 +37,8 @@ def mean_of_decimal(x) -> Column:
 
 
 def clean_reference(x) -> Column:
-    """H8: trimmed string value, empty -> NULL. Caller gates on JSON string type."""
-    return F.nullif(F.trim(_c(x)), F.lit(""))
+    """H8: the string without any white space at its ends, empty -> NULL. Caller gates on JSON string type."""
+    return F.nullif(F.regexp_replace(_c(x), r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", ""), F.lit(""))
 
 
 def parse_quantity(x, strip_dollar: bool = False) -> Column:
@@ -95,18 +95,17 @@ def python_type(schema: Column) -> Column:
 def complete_json(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing more, else null.
 
-    Spark's parser stops where a value ends. Text that goes on is found by
-    setting it between other members: what may follow a value inside an array
-    is never what may follow it inside an object, so only a complete value
-    parses in both places.
+    Spark's parser stops where a value ends. The text is parsed once, as the
+    first item of an array whose second is the text's own hash: text that goes
+    on after its value, or closes the array, leaves another second item.
     """
     return bound(text, _complete_json)
 
 
 def _complete_json(text: Column) -> Column:
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"w":0}')))
-    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
+    mark = F.xxhash64(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return bound(listed, lambda v: F.when(F.try_variant_get(v, "$[1]", "bigint") == mark, F.variant_get(v, "$[0]", "variant")))
 
 
 def float_text(x) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import EXPECTED_FIELDS, SETTINGS
-from tidewater.functions import clamp01, complete_json, float_text, parse_quantity, python_type
+from tidewater.functions import bound, clamp01, clean_reference, complete_json, float_text, parse_quantity, python_type
 from tidewater.session import accept_repeated_keys
 
 NUMERIC_PREFIXES = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
@@ -168,31 +168,49 @@ def coerce_confidence(c: Column, s: Column | None = None) -> tuple[Column, Colum
     return conf, problem
 
 
-def _last(entries_col: str, key: Column) -> Column:
-    """Value of the last entry with ``key`` in a map's entries: a repeated JSON key keeps
-    its last value, as a Python dict does (``from_json`` keeps every entry and
-    ``element_at`` on the map would find the first)."""
-    return F.try_element_at(F.filter(entries_col, lambda e: e["key"] == key), F.lit(-1))["value"]
+def _paired(m: Column) -> Column:
+    """Fields in document order with their text, value and confidence, from a
+    struct (names, texts, values, scored, scores): the names of both JSON
+    objects are sorted together, so a field stands next to its score. A
+    repeated field has the position of its first entry and the value of its
+    last one, as in a Python dict. n log n in the fields of a document."""
+    marks = F.array_sort(F.concat(
+        F.transform(m["names"], lambda k, i: F.struct(k.alias("k"), F.lit(0).alias("side"), i.alias("i"))),
+        F.transform(m["scored"], lambda k, i: F.struct(k.alias("k"), F.lit(1).alias("side"), i.alias("i")))))
+
+    def placed(x: Column) -> Column:
+        def same(j: Column, e: Column) -> Column:
+            return F.coalesce(F.get(x, j)["k"] == e["k"], F.lit(False))
+
+        first = F.transform(x, lambda e, j: F.when((e["side"] == 0) & ~same(j - 1, e), e["i"]))
+        last = F.transform(x, lambda e, j: F.when(
+            (e["side"] == 0) & ~(same(j + 1, e) & (F.get(x, j + 1)["side"] == 0)),
+            F.struct(e["i"].alias("last"), F.when(same(j + 1, e), F.get(x, j + 1)["i"]).alias("score"))))
+        known = lambda e: e.isNotNull()
+        return F.array_sort(F.zip_with(F.filter(first, known), F.filter(last, known), lambda f, e: F.struct(
+            f.alias("first"), e["last"].alias("last"), e["score"].alias("score"))))
+
+    def entry(e: Column, place: Column) -> Column:
+        value, score = F.get(m["values"], e["last"]), F.get(m["scores"], e["score"])
+        return F.struct((place + 1).alias("pos"), F.get(m["names"], e["last"]).alias("field"), F.get(m["texts"], e["last"]).alias("value"),
+                        F.schema_of_variant(value).alias("value_type"), score.alias("c"), F.schema_of_variant(score).alias("ctype"))
+
+    return F.transform(bound(marks, placed), entry)
 
 
 def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> DataFrame:
     """I4 + I5 + I8: ordered ``fields`` = array<struct<pos, field, value, value_type,
     confidence, needs_review, problem>>, plus ``fmap`` (field -> struct) for lookups.
 
-    Each JSON object is parsed once into a map column; the per-field work is
-    staged through transforms that only touch lambda variables.
+    Each JSON object is parsed once into a map, whose keys and values are
+    bound as arrays; a field finds its entries by place, not by search.
     """
-    staged = (df
-              .withColumn("_keys", F.array_distinct(F.json_object_keys(fields_json)))  # first position wins
-              .withColumn("_tmap", F.map_entries(F.from_json(fields_json, "map<string,string>")))
-              .withColumn("_vmap", F.map_entries(F.from_json(fields_json, "map<string,variant>")))
-              .withColumn("_cmap", F.map_entries(F.from_json(confidence_json, "map<string,variant>")))
-              .withColumn("_raw", F.transform("_keys", lambda k, i: F.struct(
-                  (i + 1).alias("pos"), k.alias("field"),
-                  _last("_tmap", k).alias("value"),
-                  F.schema_of_variant(_last("_vmap", k)).alias("value_type"),
-                  _last("_cmap", k).alias("c"),
-                  F.schema_of_variant(_last("_cmap", k)).alias("ctype")))))
+    texts, values = F.from_json(fields_json, "map<string,string>"), F.from_json(fields_json, "map<string,variant>")
+    scores = F.try_variant_get(F.try_parse_json(confidence_json), "$", "map<string,variant>")  # a repeated key: the last
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    parts = bound(F.struct(texts.alias("t"), values.alias("v"), F.coalesce(scores, none).alias("c")), lambda p: F.struct(
+        F.map_keys(p["t"]).alias("names"), F.map_values(p["t"]).alias("texts"), F.map_values(p["v"]).alias("values"),
+        F.map_keys(p["c"]).alias("scored"), F.map_values(p["c"]).alias("scores")))
 
     def score(r: Column) -> Column:
         conf, problem = coerce_confidence(r["c"], r["ctype"])
@@ -200,11 +218,11 @@ def with_field_array(df: DataFrame, fields_json: str, confidence_json: str) -> D
                         r["value_type"].alias("value_type"), conf.alias("confidence"),
                         problem.alias("problem"))
 
-    return (staged.withColumn("_scored", F.transform("_raw", score))
+    return (df.withColumn("_scored", F.transform(bound(parts, _paired), score))
             .withColumn("fields", F.transform("_scored", lambda f: f.withField(
                 "needs_review", f["confidence"] < SETTINGS.confidence_threshold)))
             .withColumn("fmap", F.map_from_arrays(F.transform("fields", lambda f: f["field"]), F.col("fields")))
-            .drop("_keys", "_tmap", "_vmap", "_cmap", "_raw", "_scored"))
+            .drop("_scored"))
 
 
 def long_fields(docs: DataFrame) -> DataFrame:
@@ -331,7 +349,7 @@ def link_candidates(docs: DataFrame) -> DataFrame:
     cands = F.array(*[
         F.struct(F.lit(p).alias("priority"), F.lit(kind).alias("kind"),
                  F.when(_value(F.col("fmap"), k)["value_type"] == "STRING",
-                        F.nullif(_strip(_value(F.col("fmap"), k)["value"]), F.lit(""))).alias("ref"))
+                        clean_reference(_value(F.col("fmap"), k)["value"])).alias("ref"))
         for k, p, kind in keys])
     return (docs.select("document_id", F.explode(cands).alias("c"))
             .select("document_id", "c.priority", "c.kind", "c.ref").filter(F.col("ref").isNotNull()))
