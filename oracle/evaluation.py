@@ -46,6 +46,11 @@ SQL = {
     "k1_nearest_examples": _EXAMPLES + _SIMILAR.rstrip(",") + """
 SELECT model, vec_id, CAST(row_number() OVER (PARTITION BY model, vec_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank, doc_id
 FROM sim QUALIFY rank <= 3""",
+    "k1_similar_vectors": """
+, coll AS (SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS doc_id, embedding AS vec, CAST(NULL AS VARCHAR) AS tbl,
+                CAST(NULL AS VARCHAR) AS from_table, CAST(NULL AS VARCHAR) AS to_table FROM embeddings),""" + _SIMILAR.rstrip(",").replace("FROM embeddings e CROSS JOIN models m", "FROM embeddings e CROSS JOIN models m WHERE e.vec_id % 20 = 0") + """
+SELECT model, vec_id, CAST(row_number() OVER (PARTITION BY model, vec_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank, doc_id
+FROM sim QUALIFY rank <= 5""",
     "k1_nearest_documents": HITS + "\nSELECT model, vec_id, CAST(rank AS INTEGER) AS rank, doc_id FROM hits",
     "k2_retrieved_tables": HITS + "\nSELECT model, vec_id, array_to_string(retrieved, ',') AS retrieved FROM ret",
     "k3_question_scores": HITS + "\nSELECT model, vec_id, hit, precision, reciprocal_rank FROM sc",

@@ -1,9 +1,12 @@
 """Retrieval scoring and model-response handling on hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import evaluation as E
+from tidewater.operators import nearest
+from tidewater.operators.nearest import Layout
 
 
 def test_question_scores(spark):
@@ -46,7 +49,7 @@ def test_nearest_documents_over_many_blocks_is_exact(spark):
     emb = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 11) - 5, float(i % 13) - 6], i) for i in range(300)],
                                 "vec_id long, embedding array<float>, label int")
     coll = E.example_collection(emb)
-    hits = E.nearest_documents(emb.filter("vec_id < 20"), coll, k=4, block_rows=16).filter("model = 'full'").collect()
+    hits = E.nearest_documents(emb.filter("vec_id < 20"), coll, k=4, layout=Layout(pivots=6, rings=3, chunk_rows=16, question_rows=7)).filter("model = 'full'").collect()
     vectors = {r["vec_id"]: r["embedding"] for r in emb.collect()}
 
     def cosine(a, b):
@@ -60,6 +63,43 @@ def test_nearest_documents_over_many_blocks_is_exact(spark):
         assert near == pytest.approx([w[0] for w in want]) and [r for r, _ in got] == [1, 2, 3, 4]
 
 
+def test_blocks_are_skipped_and_hot_blocks_split(spark):
+    """Clustered vectors: most blocks are out of reach, and still every row is that of a full comparison."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.02 * r.normal(size=8)).tolist(), i % 12) for i in range(2400)]
+    rows += [(2400, [0.0] * 8, 0), (2401, rows[0][1], 0), (2402, None, 0)]  # without a direction; a copy; null
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    coll = E.example_collection(emb.where("embedding IS NOT NULL").withColumn("label", F.col("vec_id").cast("int")))
+    asked = E._represented(emb.where("vec_id % 10 = 0 OR vec_id > 2399"), "embedding").where("model = 'full'")
+    keys, payload = ["model", "vec_id"], ["table"]
+    index = nearest.build_index(E._represented(coll, "vec"), payload, Layout(pivots=16, rings=8, chunk_rows=100, question_rows=16))
+    first, _, later = nearest.rounds(asked.where("norm > 0"), keys, index, payload, 5)
+    blocks = index.blocks.where("model = 'full'").count()
+    visits = first.unionByName(later.select(*first.columns)).groupBy("vec_id").agg(F.sum(F.size("visits")).alias("n")).agg(F.avg("n"), F.max("n")).first()
+    assert blocks >= 16 and visits[0] < blocks / 4, (blocks, visits)
+    # A block that many questions need meets them in several parts, and a question only chunks of blocks that it visits.
+    met = nearest._meet(first, keys, index, payload, 5)
+    chunks = index.blocks.where("model = 'full'").select("pivot", "ring", "n_chunks")
+    sent = first.select("vec_id", F.explode("visits").alias("b")).select("b.*").groupBy("pivot", "ring").count().join(chunks, ["pivot", "ring"])
+    assert met.count() <= 5 * sent.agg(F.sum(F.col("count") * F.col("n_chunks"))).first()[0]
+    assert sent.agg(F.max("count")).first()[0] > 16
+    got = {}
+    for h in nearest.nearest(asked, keys, index, payload, 5).collect():
+        got.setdefault(h.vec_id, {})[h["rank"]] = h.doc_id
+    ids = [i for i, v, _ in rows if v is not None]
+    matrix = np.array([v for _, v, _ in rows if v is not None])
+    norms = np.linalg.norm(matrix, axis=1)
+    unit = matrix / np.where(norms > 0, norms, 1)[:, None]
+    for q in [x for x in range(2403) if x % 10 == 0 or x > 2399]:
+        v = rows[q][1]
+        cosine = unit @ (np.array(v) / (np.linalg.norm(v) or 1)) if v is not None else np.zeros(len(ids))
+        want = sorted((-round(float(c), 12), f"example_{i}") for c, i in zip(cosine, ids))[:5]
+        near = [round(float(cosine[ids.index(int(d.split("_")[1]))]), 12) for _, d in sorted(got[q].items())]
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and near == [-w[0] for w in want], q
+    assert [d for _, d in sorted(got[2400].items())] == sorted(f"example_{i}" for i in ids)[:5]
+
+
 def test_category_matrix_takes_any_model(spark):
     rows = spark.createDataFrame([("a", "new/model-x", 1), ("a", "other/model-x", 0)], "category string, model string, correct_behavior int")
     assert {(r["model"], r["correct_pct"]) for r in E.category_matrix(rows).collect()} == {("new/model-x", 100.0), ("other/model-x", 0.0)}

@@ -1,9 +1,8 @@
 """Retrieval and evaluation analytics.
 
 Retrieval: every stored vector is a question; the collections are built by
-Spark from the same table (centroid documents, and one example per label). A
-collection of any size is cut into blocks; a question meets a block as one
-row, keeps its best k of it, and the k of every block are merged.
+Spark from the same table (centroid documents, and one example per label), or
+are the vectors themselves. Search is exact, over a metric index (``nearest``).
 
 Evaluation: replies of any models are parsed, scored and rolled up.
 """
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions import bound, complete_json, python_type
+from tidewater.operators import nearest
 from tidewater.operators import screens as S
 
 # --- fixed values: model price table (USD per million tokens) ---
@@ -35,7 +35,6 @@ REFUSAL_PHRASES = [
 
 # representations of a stored vector, each of the whole vector: (name, bits per dimension)
 EMBEDDING_MODELS = [("full", 32), ("sign", 1)]
-BLOCK_ROWS = 4096  # documents of a collection that a question meets as one row
 
 
 # ------------------------------------------------------------------ retrieval
@@ -71,10 +70,6 @@ def example_collection(embeddings: DataFrame) -> DataFrame:
                         F.col("label").cast("string").alias("table"), none.alias("from_table"), none.alias("to_table"))
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-
 def _represented(df: DataFrame, vec_col: str) -> DataFrame:
     """One row per model: its representation of the whole vector, the norm, and
     the bytes that a vector takes (the cost of a comparison)."""
@@ -84,36 +79,16 @@ def _represented(df: DataFrame, vec_col: str) -> DataFrame:
                                (F.size(vec_col) * bits / 8).alias("cost")) for m, bits in EMBEDDING_MODELS])
     rest = [c for c in df.columns if c != vec_col]
     return (df.select(*rest, F.explode(views).alias("view")).select(*rest, "view.*")
-            .withColumn("norm", F.sqrt(_total(F.transform("vec", lambda v: v * v)))))
+            .withColumn("norm", F.sqrt(nearest.total(F.transform("vec", lambda v: v * v)))))
 
 
-def nearest_documents(questions: DataFrame, collection: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """K1 + E4: the exact top-k documents by cosine similarity per (model, question).
-
-    The collection may have any size: the number of its blocks follows its
-    count, a block is one row of about ``block_rows`` documents, and each
-    question sends k candidates per block to the final ranking.
-    """
-    blocks = -(-collection.count() // block_rows) or 1
-    docs = (_represented(collection, "vec").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-            .groupBy("model", "block")
-            .agg(F.collect_list(F.struct("doc_id", "vec", "norm", "table", "from_table", "to_table")).alias("docs")))
-    asked = (_represented(questions.select("vec_id", "label", "embedding"), "embedding")
-             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))))
-
-    def scored(d: Column) -> Column:
-        dot = _total(F.zip_with("vec", d["vec"], lambda x, y: x * y))
-        similarity = F.coalesce(F.try_divide(dot, F.col("norm") * d["norm"]), F.lit(0.0))
-        return F.struct((-similarity).alias("distance"), d["doc_id"].alias("doc_id"), d["table"].alias("table"),
-                        d["from_table"].alias("from_table"), d["to_table"].alias("to_table"))
-
-    best = F.slice(F.array_sort(F.transform("docs", scored)), 1, k)
-    candidates = (asked.join(docs, ["model", "block"])
-                  .select("model", "cost", "vec_id", "label", F.explode(best).alias("hit"))
-                  .select("model", "cost", "vec_id", "label", "hit.*"))
-    w = W.partitionBy("model", "vec_id").orderBy("distance", "doc_id")  # k rows per block
-    return (candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("model", "cost", "vec_id", "label", "rank", "doc_id", "table", "from_table", "to_table"))
+def nearest_documents(questions: DataFrame, collection: DataFrame, k: int = 5, layout: nearest.Layout = nearest.Layout()) -> DataFrame:
+    """K1 + E4: the exact top-k documents by cosine similarity per (model, question),
+    over a metric index of the collection (see ``nearest``)."""
+    payload = ["table", "from_table", "to_table"]
+    index = nearest.build_index(_represented(collection, "vec"), payload, layout)
+    asked = _represented(questions.select("vec_id", "label", "embedding"), "embedding")
+    return nearest.nearest(asked, ["model", "cost", "vec_id", "label"], index, payload, k)
 
 
 def retrieved_tables(hits: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from tidewater.sources.replies import model_replies
 
 
 def _collection(wh) -> DataFrame:
-    # written once: counted for its number of blocks and then read
     return wh.memo("knowledge_collection", lambda: E.knowledge_collection(wh.embeddings))
 
 
@@ -40,6 +39,16 @@ def k1_nearest_examples(wh) -> DataFrame:
     return E.nearest_documents(wh.embeddings, examples, k=3).select("model", "vec_id", "rank", "doc_id")
 
 
+def k1_similar_vectors(wh) -> DataFrame:
+    """The vectors themselves as the collection: every twentieth is a question,
+    its five nearest among all others and itself."""
+    none = F.lit(None).cast("string")
+    stored = wh.embeddings.select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("doc_id"), F.col("embedding").alias("vec"),
+                                  F.col("label").cast("string").alias("table"), none.alias("from_table"), none.alias("to_table"))
+    asked = wh.embeddings.filter("vec_id % 20 = 0")
+    return E.nearest_documents(asked, stored).select("model", "vec_id", "rank", "doc_id")
+
+
 def k2_retrieved_tables(wh) -> DataFrame:
     r = E.retrieved_tables(_hits(wh))
     return r.select("model", "vec_id", F.array_join("retrieved", ",").alias("retrieved"))

@@ -149,6 +149,7 @@ QUALITY: dict[str, QueryFn] = {
 
 EVALUATION: dict[str, QueryFn] = {
     "k1_nearest_examples": EJ.k1_nearest_examples,
+    "k1_similar_vectors": EJ.k1_similar_vectors,
     "k1_nearest_documents": EJ.k1_nearest_documents,
     "k2_retrieved_tables": EJ.k2_retrieved_tables,
     "k3_question_scores": EJ.k3_question_scores,
