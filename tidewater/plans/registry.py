@@ -99,6 +99,7 @@ DOCUMENTS: dict[str, QueryFn] = {
     "i18_review_merge": DJ.i18_review_merge,
     "i18_unknown_reviews": DJ.i18_unknown_reviews,
     "i19_manual_link": DJ.i19_manual_link,
+    "i19_unknown_links": DJ.i19_unknown_links,
     "i20_field_registry": DJ.i20_field_registry,
     "i21_confidence_bands": DJ.i21_confidence_bands,
     "i22_type_rollup": DJ.i22_type_rollup,
@@ -109,6 +110,7 @@ DOCUMENTS: dict[str, QueryFn] = {
     "i23_parties": DJ.i23_parties,
     "i24_typed_threshold": DJ.i24_high_confidence_invoices,
     "m1_stream_ingest": DJ.m1_stream_ingest,
+    "m1_field_registry": DJ.m1_field_registry,
 }
 
 SCREENS: dict[str, QueryFn] = {
