@@ -324,6 +324,23 @@ link_log AS (
 last_link AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY linked_at DESC) AS rn FROM link_log) WHERE rn = 1)
 SELECT e.document_id, coalesce(l.shipment_id, e.linked_shipment_id) AS linked_shipment_id
 FROM extracted_documents e LEFT JOIN last_link l USING (document_id)""",
+    "i18_stored_reviews": _w(REVIEW_LOG, """
+SELECT e.document_type, coalesce(l.review_status, e.review_status) AS review_status, count(*) AS documents,
+       count(*) FILTER (WHERE contains(coalesce(l.corrected_fields, e.extracted_fields), 'corrected_by')) AS corrected
+FROM extracted_documents e LEFT JOIN last_review l USING (document_id) GROUP BY 1, 2"""),
+    "i19_stored_links": """
+, docs6 AS (SELECT document_id, CAST(substr(document_id, 5) AS BIGINT) AS n FROM extracted_documents
+            WHERE CAST(substr(document_id, 5) AS BIGINT) % 6 = 0),
+link_log AS (
+  SELECT d.document_id, s.shipment_id, CAST(s.booking_date AS TIMESTAMP) AS linked_at FROM docs6 d JOIN shipments s ON s.id = d.n + 1
+  UNION ALL
+  SELECT d.document_id, s.shipment_id, CAST(s.booking_date AS TIMESTAMP) + INTERVAL 1 DAY FROM docs6 d JOIN shipments s ON s.id = d.n + 2
+  WHERE d.n % 12 = 0),
+last_link AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY linked_at DESC) AS rn FROM link_log) WHERE rn = 1)
+SELECT e.document_id, coalesce(l.shipment_id, e.linked_shipment_id) AS linked_shipment_id, true AS known
+FROM extracted_documents e LEFT JOIN last_link l USING (document_id)
+UNION ALL
+SELECT DISTINCT 'DOC-Y' || substr(document_id, 5)::BIGINT::VARCHAR, NULL, false FROM extracted_documents WHERE substr(document_id, 5)::BIGINT % 14 = 0""",
     "i19_unknown_links": """
 , d AS (SELECT document_id, CAST(substr(document_id, 5) AS BIGINT) AS n FROM extracted_documents)
 SELECT DISTINCT 'DOC-Y' || CAST(n AS VARCHAR) AS document_id FROM d WHERE n % 14 = 0""",

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.config import KNOWN_TABLES
+from tidewater.operators import document_jobs as DJ
+from tidewater.operators import documents as D
 from tidewater.operators import evaluation_jobs as EJ
 from tidewater.session import shared_path
 from tidewater.sources import catalog as C
 from tidewater.sources import documents as SD
+from tidewater.sources.store import DocumentStore
 
 
 def a3_table_names(wh) -> DataFrame:
@@ -49,7 +52,7 @@ def a10_append(wh) -> DataFrame:
     first = SD.append_documents(wh.spark, docs.filter("id % 3 <> 0"), path)
     later = docs.filter("id % 3 <> 1")
     second = SD.append_documents(wh.spark, later.unionByName(later.filter("id % 3 = 0")), path)
-    stored = SD.stored_table(wh.spark, path, "document_id string, review_status string, document_type string")
+    stored = DocumentStore(wh.spark, path).read().select("document_id", "review_status", "document_type")
     twice = first.unionByName(second).groupBy("document_id").agg(F.count("*").alias("n"))
     return (stored.join(twice, "document_id", "left").groupBy("document_type", "review_status")
             .agg(F.count("*").alias("stored"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicates")))
@@ -62,9 +65,13 @@ def a11_list_documents(wh) -> DataFrame:
 
 
 def a12_get_document(wh) -> DataFrame:
-    """A point lookup of the document uploaded last."""
+    """A point lookup in the document store: the document uploaded last."""
+    path = shared_path(wh.spark, "store", uuid.uuid4().hex)
+    store = DocumentStore(wh.spark, path)
+    store.append(wh.extracted_documents)
     last = wh.extracted_documents.agg(F.max_by("document_id", F.struct("upload_timestamp", "document_id"))).scalar()
-    return wh.extracted_documents.filter(F.col("document_id") == last).select("document_id", "document_type", "review_status")
+    wanted = wh.spark.range(1).select(last).first()[0]
+    return store.get(wanted).select("document_id", "document_type", "review_status")
 
 
 def a13_upload_screening(wh) -> DataFrame:
@@ -85,3 +92,24 @@ def a15_result_sink(wh) -> DataFrame:
     back = wh.spark.read.schema("test_id bigint, model string, correct_behavior int, output_tokens bigint").json(path)
     return back.groupBy("model").agg(F.count("*").alias("results"), F.sum("correct_behavior").alias("correct"),
                                      F.sum("output_tokens").alias("output_tokens"))
+
+
+def _merged(wh, log: DataFrame, apply) -> tuple[DocumentStore, DataFrame]:
+    store = DocumentStore(wh.spark, shared_path(wh.spark, "store", uuid.uuid4().hex))
+    store.append(wh.extracted_documents)
+    return store, store.merge(log, apply)
+
+
+def i18_stored_reviews(wh) -> DataFrame:
+    """The review log merged into the document store: status and corrected
+    documents of the stored table, per type."""
+    store, _ = _merged(wh, DJ.review_log(wh), D.latest_review)
+    return store.read().groupBy("document_type", "review_status").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("extracted_fields").contains("corrected_by")).alias("corrected"))
+
+
+def i19_stored_links(wh) -> DataFrame:
+    """The manual links merged into the document store, and the ids it doesn't hold."""
+    store, unknown = _merged(wh, DJ.link_log(wh), D.manual_links)
+    linked = store.read().select("document_id", "linked_shipment_id", F.lit(True).alias("known"))
+    return linked.unionByName(unknown.select("document_id", F.lit(None).cast("string").alias("linked_shipment_id"), F.lit(False).alias("known")))

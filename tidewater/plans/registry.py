@@ -100,6 +100,8 @@ DOCUMENTS: dict[str, QueryFn] = {
     "i18_unknown_reviews": DJ.i18_unknown_reviews,
     "i19_manual_link": DJ.i19_manual_link,
     "i19_unknown_links": DJ.i19_unknown_links,
+    "i18_stored_reviews": ST.i18_stored_reviews,
+    "i19_stored_links": ST.i19_stored_links,
     "i20_field_registry": DJ.i20_field_registry,
     "i21_confidence_bands": DJ.i21_confidence_bands,
     "i22_type_rollup": DJ.i22_type_rollup,

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.config import SETTINGS
-from tidewater.session import shared_path
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder is there, by Spark's own file systems."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from tidewater.sources.store import DocumentStore, path_exists
 
 
 def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -29,23 +20,11 @@ def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_documents(spark: SparkSession, new_docs: DataFrame, path: str) -> DataFrame:
     """A10: append with status ``pending``; ids already stored are returned, not written.
 
-    The anti-join makes a replayed append idempotent; duplicates are reported
-    back to the caller as the reference reports them as errors.
+    Only the buckets that the new ids fall into are read. A replayed append
+    writes nothing; duplicates are reported back to the caller as the reference
+    reports them as errors.
     """
-    existing = stored_table(spark, path, "document_id string").select("document_id")
-    docs = new_docs.withColumn("review_status", F.lit("pending"))
-    # inside one append the first row of an id by its JSON text stays; the others are duplicates too
-    order = W.partitionBy("document_id").orderBy(F.to_json(F.struct(*new_docs.columns)))
-    ranked = docs.withColumn("__n", F.row_number().over(order))
-    fresh = ranked.filter("__n = 1").drop("__n").join(existing, "document_id", "left_anti")
-    dupes = (ranked.filter("__n > 1").select("document_id")
-             .unionByName(ranked.filter("__n = 1").join(existing, "document_id", "left_semi").select("document_id")))
-    # written before the append changes what is stored
-    reported = shared_path(spark, "store-duplicates", uuid.uuid4().hex)
-    dupes.write.parquet(reported)
-    dupes = spark.read.schema("document_id string").parquet(reported)
-    fresh.write.mode("append").partitionBy("document_type").parquet(path)
-    return dupes
+    return DocumentStore(spark, path).append(new_docs.withColumn("review_status", F.lit("pending")))
 
 
 def list_documents(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.session import accept_repeated_keys, shared_path
 from tidewater.sources.logistics_sql import view_sql
+from tidewater.sources.store import indexed_writer
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -19,6 +20,8 @@ DRIVER_TABLES = [
 # re-planned into every job that parses them.
 MATERIALISED = {"raw_responses"}
 
+POINT_KEYS = {"shipments": "shipment_id", "extracted_documents": "document_id"}
+
 LOGISTICS_VIEWS = [
     "customers", "carriers", "shipments", "shipment_charges", "tracking_events", "invoices",
     "extracted_documents",
@@ -133,7 +136,8 @@ class Warehouse:
             df = self._frames[name]
             if name in cluster:
                 df = df.repartitionByRange(cluster[name]).sortWithinPartitions(cluster[name])
-            writer = df.write.mode("overwrite")
+            # point lookups by a key that the table isn't sorted by skip row groups by its Bloom filter
+            writer = (indexed_writer(df, POINT_KEYS[name]) if name in POINT_KEYS else df.write).mode("overwrite")
             if name == "extracted_documents":
                 writer = writer.partitionBy("document_type")
             writer.parquet(path)
