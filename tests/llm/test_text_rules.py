@@ -1,11 +1,13 @@
 import re
 import textwrap
+import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import licenses, mixing, quality_rules, url_filter
+from tidewater.llm import licenses, mixing, oracles, quality_rules, url_filter
 from tidewater.llm.common import let, table, words
 
 
@@ -125,6 +127,40 @@ def test_wrapped_licence_sentences_in_comments(make):
     assert [got[i] for i in range(len(rows))] == want
 
 
+MEGABYTE = 1 << 20
+
+
+def test_licences_in_odd_and_long_texts(make, odd_rows):
+    """No pattern nests a call or starts anew for each character."""
+    long = ["install " + "许可证文本" * (MEGABYTE // 15), "overall " + "-" * MEGABYTE, "license " + " " * MEGABYTE + "x", "license\n" + "\n" * MEGABYTE, "license " + "." * MEGABYTE,
+            "copyright\n" + "1\n" * (MEGABYTE // 2), "copyright\n" + "a) " * (MEGABYTE // 3), "copyright\n" + "# \n" * (MEGABYTE // 3), "license " + "v. " * (MEGABYTE // 3),
+            "public " + "rem" * (MEGABYTE // 3), "license " + ". " * (MEGABYTE // 2), "許可 domain " * (MEGABYTE // 20), "license\n" + "\t" * MEGABYTE + "\n", "license;" + " " * MEGABYTE]
+    docs = make(odd_rows + [(100 + i, x + "\n\nReleased under the MIT License.") for i, x in enumerate(long)])
+    started = time.monotonic()
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
+    assert time.monotonic() - started < 120
+    assert {got[100 + i] for i in range(len(long))} == {"MIT"} and len(got) == len({r[0] for r in odd_rows}) + len(long)
+
+
+def test_licence_sql_equals_the_operator(spark, make, odd_rows, tmp_path):
+    """Numbered lists, versions, wrapped notices in comments, several licences in one text."""
+    text = dict(licenses.SENTENCES)
+    texts = [x for _, x in licenses.SENTENCES] + [x + "." for _, x in licenses.SENTENCES]
+    texts += [BSD, BSD.replace("met:\n\n", "met:\n"), " ".join(BSD.split()), "\n".join(f"# {x}" for x in BSD.split("\n")), BSD.replace("1.", "(1)").replace("2.", "2)").replace("3.", "c)")]
+    texts += ["This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy was not distributed, see it.", "see v. 2 and V.\n3! or v.. 4 rev. 5"]
+    for names in (("GplFree", "GplHope", "GplSee"), ("MitGrantOnly", "MitNotice", "MitWarranty"), ("IscGrant",), ("Unlicense", "RightsReserved"), ("AgplFree", "GplHope", "AgplSee"), ("Spdx:MIT", "Spdx:ISC")):
+        lines = [line for n in names for line in (*textwrap.wrap(text[n] + ".", 50), "")]
+        for mark in ("", "# ", " * ", "// ", "REM ", ";; ", "dnl "):
+            texts.append("\n".join((mark + x).rstrip() for x in ["code();", "Copyright 2020 Someone", *lines, "more of it"]))
+            texts.append("\n".join((mark + x).rstrip() for x in [*lines, *lines, "1.", "a", "iv", *lines]))
+    docs = make(odd_rows + [(100 + i, x) for i, x in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(oracles.SQL["op1_license_scan"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in licenses.scan_licenses(docs).collect()) == want
+
+
 def fill(sizes, weights=(1, 2, 3), cap=3):
     """Targets by sharing and resharing."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

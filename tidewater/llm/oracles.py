@@ -6,6 +6,8 @@ operators; only the lists of licence sentences and rules are shared, as data.
 
 from __future__ import annotations
 
+import re
+
 from tidewater.llm.licenses import RULES, SENTENCES
 
 _W = r"[\x20\x09-\x0D]"
@@ -19,39 +21,55 @@ def _values(rows: list[tuple]) -> str:
 
 # --- licence scans -----------------------------------------------------------
 # The sentence and rule lists are data and enter as VALUES; they are normalised
-# here by SQL. Every text is cut, not only those with a cue.
-_NORM = r"trim(regexp_replace(translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+# here by SQL. Every text is cut, not only those with a cue. RE2 has no look-
+# around: the dot of "v. 2" is masked, and line ends are doubled so that known
+# stretches of lines can take their own.
+_LOWER = "translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORM = "trim(regexp_replace(" + _LOWER + ", '[^a-z0-9]+', ' ', 'g'))"
+_PLAIN = {re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ") for _, s in SENTENCES}
+_STRETCH = "|".join(k.replace(" ", r"(?: |\n\n)") for k in sorted(_PLAIN, key=len, reverse=True))
 LICENSE_SCAN = rf"""
 WITH RECURSIVE known AS (
   SELECT DISTINCT name, {_NORM.format(s="s")} AS n FROM (VALUES {_values([*SENTENCES])}) AS t(name, s)
 ), rules AS (
   SELECT * FROM (VALUES {_values([(k, licence, "".join(f"[{i}]" for i in ids)) for k, (licence, ids) in enumerate(RULES)])}) AS t(k, licence, ids)
+), uncommented AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_replace(coalesce(text, ''), '(?m)^([ \t]*)(?:[#*;%!/>''"|<-]+|@?(?:REM|rem)|dnl)([ \t\r]|$)', '\1*\2', 'g') AS t FROM documents
+), unlisted AS (
+  SELECT r, regexp_replace(t, '(?m)(^[ \t*]*|[:;.][ \t]+)\(?([0-9]{{1,2}}|[A-Za-z]|[ivx]{{2,4}})[.)][ \t]+', E'\\1*\n\\2\n', 'g') AS t FROM uncommented
+), masked AS (
+  SELECT r, regexp_replace(t, '(\b[vV])\.([ \t\r\n*]+[0-9])', E'\\1\x01\\2', 'g') AS t FROM unlisted
 ), lists AS (
-  SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \t\r\n]+|\n[ \t\r]*\n') AS l FROM documents
+  SELECT r, regexp_split_to_array(t, '[.!?]+[ \t\r\n]+|\n[ \t\r]*\n') AS l FROM masked
 ), blocks AS (
-  SELECT doc_id, unnest(l) AS block, generate_subscripts(l, 1) AS i FROM lists
+  SELECT r, unnest(l) AS block, generate_subscripts(l, 1) AS i FROM lists
 ), whole AS (
-  SELECT b.doc_id, b.i, b.block, k.name FROM blocks b LEFT JOIN known k ON k.n = {_NORM.format(s="b.block")}
-), lines AS (
-  SELECT doc_id, i, unnest(string_split(block, chr(10))) AS line, generate_subscripts(string_split(block, chr(10)), 1) AS j FROM whole WHERE name IS NULL
+  SELECT b.r, b.i, b.block, k.name FROM blocks b LEFT JOIN known k ON k.n = {_NORM.format(s="b.block")}
+), cut AS (
+  SELECT r, i, regexp_replace(regexp_replace(chr(10) || regexp_replace({_LOWER.format(s="block")}, '[^a-z0-9\n]+', ' ', 'g') || chr(10), '[ \n]*\n[ \n]*', E'\n\n', 'g'),
+         '\n({_STRETCH})\n', E'\x02\\1\x02', 'g') AS t
+  FROM whole WHERE name IS NULL AND contains(block, chr(10))
+), parts AS (
+  SELECT r, i, unnest(string_split(t, E'\x02')) AS part, generate_subscripts(string_split(t, E'\x02'), 1) AS j FROM cut
 ), named AS (
-  SELECT doc_id, i, 0 AS j, name FROM whole WHERE name IS NOT NULL
-  UNION ALL SELECT x.doc_id, x.i, x.j, coalesce(k.name, '-') FROM lines x LEFT JOIN known k ON k.n = {_NORM.format(s="x.line")}
+  SELECT r, i, 0 AS j, coalesce(name, '-') AS name FROM whole WHERE name IS NOT NULL OR NOT contains(block, chr(10))
+  UNION ALL SELECT p.r, p.i, p.j, k.name FROM parts p JOIN known k ON k.n = replace(p.part, E'\n\n', ' ') WHERE p.j % 2 = 0
+  UNION ALL SELECT r, i, j, '-' FROM parts WHERE j % 2 = 1 AND NOT regexp_full_match(part, '(?:\n+(?:[0-9]{{1,2}}|[a-z]|[ivx]{{2,4}}))*\n*')
 ), seqs AS (
-  SELECT doc_id, regexp_replace(string_agg('[' || name || ']', '' ORDER BY i, j), '(\[-\])+', '[-]', 'g') AS seq
-  FROM named GROUP BY doc_id HAVING bool_or(name <> '-')
+  SELECT r, regexp_replace(string_agg('[' || name || ']', '' ORDER BY i, j), '(\[-\])+', '[-]', 'g') AS seq
+  FROM named GROUP BY r HAVING bool_or(name <> '-')
 ), folded AS (
-  SELECT doc_id, 0 AS k, seq AS rest, '' AS hits FROM seqs
+  SELECT r, 0 AS k, seq AS rest, '' AS hits FROM seqs
   UNION ALL
-  SELECT f.doc_id, f.k + 1, replace(f.rest, r.ids, '[+]'),
-         CASE WHEN contains(f.rest, r.ids) AND NOT contains(f.hits || ',', ',' || r.licence || ',') THEN f.hits || ',' || r.licence ELSE f.hits END
-  FROM folded f JOIN rules r ON r.k = f.k
+  SELECT f.r, f.k + 1, replace(f.rest, u.ids, '[+]'),
+         CASE WHEN contains(f.rest, u.ids) AND NOT contains(f.hits || ',', ',' || u.licence || ',') THEN f.hits || ',' || u.licence ELSE f.hits END
+  FROM folded f JOIN rules u ON u.k = f.k
 ), last AS (
-  SELECT doc_id, rest, ltrim(hits, ',') AS licenses FROM folded WHERE k = {len(RULES)}
+  SELECT r, rest, ltrim(hits, ',') AS licenses FROM folded WHERE k = {len(RULES)}
 )
 SELECT d.doc_id, coalesce(len(regexp_extract_all(s.seq, '\[[A-Za-z]')), 0)::BIGINT AS n_known, coalesce(s.seq, '') AS sentence_ids,
        coalesce(f.licenses, '') AS licenses, coalesce(len(regexp_extract_all(f.rest, '\[[A-Za-z]')), 0)::BIGINT AS n_unmatched
-FROM documents d LEFT JOIN seqs s USING (doc_id) LEFT JOIN last f USING (doc_id)
+FROM uncommented d LEFT JOIN seqs s USING (r) LEFT JOIN last f USING (r)
 """
 
 # --- quality rules -----------------------------------------------------------
