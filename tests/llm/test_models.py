@@ -1,12 +1,16 @@
+import base64
 import random
+import time
 import zlib
 
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from tidewater.llm import language_id, piece_codec, quality_classifier, queries, token_counts
 from tidewater.llm.common import table
+from tidewater.llm.queries import PIECES
 
 ODD = ["a  b", " lead", "trail ", "a \n b\t c", "<|endoftext|>x<|endoftext|>", "don't  we'll", "  ", "\n", "日本語 テスト 123", "é́ x  y", "a b", "", None,
        "x <|endoftext|> y", "١٢٣ abc 𝔘𝔫 \U0001F600 ok", "a\x85b \x1c c", " a", "the " * 40000, "x" * 50000]
@@ -150,3 +154,36 @@ def test_pipeline_stages(spark):
     assert rows.columns == docs.columns + ["n_pieces", "piece_ids"]
     model = piece_codec.PieceModel.at(public_tokenizers.path(queries.PIECES))
     assert all(model.decode(r.piece_ids) == (r.text or "") for r in rows.limit(200).collect())
+
+
+def blank_free(r):
+    """Texts without blanks from small alphabets, which merge in many ways."""
+    pieces = ["a", "b", "the", "in", "ing", "tion", "International", "ß", "Über", "日", "本", "語", "x" * 7, "=", "==", "0", "1", "\n", "é", "\U0001F600", "\U0010FFFF", "한", "ไท", "▁"]
+    some = r.sample(pieces, r.randint(1, 5))
+    return "".join(r.choice(some) for _ in range(r.randint(1, 900)))
+
+
+@pytest.mark.parametrize("window,stride", [(192, 128), (24, 16), (40, 12)])
+def test_stretches_without_blanks_equal_the_library(monkeypatch, window, stride):
+    monkeypatch.setattr(piece_codec, "WINDOW", window)
+    monkeypatch.setattr(piece_codec, "STRIDE", stride)
+    path = public_tokenizers.path(PIECES)
+    model, library = piece_codec.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(window)
+    texts = [blank_free(r) + r.choice(["", " ", "  tail"]) for _ in range(400)]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text), text
+
+
+def test_a_megabyte_without_blanks_takes_seconds():
+    path = public_tokenizers.path(PIECES)
+    model, library = piece_codec.PieceModel.at(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r, size = random.Random(9), 1 << 20
+    texts = {"Chinese": "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(size // 3)), "Japanese": "".join(r.choice("のをはが、。漢字語") + chr(r.randint(0x30A1, 0x30FA)) for _ in range(size // 6)),
+             "base64": base64.b64encode(r.randbytes(size * 3 // 4)).decode(), "one letter": "x" * size, "uneven runs": ("a" * 1000 + "b") * (size // 1001), "line ends": "\n" * size}
+    for name, text in texts.items():
+        start = time.monotonic()
+        ids = model.encode([text])[0]
+        assert time.monotonic() - start < 10, name
+        assert ids.tolist() == library.encode(text), name
+    assert not any(len(w) > piece_codec.CACHED_WORD for w in model.words if w.strip("▁"))

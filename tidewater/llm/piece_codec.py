@@ -12,6 +12,14 @@ if it can follow the piece chosen before it: merging the pair's text must give
 that pair again. Exactly one candidate per position does, so the maximum is the
 library's own segmentation (a BPE encoding is valid if all neighbours are).
 Bytes stand for characters without a piece.
+
+Long stretches without blanks are cut before they are encoded. Two characters
+that stand side by side in no piece are never merged, so they are a border:
+nearly every one is in Chinese or Japanese. What is longer still (base64, runs
+of one letter) is encoded in overlapping windows of equal length that advance
+together; neighbours are joined at an end that both have and where the two
+pieces can stand side by side, which makes the whole valid and so the library's.
+A window without such an end goes on from the last one that is settled.
 """
 
 from __future__ import annotations
@@ -30,6 +38,13 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(f"{SPACE_PIECE}[^{SPACE_PIECE}]*")
 #: Words that a worker remembers between batches.
 CACHE_WORDS = 300_000
+#: Words over so many characters are cut at borders that no piece crosses.
+LONG_WORD = 24
+#: Stretches over two windows are encoded in windows, each this far after the one before.
+WINDOW, STRIDE = 192, 128
+PAD, PAD_STEP = chr(0x10FFFF), 16
+#: Words over so many characters are not kept between batches.
+CACHED_WORD = 64
 BATCH_BYTES = 8 << 20
 
 
@@ -85,6 +100,13 @@ class PieceModel:
             if len(text) > 1:
                 a, b = self._last_merge(text, rank)
                 self.left[r], self.right[r] = a, b
+        # Characters that stand side by side in some piece, as first * 2^21 + second.
+        beside = {(ord(x) << 21) | ord(y) for t in rank for x, y in zip(t, t[1:])}
+        self.beside = np.array(sorted(beside), np.int64)
+        self.rank_of = np.full(size, self.n, np.int64)
+        self.rank_of[inner] = np.arange(self.n)
+        self.size_of = np.array([len(t) if k == "text" else 0 for t, k in zip(self.texts, self.kinds, strict=True)], np.int64)
+        self.windows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.words: dict[str, bytes] = {}  # little-endian ids
         self.valid: dict[int, bool] = {}
         self.lone = np.array([self.id_of[SPACE_PIECE]], "<i4").tobytes()
@@ -159,11 +181,24 @@ class PieceModel:
             live, x, y, limit = live[~done], x[~done], y[~done], limit[~done]
         return ok
 
+    def parts(self, word: str) -> list[str]:
+        """A long word cut wherever two characters stand side by side in no piece."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = (codes[:-1] << 21) | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)
+        borders = [0, *(np.flatnonzero(self.beside[at] != pairs) + 1).tolist(), len(word)]
+        return [word[x:y] for x, y in zip(borders, borders[1:])]
+
     def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of any lengths, equal lengths together."""
+        """Ids of words of any lengths, equal lengths together, long ones in windows."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
         lengths = np.array([len(w) for w in words])
-        for length in np.unique(lengths):
+        for i in np.flatnonzero(lengths > 2 * WINDOW).tolist():
+            out[i] = self._in_windows(words[i])
+        lengths[lengths > 2 * WINDOW] = 1 << 40
+        # Lengths over LONG_WORD are padded up to the next step, so that few groups remain.
+        lengths = np.where(lengths > LONG_WORD, -(-lengths // PAD_STEP) * PAD_STEP, lengths)
+        for length in np.unique(lengths[lengths <= 2 * WINDOW]):
             which = np.flatnonzero(lengths == length)
             step = max(1, 2_000_000 // int(length))
             for at in range(0, len(which), step):
@@ -173,7 +208,9 @@ class PieceModel:
         return out
 
     def _equal(self, length: int, words: list[str]) -> list[np.ndarray]:
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
+        """Ids of words of one length, or shorter ones padded with a character
+        that no piece holds, whose ranks are dropped again."""
+        codes = np.frombuffer("".join([w.ljust(length, PAD) for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
         with np.errstate(over="ignore"):
             mixed = _mixed(codes)
             prefix = np.zeros((length + 1, len(words)), np.uint64)
@@ -215,11 +252,93 @@ class PieceModel:
         chosen = np.array(steps[::-1]).T if steps else np.empty((len(words), 0), np.int64)
         out = []
         unknown = (chosen == self.n).any(axis=1)
-        for i in range(len(words)):
+        for i, word in enumerate(words):
             ranks = chosen[i][chosen[i] >= 0]
-            out.append(self._with_bytes(words[i], ranks) if unknown[i] else self.rank_ids[ranks])
+            if len(word) < length:
+                ranks = ranks[:len(word) - length]
+            out.append(self._with_bytes(word, ranks) if unknown[i] else self.rank_ids[ranks])
         return out
 
+    def _ended(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and ends (in characters) of a window's pieces. The bytes of a
+        character without a piece count as one rank, ``self.n``."""
+        # A character's first byte tells that it begins; bytes that follow add nothing.
+        value = np.full(len(self.texts), -1, np.int64)
+        value[self.byte_ids] = np.arange(256)
+        byte = value[ids]
+        follows = (byte >= 0x80) & (byte < 0xC0)
+        sizes = np.where(byte >= 0, 1, self.size_of[ids])[~follows]
+        return self.rank_of[ids][~follows], np.cumsum(sizes)
+
+    def _in_windows(self, word: str) -> np.ndarray:
+        """A long stretch: all windows at once, then joined from the left."""
+        starts = list(range(0, max(1, len(word) - WINDOW + STRIDE), STRIDE))
+        texts = [word[x:x + WINDOW] for x in starts]
+        fresh = list(dict.fromkeys(texts))
+        known = {t: self._ended(ids) for t, ids in zip(fresh, self.segment(fresh), strict=True)}
+        ranks, done, at = [], 0, 0  # the pieces so far end at ``done``; the current window is ``at``
+        current, base = known[texts[0]], 0
+        while True:
+            own, ends = current[0], current[1] + base
+            first = int(np.searchsorted(ends, done, "right"))
+            if ends[-1] == len(word):
+                ranks.append(own[first:])
+                break
+            # The next window begins inside this one: common ends, then pieces that fit side by side.
+            while at + 1 < len(starts) and starts[at + 1] <= done:
+                at += 1
+            joined = False
+            if at + 1 < len(starts) and starts[at + 1] < ends[-1]:
+                later, later_ends = known[texts[at + 1]]
+                shared = np.intersect1d(ends[first:], np.concatenate([[0], later_ends]) + starts[at + 1])
+                # The last pieces of a window may change with what follows it.
+                shared = shared[(shared < ends[-1]) & (shared > done)]
+                left = own[np.searchsorted(ends, shared)]
+                right_at = np.searchsorted(later_ends + starts[at + 1], shared, "right")
+                shared, left, right_at = (x[right_at < len(later)] for x in (shared, left, right_at))
+                fits = np.flatnonzero(self.follows(left, later[right_at])) if len(shared) else []
+                if len(fits):
+                    end = int(shared[fits[-1]])
+                    ranks.append(own[first:int(np.searchsorted(ends, end)) + 1])
+                    done, at, joined = end, at + 1, True
+                    current, base = known[texts[at]], starts[at]
+            if not joined:
+                # Go on from a piece of this window that its successor leaves alone, with ever wider windows if need be.
+                step, width = self._onward(word, own, ends, first, done)
+                ranks.append(step[0])
+                done, current, base = step[1], width[0], width[1]
+        chosen = np.concatenate(ranks)
+        return self._with_bytes(word, chosen) if (chosen == self.n).any() else self.rank_ids[chosen]
+
+    def _onward(self, word: str, own: np.ndarray, ends: np.ndarray, first: int, done: int):
+        """Settle pieces of this window up to an end from which a window that
+        begins there goes on validly; (pieces, end), (window, its start)."""
+        width = WINDOW
+        while True:
+            for back in range(len(ends) - 2, first - 1, -1):
+                start = int(ends[back])
+                if start <= done or ends[-1] - start < min(self.longest, WINDOW // 4):
+                    continue
+                found = self._window(word[start:start + width])
+                if self.follows(own[back:back + 1], found[0][:1])[0]:
+                    return (own[first:back + 1], start), (found, start)
+            # No end of this window serves: encode it anew, twice as wide.
+            width *= 2
+            found = self._window(word[done:done + width], cached=False)
+            own, ends, first = found[0], found[1] + done, 0
+            if done + width >= len(word):
+                return (own[:0], done), (found, done)
+
+    def _window(self, text: str, cached: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        found = self.windows.get(text)
+        if found is None:
+            found = self._ended(self._equal(len(text), [text])[0])
+            if cached:
+                if len(self.windows) > 4096:  # a cache: cleared, never outgrown
+                    self.windows.clear()
+                self.windows[text] = found
+        return found
+
     def _with_bytes(self, word: str, ranks: np.ndarray) -> np.ndarray:
         ids, at = [], 0
         for r in ranks.tolist():
@@ -263,10 +382,18 @@ class PieceModel:
         todo = list(fresh)
         self.words.update((w, ids.astype("<i4").tobytes()) for w, ids in zip(todo, self.segment(todo), strict=True))
         known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, self._settled(words))), "<i4") for words in split]
+        found = [np.frombuffer(b"".join(map(known, self._settled(words))), "<i4") for words in split]
+        for w in todo:
+            if len(w) > CACHED_WORD:
+                del self.words[w]
+                self.words.pop(f"{SPACE_PIECE}{SPACE_PIECE}{w}", None)
+        return found
 
     def _words(self, text: str) -> list[str]:
-        return WORD.findall(SPACE_PIECE + text.replace(" ", SPACE_PIECE)) if text else []
+        words = WORD.findall(SPACE_PIECE + text.replace(" ", SPACE_PIECE)) if text else []
+        if max(map(len, words), default=0) <= LONG_WORD:
+            return words
+        return [part for w in words for part in ([w] if len(w) <= LONG_WORD else self.parts(w))]
 
     def _settled(self, words: list[str]) -> list[str]:
         """Words, with runs of blanks (words of one character, up to the next
