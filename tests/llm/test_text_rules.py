@@ -48,17 +48,29 @@ def test_repeated_words_either_way(spark, monkeypatch, bits):
 
 def test_quality_verdicts(spark, make, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    refs = quality_rules.language_references(quality_rules.document_profiles(docs))
+    refs = quality_rules.references(docs)
     shouting = " ".join(w.upper() + "!!" for w in docs.where("lang = 'en'").first().text.split()[:40]) * 1
     junk = make([(1, " ".join(f"{a}{b}{c}X!! $$$%{a}" for a in "ABCDE" for b in "FGHIJ" for c in "KLMNO")), (2, shouting), (3, "word"), (4, None)])
-    got = {r.doc_id: r for r in quality_rules.judge_quality(junk, references=refs).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge_quality(junk, against=refs).collect()}
     assert not got[1].base_failed and not got[1].kept
     assert got[3].base_failed and got[4].base_failed and got[4].n_words == 0
     judged = quality_rules.judge_quality(docs).join(table(spark, sf_dir, "labels"), "doc_id").where("NOT base_failed")
     clean = judged.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert clean > 0.97
     assert quality_rules.judge_quality(make([])).count() == 0
-    assert all(r.kept or r.base_failed for r in quality_rules.judge_quality(make([(1, "some words here now " * 40 + "x", None)])).collect())
+    # A null lang is judged by the whole corpus: prose stays, junk goes.
+    prose = [r.text for r in docs.where("lang = 'en' AND length(text) BETWEEN 800 AND 3000").limit(20).collect()]
+    shout = " ".join(f"{a}{b}{c}X!! $$$%{a}" for a in "ABCDE" for b in "FGHIJ" for c in "KLMNO")
+    mixed = quality_rules.judge_quality(make([(i, t, None) for i, t in enumerate(prose)] + [(99, shout, None)]), against=refs).collect()
+    assert all(r.class_distance is not None for r in mixed) and not [r for r in mixed if r.doc_id == 99][0].kept
+    assert sum(r.kept or r.base_failed for r in mixed if r.doc_id < 99) >= 18
+
+
+def test_common_words_of_any_length(make):
+    docs = make([(1, "extraordinarily long words " * 3 + "a", "en"), (2, "kurz kurz sehr", "de"), (3, "long", None)])
+    got = {r.of: list(zip(r.common, r.common_shares)) for r in quality_rules.common_words(docs, quality_rules.Limits(n_common=2)).collect()}
+    assert got["en"] == [("extraordinarily", 0.3), ("long", 0.3)] and got["de"] == [("kurz", 2 / 3), ("sehr", 1 / 3)]
+    assert got[None] == [("long", 4 / 14), ("extraordinarily", 3 / 14)]
 
 
 def test_every_licence_sentence_has_a_cue():

@@ -103,20 +103,24 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM again CROSS JOIN (VALUES (0), (1), (2)) AS t(o) WHERE n > 1 GROUP BY doc_id
 ), bins AS (
   SELECT doc_id, lang, size, unnest([size - upper - digit - blank - punct - beyond, upper, digit, blank, punct, beyond]) AS n, unnest([1, 2, 3, 4, 5, 6]) AS bin FROM base
+), spoken AS (
+  SELECT lang AS of, * EXCLUDE (lang) FROM bins WHERE lang IS NOT NULL UNION ALL SELECT NULL, * EXCLUDE (lang) FROM bins
 ), class_ref AS (
-  SELECT lang, bin, sum(n)::DOUBLE / sum(size)::DOUBLE AS q FROM bins WHERE lang IS NOT NULL GROUP BY lang, bin HAVING sum(size) > 0
+  SELECT of, bin, sum(n)::DOUBLE / sum(size)::DOUBLE AS q FROM spoken GROUP BY of, bin HAVING sum(size) > 0
 ), class_js AS (
-  SELECT doc_id, {_JS} AS js FROM (SELECT doc_id, n::DOUBLE / size AS p, q FROM bins JOIN class_ref USING (lang, bin) WHERE size >= 200) GROUP BY doc_id
-), lang_words AS (
-  SELECT lang, sum(n_words) AS total FROM base WHERE lang IS NOT NULL GROUP BY lang
-), short AS (
-  SELECT lang, x, count(*) AS n FROM word WHERE length(x) <= 4 AND lang IS NOT NULL GROUP BY lang, x
+  SELECT b.doc_id, {_JS} AS js FROM (SELECT doc_id, n::DOUBLE / size AS p, q FROM bins JOIN class_ref ON lang IS NOT DISTINCT FROM of AND bins.bin = class_ref.bin WHERE size >= 200) b GROUP BY doc_id
+), counted AS (
+  SELECT lang, x, count(*) AS n FROM word GROUP BY lang, x
+), each AS (
+  SELECT lang AS of, x, n FROM counted WHERE lang IS NOT NULL UNION ALL SELECT NULL, x, sum(n)::BIGINT FROM counted GROUP BY x
+), totals AS (
+  SELECT of, sum(n) AS total FROM each GROUP BY of
 ), common AS (
-  SELECT lang, x, n::DOUBLE / total AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM short) JOIN lang_words USING (lang) WHERE r <= 40
+  SELECT r.of, x, n::DOUBLE / total AS q FROM (SELECT *, row_number() OVER (PARTITION BY of ORDER BY n DESC, x) AS r FROM each) r JOIN totals t ON r.of IS NOT DISTINCT FROM t.of WHERE r.r <= 40
 ), mine AS (
   SELECT doc_id, x, count(*) AS n FROM word GROUP BY doc_id, x
 ), pq AS (
-  SELECT b.doc_id, coalesce(m.n, 0)::DOUBLE / b.n_words AS p, c.q FROM base b JOIN common c USING (lang) LEFT JOIN mine m ON m.doc_id = b.doc_id AND m.x = c.x WHERE b.n_words >= 100
+  SELECT b.doc_id, coalesce(m.n, 0)::DOUBLE / b.n_words AS p, c.q FROM base b JOIN common c ON b.lang IS NOT DISTINCT FROM c.of LEFT JOIN mine m ON m.doc_id = b.doc_id AND m.x = c.x WHERE b.n_words >= 100
 ), pq_rest AS (
   SELECT doc_id, p, q FROM pq UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM pq GROUP BY doc_id
 ), word_js AS (

@@ -2,9 +2,14 @@
 
 Each document's histograms over character classes and over common words are
 compared with those of its language by Jensen-Shannon distance (base 2, 0 to
-1). The language references are counted over all documents: class totals, and
-the ``n_common`` most frequent words of at most ``common_chars`` code points. A
-text too short for a histogram is not judged by it. Only DataFrame operations.
+1); a document without a language is compared with the whole corpus. The
+references are counted over all documents and all their words: class totals,
+and the ``n_common`` most frequent words. A text too short for a histogram is
+not judged by it. Only DataFrame operations.
+
+The words are counted first (per language, reduced in each task before they are
+shuffled), so that the pass over the texts keeps one count per common word and
+not one per word.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ class Limits:
     min_words: int = 50            # fewer: base_failed
     max_repeat_percent: int = 50   # more repeated words: base_failed
     n_common: int = 40
-    common_chars: int = 4
     min_class_chars: int = 200     # guard of the character-class distance
     max_class_distance: float = 0.2
     min_histogram_words: int = 100  # guard of the common-word distance
@@ -117,8 +121,9 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def short_words(tokens: Column, most: int) -> Column:
-    """Map of the words of at most ``most`` code points to their counts."""
+def counts_of(tokens: Column, common: Column) -> Column:
+    """How often each of the distinct words ``common`` is in ``tokens``: the
+    others are left out, the rest is sorted and its runs are counted."""
 
     def counts(order: Column) -> Column:
         last = F.filter(F.transform(order, lambda w, i: F.when(
@@ -126,36 +131,57 @@ def short_words(tokens: Column, most: int) -> Column:
         return let(last, lambda e: F.map_from_entries(F.transform(e, lambda x, i: F.struct(
             x["w"], (x["upto"] - F.coalesce(F.get(e, i - 1)["upto"], F.lit(0))).cast("long")))))
 
-    return let(F.sort_array(F.filter(tokens, lambda w: F.length(w) <= most)), counts)
+    found = let(F.sort_array(F.filter(tokens, lambda w: F.array_contains(common, w))), counts)
+    return let(found, lambda m: F.transform(common, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long"))))
 
 
-def document_profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def common_words(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(of, common, common_shares): per language, and for all documents in the
+    row whose language is null, the most frequent words (ties by code point)
+    and their shares of all words, followed by the rest's share."""
+    counted = (docs.select(docs["lang"].cast("string").alias("lang"), F.explode(words(text_of(docs))).alias("word"))
+               .groupBy("lang", "word").agg(F.count("*").alias("n")))
+    counted = stage(counted, "words")
+    everywhere = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("of"), "word", "n")
+    each = counted.where("lang IS NOT NULL").select(F.col("lang").alias("of"), "word", "n").unionByName(everywhere)
+    top = each.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "word"))).where(F.col("place") <= limits.n_common)
+    lists = top.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("t"))
+    totals = each.groupBy("of").agg(F.sum("n").alias("total")).withColumnRenamed("of", "to")
+    both = lists.join(totals, lists["of"].eqNullSafe(totals["to"]))
+    shares = F.transform("t.n", lambda x: x.cast("double") / F.col("total"))
+    return both.select("of", F.col("t.word").alias("common"), with_rest(shares).alias("common_shares"))
+
+
+def document_profiles(docs: DataFrame, common: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """All that the rules need of a text, in one pass over it: the base counts,
-    the class counts and the counts of its short words."""
+    the class counts and the counts of its language's common words."""
     text = text_of(docs)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), text.alias("text"))
+    own = own.join(common, own["lang"].eqNullSafe(common["of"]), "left").drop("of")
     text = F.col("text")
     per_word = let(words(text), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), short_words(w, limits.common_chars).alias("short")))
+        F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"),
+        F.when(F.col("common").isNotNull(), counts_of(w, F.col("common"))).alias("common_counts")))
     return own.select("doc_id", "lang", F.length(text).cast("long").alias("size"), class_counts(text).alias("c"),
-                      duplicate_lines(text).alias("n_dup_lines"), per_word.alias("w")
-                      ).select("doc_id", "lang", "size", "c.*", "n_dup_lines", "w.*")
+                      duplicate_lines(text).alias("n_dup_lines"), per_word.alias("w"), "common_shares"
+                      ).select("doc_id", "lang", "size", "c.*", "n_dup_lines", "w.*", "common_shares")
 
 
-def language_references(profiles: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(lang, ref_classes, common, common_shares): per language the shares of
-    the character classes, its most frequent short words (ties by code point)
-    and their shares of all words, followed by the rest's share."""
-    spoken = profiles.where("lang is not null")
+def class_references(profiles: DataFrame) -> DataFrame:
+    """(of, ref_classes): the shares of the character classes per language, and
+    of all documents where it is null."""
     n = len(CLASSES)
-    totals = spoken.groupBy("lang").agg(F.sum("n_words").alias("total"), F.sum("size").alias("chars"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)])
-    shares = F.array(*[F.col(f"c{i}").cast("double") / F.col("chars") for i in range(n)])
-    totals = totals.where("chars > 0").select("lang", "total", shares.alias("ref_classes"))
-    short = spoken.select("lang", F.explode("short").alias("word", "n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = short.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= limits.n_common)
-    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("t"))
-    named = totals.join(lists, "lang", "left").select("lang", "ref_classes", F.col("t.word").alias("common"), F.transform("t.n", lambda x: x.cast("double") / F.col("total")).alias("s"))
-    return named.select("lang", "ref_classes", "common", with_rest(F.col("s")).alias("common_shares"))
+    sums = [F.sum("size").alias("size"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)]]
+    per = profiles.groupBy("lang").agg(*sums)
+    whole = per.agg(F.sum("size").alias("size"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).withColumn("lang", F.lit(None).cast("string"))
+    shares = F.array(*[F.col(f"c{i}").cast("double") / F.col("size") for i in range(n)])
+    return per.where("lang IS NOT NULL").unionByName(whole).where("size > 0").select(F.col("lang").alias("of"), shares.alias("ref_classes"))
+
+
+def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """The (common words, class shares) of ``docs`` as written tables."""
+    common = stage(common_words(docs, limits), "common-words")
+    return common, stage(class_references(document_profiles(docs, common, limits)), "class-shares")
 
 
 def with_rest(shares: Column) -> Column:
@@ -173,23 +199,25 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
-def judge_quality(docs: DataFrame, limits: Limits = Limits(), references: DataFrame | None = None) -> DataFrame:
+def judge_quality(docs: DataFrame, limits: Limits = Limits(), against: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept) per row.
 
     kept is false if base_failed, or if a distance that its length guard allows
-    is over its limit. A distance is null under its guard, for a null lang and
-    for one without a reference; then it rejects nothing. Null text has no
+    is over its limit. A null lang is judged by the whole corpus. A distance is
+    null under its guard and for a language that ``against`` (default: the
+    references of ``docs``) lacks; then it rejects nothing. Null text has no
     words and fails the base. Repeated rows repeat; an empty table gives no
     rows; other columns are ignored.
     """
-    profiles = stage(document_profiles(docs, limits), "profiles")
-    refs = stage(language_references(profiles, limits) if references is None else references, "language-references").withColumnRenamed("lang", "of")
-    both = profiles.join(refs, profiles["lang"] == refs["of"], "left")
+    common = stage(common_words(docs, limits), "common-words") if against is None else against[0]
+    profiles = stage(document_profiles(docs, common, limits), "profiles")
+    classes = stage(class_references(profiles), "class-shares") if against is None else against[1]
+    both = profiles.join(classes, profiles["lang"].eqNullSafe(classes["of"]), "left")
     class_shares = F.transform("classes", lambda x: x.cast("double") / F.col("size"))
-    word_shares = with_rest(F.transform("common", lambda w: F.coalesce(F.try_element_at(F.col("short"), w), F.lit(0)).cast("double") / F.col("n_words")))
+    word_shares = with_rest(F.transform("common_counts", lambda n: n.cast("double") / F.col("n_words")))
     classes_judged = (F.col("size") >= limits.min_class_chars) & F.col("ref_classes").isNotNull()
-    words_judged = (F.col("n_words") >= limits.min_histogram_words) & F.col("common").isNotNull()
+    words_judged = (F.col("n_words") >= limits.min_histogram_words) & F.col("common_counts").isNotNull()
     measured = both.withColumn("class_distance", F.when(classes_judged, js_distance(class_shares, F.col("ref_classes")))) \
                    .withColumn("word_distance", F.when(words_judged, js_distance(word_shares, F.col("common_shares"))))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
