@@ -229,6 +229,30 @@ def test_inclusion_weight_prefers_heavier_documents(make):
     assert share(heavy) > share(even) + 0.1
 
 
+def test_inclusion_probabilities_are_met_and_reach_certainty(make):
+    """Long, middling and short documents of one source, of which half the words are wanted."""
+    rows = [(i, "w " * (400 if i % 50 == 0 else 25 if i % 2 else 4), "en", "a") for i in range(2000)] + [(10_000 + i, "w " * 30, "en", "b") for i in range(2000)]
+    size = {d: len(t.split()) for d, t, *_ in rows if d < 10_000}
+    wanted = 0.5 * sum(size.values())
+    kinds = {400: [], 25: [], 4: []}
+    for seed in "abcdef":
+        out = mixing.mix(make(rows), weights=(1, 3), seed=seed).where("doc_id < 10000").collect()
+        source, target = out[0].source_size, out[0].target
+        extra = {r.doc_id: r.copies - int(target // source) for r in out}
+        for kind, seen in kinds.items():
+            of = [extra[d] for d, n in size.items() if n == kind]
+            seen.append(sum(of) / len(of))
+        rest = target - target // source * source
+        assert abs(sum(size[d] * e for d, e in extra.items()) - rest) <= 200
+    z, n = {400: 20, 25: 5, 4: 2}, {k: sum(x == k for x in size.values()) for k in kinds}
+    sure, c = 0, rest / sum(z[k] * k * n[k] for k in kinds)
+    if c * 20 >= 1:
+        sure, c = 400 * n[400], (rest - 400 * n[400]) / sum(z[k] * k * n[k] for k in (25, 4))
+    for kind, seen in kinds.items():
+        assert sum(seen) / len(seen) == pytest.approx(min(1, c * z[kind]), abs=0.06), (kind, c, wanted)
+    assert kinds[25] != kinds[4] and sum(kinds[25]) > sum(kinds[4]) * 1.5
+
+
 def page(head):
     return f"<html><head>{head}</head><body>x</body></html>"
 

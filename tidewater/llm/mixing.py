@@ -2,13 +2,15 @@
 
 Each source's target is its share of all words by weight, at most ``cap`` times
 what it has; the excess goes to the other sources by weight. target / size is
-the expected number of copies of each of its documents: the whole part are
-certain copies of every document, the fraction f is the inclusion probability
-of one more. Documents are ranked by Pareto's random odds over inclusion odds,
-u/(1-u) : f/(1-f), with u from the document's identifier, and the sample of
+the expected number of copies of each of its words: the whole part are certain
+copies of every document, the rest of the target is filled by one more copy of
+some. Their inclusion probabilities are unequal, p = min(1, c * weight), with c
+such that the expected words make up the rest; those that reach 1 are certain
+copies too. The others are ranked by Pareto's random odds over inclusion odds,
+u/(1-u) : p/(1-p), with u from the document's identifier, and the sample of
 fixed size (in words) is the head of that ranking.
 
-No source is sorted whole. The rank is mapped to (0, 1), summed in ``buckets``
+No source is sorted whole. c comes from one row per source and weight. The rank is mapped to (0, 1), summed in ``buckets``
 equal bins per source, and only the bin in which the fixed size is reached is
 ordered document by document.
 """
@@ -68,45 +70,71 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def inclusion_odds(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(of, odd, certain, room, left, odds): per source and weight whether its
+    documents are certain, the words left for those that aren't, and their
+    odds p/(1-p). A weight is certain if c * weight reaches 1 with all heavier
+    ones certain; the window runs over one row per source and weight."""
+    classes = sized.groupBy("source", "odd").agg(F.sum("size").alias("words")).withColumn("mass", F.col("odd") * F.col("words"))
+    classes = classes.join(plan.select("of", "rest"), classes["source"].eqNullSafe(F.col("of"))).drop("source")
+    heavier = Window.partitionBy("of").orderBy(F.desc("odd"))
+    lighter = Window.partitionBy("of").orderBy("odd")
+    classes = (classes.withColumn("above", F.coalesce(F.sum("words").over(heavier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .withColumn("upto", F.sum("mass").over(lighter.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    certain = (F.col("rest") > 0) & (F.col("words") > 0) & (F.col("odd") * (F.col("rest") - F.col("above")) >= F.col("upto"))
+    classes = classes.withColumn("certain", certain)
+    whole = Window.partitionBy("of").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    classes = (classes.withColumn("sure", F.coalesce(F.sum(F.when(F.col("certain"), F.col("words"))).over(whole), F.lit(0)))
+               .withColumn("open", F.coalesce(F.sum(F.when(~F.col("certain"), F.col("mass"))).over(whole), F.lit(0.0)))
+               .withColumn("room", F.col("rest") - F.col("sure")))
+    p = F.when(F.col("open") > 0, F.col("room") / F.col("open") * F.col("odd")).otherwise(F.lit(0.0))
+    return classes.select("of", "odd", "certain", "room", (p / F.greatest(1 - p, F.lit(1e-300))).alias("odds"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, buckets: int = BUCKETS,
         inclusion_weight: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row.
 
-    ``inclusion_weight`` (a positive expression over ``docs``; default equal)
-    scales a document's inclusion odds within its source. Null text has size 0;
-    a null source is a source of its own, the last one. Ties in the ranking go
-    by doc_id, then size. Rows repeated under one doc_id are rows of their own.
-    Sources without words have target 0. An empty table gives no rows; other
-    columns are ignored.
+    ``inclusion_weight`` (a positive expression over (doc_id, source, size) or
+    the columns of ``docs``, of few different values) is what inclusion
+    probabilities are proportional to; default the whole root of the size, so
+    that long documents are likelier and short ones keep a share. Null text has
+    size 0; a null source is a source of its own, the last one. Ties in the
+    ranking go by doc_id, then size. Rows repeated under one doc_id are rows of
+    their own. Sources without words have target 0. An empty table gives no
+    rows; other columns are ignored.
     """
     text = text_of(docs)
-    own = inclusion_weight if inclusion_weight is not None else F.lit(1.0)
-    sized = stage(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
-                              word_count(text).alias("size"), own.cast("double").alias("odds")), "sizes")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text).alias("size"),
+                      (inclusion_weight if inclusion_weight is not None else F.lit(None)).cast("double").alias("odd"))
+    sized = stage(own.withColumn("odd", F.coalesce("odd", F.floor(F.sqrt("size")).cast("double"))), "sizes")
     targets = stage(source_targets(sized.select("source", "size"), weights, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = (targets.withColumn("whole", F.floor(ratio).cast("long"))
             .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-            .withColumn("f", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
             .withColumnRenamed("source", "of"))
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["of"]))
-    # Pareto's ratio u/(1-u) : w f/(1-f), mapped to (0, 1) by the odds f/(1-f) of the source: u where w is 1.
+    chances = stage(inclusion_odds(sized, plan), "inclusion").withColumnsRenamed({"of": "__of", "odd": "__odd"})
+    joined = (sized.join(plan, sized["source"].eqNullSafe(plan["of"]))
+              .join(chances, sized["source"].eqNullSafe(F.col("__of")) & (sized["odd"] == F.col("__odd"))).drop("__of", "__odd"))
+    # Pareto's ratio u/(1-u) : p/(1-p) as a number from 0 to 1.
     u = unit(F.col("doc_id"), seed)
     rank = u / (u + F.col("odds") * (1 - u))
     ranked = joined.withColumn("rank", rank).withColumn("bin", F.floor(rank * buckets).cast("int"))
-    bins = stage(ranked.groupBy("of", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "bins")
+    drawn = ranked.where(~F.col("certain"))
+    bins = stage(drawn.groupBy("of", "bin").agg(F.sum("size").alias("words"), F.first("room").alias("room")), "bins")
     running = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("upto", F.sum("words").over(running))
     # The first bin that reaches the fixed size; each source has a row, also if none does.
-    edge = bins.groupBy("of").agg(F.min(F.when(F.col("upto") >= F.col("rest"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("edge"))
-    edge = stage(edge.select(F.col("of").alias("at"), F.coalesce("edge.bin", F.lit(buckets)).alias("edge_bin"), F.coalesce("edge.before", F.lit(0)).cast("long").alias("before")), "edges")
-    placed = ranked.join(edge, ranked["of"].eqNullSafe(edge["at"]))
+    edge = bins.groupBy("of").agg(F.min(F.when(F.col("upto") >= F.col("room"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("edge"))
+    edge = stage(edge.select(F.col("of").alias("at"), F.coalesce("edge.bin", F.lit(buckets + 1)).alias("edge_bin"), F.coalesce("edge.before", F.lit(0)).cast("long").alias("before")), "edges")
+    placed = drawn.join(edge, drawn["of"].eqNullSafe(edge["at"])).drop("at")
     inside = placed.where(F.col("bin") == F.col("edge_bin"))
     head = Window.partitionBy("of").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The document on the edge is in if that comes nearer to the fixed size.
-    inside = inside.withColumn("extra", (2 * (F.sum("size").over(head) + F.col("before")) - F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0))
+    inside = inside.withColumn("extra", 2 * (F.sum("size").over(head) + F.col("before")) - F.col("size") <= 2 * F.col("room"))
     outside = placed.where(F.col("bin") != F.col("edge_bin")).withColumn("extra", F.col("bin") < F.col("edge_bin"))
-    out = inside.unionByName(outside)
+    sure = ranked.where("certain").withColumns({"edge_bin": F.lit(0), "before": F.lit(0).cast("long"), "extra": F.lit(True)})
+    out = inside.unionByName(outside).unionByName(sure)
     copies = F.col("whole") + F.when(F.col("extra") & (F.col("rest") > 0), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -168,14 +168,28 @@ WITH d AS (
 ), p AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
 ), q AS (
-  SELECT d.doc_id, d.size, p.source, source_size, target, whole, target - whole * source_size AS rest,
+  SELECT d.doc_id, d.size, p.source, source_size, target, whole, target - whole * source_size AS rest, floor(sqrt(d.size))::DOUBLE AS odd,
          (('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), classes AS (
+  SELECT source, odd, rest, sum(size)::BIGINT AS words, odd * sum(size)::BIGINT AS mass FROM q GROUP BY source, odd, rest
+), cumulated AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY odd DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+         sum(mass) OVER (PARTITION BY source ORDER BY odd ROWS UNBOUNDED PRECEDING) AS upto FROM classes
+), judged AS (
+  SELECT *, rest > 0 AND words > 0 AND odd * (rest - above) >= upto AS certain FROM cumulated
+), opened AS (
+  SELECT *, rest - coalesce(sum(words) FILTER (WHERE certain) OVER w, 0)::BIGINT AS room, coalesce(sum(mass) FILTER (WHERE NOT certain) OVER w, 0.0) AS open
+  FROM judged WINDOW w AS (PARTITION BY source)
+), chances AS (
+  SELECT source, odd, certain, room, p / greatest(1 - p, 1e-300) AS odds FROM (SELECT *, CASE WHEN open > 0 THEN room / open * odd ELSE 0.0 END AS p FROM opened)
+), ranked AS (
+  SELECT q.*, c.certain, c.room, u / (u + c.odds * (1 - u)) AS rank FROM q JOIN chances c ON q.source IS NOT DISTINCT FROM c.source AND q.odd = c.odd
 ), r AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q
+  SELECT *, CASE WHEN certain THEN true ELSE 2 * sum(CASE WHEN certain THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY certain, rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size <= 2 * room END AS extra
+  FROM ranked
 )
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND extra THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
 # --- URL filters -------------------------------------------------------------
