@@ -282,3 +282,23 @@ def test_url_rules_and_aliases(spark):
     moved = spark.createDataFrame([("http://free.test/", "http://bad.net/z")], "src string, dst string")
     assert {r.page_id: r.verdict for r in url_filter.judge_pages(pages, rules, moved).collect()}[14] == "block"
     assert url_filter.judge_pages(pages.where("page_id < 0"), rules).count() == 0
+
+
+def test_aliases_by_one_name_whatever_its_spelling(spark, tmp_path):
+    """Empty and dotted paths are one node, in the operator and in its SQL."""
+    canonical = lambda href: page(f'<link rel="canonical" href="{href}">')
+    rows = [
+        (1, "http://a.test/", page("")), (2, "http://bad.net/x", canonical("http://a.test")), (3, "http://a.test", page("")),
+        (4, "http://b.test/one/two/three", canonical("../../z")), (5, "http://bad.net/q", canonical("http://b.test/z")), (6, "http://b.test/./one/.././z", page("")),
+        (7, "http://c.test/up/", canonical("http://worse.net/y")), (8, "http://c.test/up/./", page("")), (9, "http://c.test/up", page("")), (10, "http://c.test/x/../up/.", page("")),
+        (11, "http://d.test/../../..", canonical("http://bad.net/r")), (12, "http://d.test?q", page("")), (13, "http://d.test#f", page("")), (14, "http://e.test/a..b/.c/", page("")),
+        (15, "http://" + "a." * 40_000 + "net/", page("")), (16, "http://" + "." * 1000, page("")), (17, "http://.net", page(""))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(pages, url_filter.rule_table(spark)).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 13, 15}
+    pages.where("page_id <> 15").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(oracles.SQL["op10_url_filter"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in url_filter.judge_pages(pages.where("page_id <> 15"), url_filter.rule_table(spark)).collect()) == want
+    assert url_filter.judge_pages(pages, url_filter.rule_table(spark).where("false")).where("verdict = 'block'").count() == 0

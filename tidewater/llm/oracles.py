@@ -199,8 +199,14 @@ _QUERY = r"regexp_extract({u}, '^[^?#]*(\?[^#]*)?', 1)"
 _SCHEME = r"translate(split_part({u}, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WALK = ("list_reduce(list_prepend('', string_split(substr({p}, 2), '/')), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"
+         " || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END")
+
+
 def _node(u: str) -> str:
-    return f"CASE WHEN contains({u}, '://') THEN " + f"{_SCHEME} || '://' || {_HOST} || {_PATH} || {_QUERY}".format(u=u) + " END"
+    path = _PATH.format(u=u)
+    whole = f"coalesce(nullif(CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN {_WALK.format(p=path)} ELSE {path} END, ''), '/')"
+    return f"CASE WHEN contains({u}, '://') THEN {_SCHEME.format(u=u)} || '://' || {_HOST.format(u=u)} || {whole} || {_QUERY.format(u=u)} END"
 
 
 _RULES = "(VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS t(verdict, rh, rp)"

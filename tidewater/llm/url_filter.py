@@ -45,11 +45,26 @@ def scheme_of(url: Column) -> Column:
     return F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments, ``/`` if it is empty. Only
+    paths that have such segments are taken apart."""
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == ".", done).when(part == "..", F.regexp_replace(done, r"/[^/]*\z", "")).otherwise(F.concat(done, F.lit("/"), part))
+
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    walked = F.aggregate(parts, F.lit(""), step)
+    dotted = F.concat(walked, F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit("")))
+    whole = F.when(path.rlike(r"/\.\.?(?:/|\z)"), dotted).otherwise(path)
+    return F.when(whole == "", F.lit("/")).otherwise(whole)
+
+
 def node_of(url: Column) -> Column:
     """What a redirect identifies: scheme, host, path and query; no fragment.
-    Null for a null url and for one without ``://``."""
+    An empty path is ``/`` and dot segments are resolved. Null for a null url
+    and for one without ``://``."""
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme_of(url), F.lit("://"), host_of(url), path_of(url), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme_of(url), F.lit("://"), host_of(url), let(path_of(url), without_dots), query))
 
 
 def resolved(base: Column, href: Column) -> Column:
@@ -82,9 +97,13 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, verdict) for those rows of ``urls`` (distinct host,
     path) that a rule fits: the longest rule; of equally long ones an allow,
-    then the last in code point order."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = let(labels, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.array_join(F.slice(v, i, F.size(v)), ".")))
+    then the last in code point order. A host offers only suffixes of as many
+    labels as some rule has, so a host of many labels costs no more."""
+    size = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    sizes = sorted(r[0] for r in rules.select(size(F.col("rule_host"))).where("rule_host IS NOT NULL").distinct().collect())
+    if not sizes:
+        return urls.sparkSession.createDataFrame([], "host string, path string, rule string, verdict string")
+    suffixes = F.array_compact(F.array(*[F.when(size(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sizes]))
     offered = urls.where("host <> ''").select("host", "path", F.explode(suffixes).alias("rule_host"))
     rule = F.concat("rule_host", "rule_path")
     fits = offered.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
@@ -99,7 +118,8 @@ def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     one, its component does: allow if any alias is explicitly allowed, else
     block if any is blocked, else allow. Null urls and urls without ``://``
     have empty host and path, no aliases, and are allowed; null html has no
-    links. Repeated rows repeat their verdict; an empty table gives no rows.
+    links, nor do pages without canonical links and refresh redirects (then no
+    component is built). Repeated rows repeat their verdict; an empty table gives no rows.
     """
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
     parsed = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
