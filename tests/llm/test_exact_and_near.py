@@ -138,3 +138,23 @@ def test_other_texts_under_one_id_stay(make):
     rows = [(5, texts[0]), (5, texts[1]), (5, texts[1] + " "), (3, texts[2]), (7, texts[2]), (7, texts[3])]
     got = sorted((r.doc_id, r.text.strip()) for r in simhash.drop_near_duplicates(make(rows)).collect())
     assert got == sorted([(5, texts[0]), (5, texts[1]), (3, texts[2]), (7, texts[3])])
+
+
+def test_extreme_identifiers(make):
+    low, high = -2**63, 2**63 - 1
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(make([(low, "a b"), (high, "a b"), (0, "ab"), (5, "x"), (low + 1, "x"), (None, "x y"), (None, "xy"), (3, "xy")])).collect()}
+    assert got[0].keep_id == low and got[high].keep_id == low and got[low].kept and got[5].keep_id == low + 1
+    assert got[3].keep_id is None
+
+
+def test_bitmap_keeps_every_hit_and_hot_groups_are_whole(spark, make, monkeypatch):
+    digests = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    hits = digests.where("id % 7 = 0")
+    kept = {r.id for r in exact_dedup.only_hits(digests, hits.select("digest")).collect()}
+    assert {i for i in range(0, 3000, 7)} <= kept and len(kept) < 440
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 64)  # everything passes, and nothing changes
+    docs = make([(i, "hot text") for i in range(60)] + [(100 + i, f"text {i // 2}") for i in range(60)])
+    want = sorted(map(repr, exact_dedup.exact_groups(docs).collect()))
+    assert sum("group_size=60" in r for r in want) == 60 and sum("group_size=2" in r for r in want) == 60
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 1)
+    assert sorted(map(repr, exact_dedup.exact_groups(docs).collect())) == want

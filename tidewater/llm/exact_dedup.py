@@ -29,6 +29,11 @@ STATE_STORE = {
 }
 
 
+#: Bits of the bitmap of hit digests: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+HOT_SHARE = 1000
+
+
 def normalised(text: Column) -> Column:
     """The text without any character of SPACE."""
     return F.regexp_replace(text, f"{SPACE}+", "")
@@ -38,6 +43,12 @@ def sha256_hex(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
+def smaller_first(doc_id) -> Column:
+    """An order in which smaller identifiers are larger, and its own inverse: all
+    bits turned, since the smallest number has no negative."""
+    return F.bitwise_not(doc_id)
+
+
 class DedupState:
     """Keyed deduplication state in ``home``, a folder that all executors share.
 
@@ -62,7 +73,7 @@ class DedupState:
         landed.write.mode("append").parquet(f"{self.home}/landed")
         stream = self.session.readStream.schema(landed.schema).parquet(f"{self.home}/landed")
         # Longest text first, then the smallest identifier; a null one loses to any other.
-        rank = F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), "locator")
+        rank = F.struct("n_chars", smaller_first("doc_id").alias("minus_id"), "locator")
         state = stream.groupBy("digest").agg(F.count("*").alias("n"), F.max(rank).alias("best"))
         updates = f"{self.home}/updates"
 
@@ -87,20 +98,47 @@ class DedupState:
         last update of a digest is the largest."""
         updates = self.spark.read.parquet(f"{self.home}/updates")
         last = updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("best").alias("best"))
-        return last.select("digest", "n", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.locator").alias("locator"))
+        return last.select("digest", "n", smaller_first("best.minus_id").alias("keep_id"), F.col("best.locator").alias("locator"))
+
+
+def _bit(digest: Column) -> Column:
+    """A digest's place among FILTER_BITS bits, counted from 1."""
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
+
+
+def only_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """``texts`` (digest, ...) without most of those whose digest no hit has: a
+    bitmap of fixed size, broadcast, tells in the scan. A few others stay."""
+    bits = hits.select(_bit(F.col("digest")).alias("bit"))
+    bitmap = bits.groupBy(F.bitmap_bucket_number("bit").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    place = F.bitmap_bit_position(_bit(F.col("digest")))
+    paged = texts.join(F.broadcast(bitmap), F.bitmap_bucket_number(_bit(F.col("digest"))) == F.col("__page"))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return paged.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).drop("__page", "__bits")
 
 
 def _differing(state: DedupState, docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Digests under which full normalised bytes differ. Only hits are read in
-    full; copies collapse to one row a task before the shuffle, so a group with
-    a third of all rows meets as a few rows."""
+    """Digests under which full normalised bytes differ. Rows that a fixed-size
+    bitmap of the hit digests denies are left out in the scan; the others are
+    reduced to their least and greatest bytes a digest and task before the
+    shuffle, so a group with a third of all rows meets as a few rows."""
     norm = normalised(text_of(docs))
     texts = docs.select(F.unhex(state.digest(norm)).alias("digest"), norm.alias("norm"))
-    hits = groups.where("n > 1").select("digest")
-    spans = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    spans = only_hits(texts, groups.where("n > 1")).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return spans.where("low <> high").select("digest")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the size and keeper of their digest. Groups with a
+    HOT_SHARE-th of all rows or more are at most HOT_SHARE: they are broadcast,
+    and no task gets a large share of the rows by their digest."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    keyed = groups.select("digest", "n", "keep_id")
+    hot = F.broadcast(keyed.where(F.col("n") * HOT_SHARE >= total))
+    cold = rows.join(hot.select("digest"), "digest", "left_anti").join(keyed.where(F.col("n") * HOT_SHARE < total), "digest")
+    return rows.join(hot, "digest").unionByName(cold)
+
+
 def exact_groups(docs: DataFrame, digest=sha256_hex) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
@@ -113,7 +151,7 @@ def exact_groups(docs: DataFrame, digest=sha256_hex) -> DataFrame:
     state = DedupState(spark, digest=digest)
     state.ingest(docs)
     groups = stage(state.groups(), "groups")
-    rows = state.landed().select("doc_id", "digest").join(groups.select("digest", "n", "keep_id"), "digest")
+    rows = _with_group(state.landed().select("doc_id", "digest"), groups)
     result = _verdicts(rows.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")))
     clash = stage(_differing(state, docs, groups), "differing")
     if clash.isEmpty():
@@ -123,8 +161,8 @@ def exact_groups(docs: DataFrame, digest=sha256_hex) -> DataFrame:
     norm = normalised(text)
     full = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), norm.alias("norm"),
                         F.unhex(digest(norm)).alias("digest")).join(clash, "digest", "left_semi"))
-    best = full.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))).alias("best"))
-    apart = full.join(best, ["digest", "norm"]).select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
+    best = full.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", smaller_first("doc_id").alias("minus_id"))).alias("best"))
+    apart = full.join(best, ["digest", "norm"]).select("doc_id", smaller_first("best.minus_id").alias("keep_id"), "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
     same = rows.join(clash, "digest", "left_anti").select("doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
     return _verdicts(same.union(apart))
 
