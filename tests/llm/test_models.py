@@ -1,14 +1,21 @@
 import base64
+import itertools
+import math
 import random
+import re
+import sys
 import time
 import zlib
+from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidewater.llm import language_id, piece_codec, quality_classifier, queries, token_counts
+from tidewater.llm import language_id, mixing, piece_codec, quality_classifier, queries, token_counts
 from tidewater.llm.common import table
 from tidewater.llm.queries import PIECES
 
@@ -92,7 +99,55 @@ def test_language_id(spark, make, odd_rows, sf_dir):
 def test_held_out_texts_teach_nothing(spark):
     real = table(spark, "/root/testdata/sf0.01", "documents")
     spoiled = real.withColumn("text", F.when(language_id.held_out(F.col("doc_id")), "spoiled zzz").otherwise(F.col("text")))
-    assert language_id.training_sample(real) == language_id.training_sample(spoiled)
+    rows = lambda docs: sorted(map(tuple, language_id.training_sample(docs).collect()))
+    assert rows(real) == rows(spoiled)
+
+
+def test_language_id_equals_a_plain_computation(spark, sf_dir):
+    """n-grams counted letter by letter, vectors and cosines by plain loops; the
+    fit is the same whatever the partitions, and each centroid the mean of its members."""
+    docs = table(spark, sf_dir, "documents")
+    params = language_id.Fit(dimensions=256, centroids=2, rounds=30)
+    model = language_id.fit(language_id.training_sample(docs, params), params)
+    again = language_id.fit(language_id.training_sample(docs.repartition(7), params).repartition(3), params)
+    assert model.languages == again.languages and np.array_equal(model.centroids, again.centroids) and np.array_equal(model.radius, again.radius)
+
+    def counts(text):
+        codes = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text or ""]
+        out, mask = [0] * 256, (1 << 64) - 1
+        for i, one in enumerate(codes):
+            values = [one] if one != 32 else []
+            if i + 1 < len(codes):
+                two = (one * 0x9E3779B1 + codes[i + 1]) & mask
+                values += [two] if one != 32 else []
+            for k, value in enumerate(values):
+                out[(((value + k + 1) * 0xC2B2AE3D27D4EB4F & mask) >> 40) % 256] += 1
+            if i + 2 < len(codes):
+                three = (two * 0x85EBCA77 + codes[i + 2]) & mask
+                out[(((three + 3) * 0xC2B2AE3D27D4EB4F & mask) >> 40) % 256] += 1
+        return out if any(c != 32 for c in codes) else None
+
+    taught = [c for lang, text in language_id.training_sample(docs, params).collect() if (c := counts(text))]
+    idf = [math.log((1 + len(taught)) / (1 + sum(c[k] > 0 for c in taught))) + 1 for k in range(256)]
+
+    def unit(c):
+        v = [math.log1p(x) * w for x, w in zip(c, idf)]
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v]
+
+    for r in language_id.identify_languages(docs, params, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        c = counts(r.text)
+        cosines = [sum(x * y for x, y in zip(unit(c), centre)) for centre in model.centroids] if c else []
+        best = max(range(len(cosines)), key=lambda i: (round(cosines[i], 9), -i)) if c else None
+        assert (r.lang_pred, r.score) == ((model.languages[model.owner[best]], pytest.approx(max(0, min(1, cosines[best])))) if c else ("und", 0.0))
+    vectors = np.array([unit(c) for c in taught])
+    labels = [lang for lang, text in language_id.training_sample(docs, params).collect() if counts(text)]
+    for k, lang in enumerate(model.languages):
+        own, centres = vectors[[x == lang for x in labels]], model.centroids[model.owner == k]
+        member = (own @ centres.T).argmax(1)
+        for i, centre in enumerate(centres):
+            mean = own[member == i].sum(0)
+            assert centre @ mean / np.linalg.norm(mean) > 0.999
 
 
 def test_quality_classifier(spark, make, odd_rows):
@@ -134,6 +189,55 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
             assert [x[0] for x in best] == order
 
 
+def test_repeated_identifiers_teach_the_same_model(spark, sf_dir):
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))).withColumn("source", F.lit("zz")))
+    scores = [{(r.doc_id, round(r.quality_score, 9)) for r in quality_classifier.score_quality(x, labels).collect()} for x in (docs.repartition(2), docs.repartition(9, "doc_id"))]
+    assert scores[0] == scores[1]
+
+
+def test_co_training_equals_a_plain_computation():
+    """Rounds on a table that fits in memory, with the search and the scores by plain loops."""
+    Q, r = quality_classifier, np.random.default_rng(2)
+    params = Q.Training(rounds=2, per_round=15, sure=0.6)
+    y = (np.arange(200) % 2).astype(float)
+    views = [r.normal(size=(200, 4)) + y[:, None], r.normal(size=(200, 3)) - y[:, None]]
+    pool = [r.normal(size=(300, 4)) + r.integers(0, 2, 300)[:, None], r.normal(size=(300, 3))]
+    seen = []
+
+    def search(fitted, learned):
+        found = {}
+        for v in (0, 1):
+            odds = [fitted[v].odds(pool[v][i:i + 1])[0] for i in range(300)]
+            for label in (1, 0):
+                sure = sorted(((1 / (1 + math.exp(-o)) if label else 1 - 1 / (1 + math.exp(-o))), -i) for i, o in enumerate(odds))[::-1]
+                best = [-i for p, i in sure if p >= params.sure and -i not in learned[1 - v]][:params.per_round]
+                found[v, label] = [(i, [pool[0][i], pool[1][i]]) for i in best]
+        seen.append((found, [list(x) for x in learned]))
+        return found
+
+    model = Q.co_train(views, y, None, search, params)
+    assert len(seen) == 2 and seen[0][1] == [[], []]
+    given = [{}, {}]  # what each view was taught by the other
+    for found, learned in seen:
+        assert learned == [sorted(g) for g in given]
+        for (v, label), rows in found.items():
+            for i, _ in rows:
+                given[1 - v][i] = float(label)
+    assert model.pseudo == [len(g) for g in given]
+    back = np.arange(200) % 10 < round(params.held_back * 10)
+    for v in (0, 1):
+        x = np.vstack([views[v][~back], *[pool[v][i] for i in sorted(given[v])]])
+        plain = Q.Logistic.fit(x, np.concatenate([y[~back], [given[v][i] for i in sorted(given[v])]]), params.ridge)
+        plain.calibrate(views[v][back], y[back])
+        assert np.allclose(plain.odds(pool[v]), model.views[v].odds(pool[v]))
+    share = y[~back].mean()
+    prior = math.log(share / (1 - share))
+    both = prior + sum(model.views[v].odds(pool[v]) - prior for v in (0, 1))
+    assert np.allclose(model.odds(*pool), both)
+
+
 def test_sources_and_languages_do_not_share_weights():
     names = [f"s{i}" for i in range(100)]
     known = quality_classifier.Vocabulary.of(names * 2 + ["once"], ["de", "es"] * 100 + ["xx"])
@@ -156,6 +260,63 @@ def test_pipeline_stages(spark):
     assert all(model.decode(r.piece_ids) == (r.text or "") for r in rows.limit(200).collect())
 
 
+def test_pipeline_equals_plain_stages(spark, sf_dir):
+    """Each stage's rows by plain Python from what its predecessor kept."""
+    import corpus_pipeline
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_exact_and_near import WS, components, reference_fingerprint
+    docs, kept = table(spark, sf_dir, "documents"), {}
+    for name, function in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage_rows(function(spark, before, sf_dir))
+        rows = [(r.doc_id, r.text) for r in before.collect()]
+        got = Counter(r.doc_id for r in docs.collect())
+        if name == "quality":
+            judged = quality_classifier.score_quality(before, table(spark, sf_dir, "labels")).collect()
+            assert got == Counter(r.doc_id for r in judged if r.accepted)
+        elif name == "exact":
+            groups = {}
+            for d, t in rows:
+                groups.setdefault(WS.sub("", t or ""), []).append((-len(t or ""), d))
+            assert got == Counter(min(g)[1] for g in groups.values())
+        elif name == "near":
+            fps = {d: reference_fingerprint(t) for d, t in rows}
+            root = components([(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3], fps)
+            assert got == Counter(d for d in fps if root[d] == d)
+        elif name == "mixed":
+            sizes = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows}
+            source = {r.doc_id: r.source for r in before.collect()}
+            taken, size = Counter(), Counter()
+            for d, n in sizes.items():
+                taken[source[d]] += n * got[d]
+                size[source[d]] += n
+            assert set(got) <= set(sizes) and max(got.values()) <= 3
+            largest = {s: max(n for d, n in sizes.items() if source[d] == s) for s in size}
+            targets = {r.source: r.target for r in mixing.source_targets(before.select("source", mixing.word_count(F.coalesce("text", F.lit(""))).alias("size"))).collect()}
+            assert all(abs(taken[s] - targets[s]) <= largest[s] / 2 + 1e-6 for s in size)
+        else:
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+            assert got == Counter(d for d, _ in rows)
+            assert all(r.piece_ids == library.encode(r.text or "") and r.n_pieces == len(r.piece_ids) for r in docs.collect())
+        kept[name] = sum(got.values())
+    assert kept["exact"] < kept["quality"] < 200
+
+
+def stage_rows(df):
+    from tidewater.llm.common import stage
+    return stage(df, "test")
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, make, odd_rows, sf_dir):
+    import corpus_pipeline
+    for rows in (odd_rows, []):
+        docs = make(rows)
+        for name, function in corpus_pipeline.STAGES:
+            docs = stage_rows(function(spark, docs, sf_dir))
+            assert docs.columns == corpus_pipeline.COLUMNS + (["n_pieces", "piece_ids"] if name == "pieces" else [])
+            assert (docs.count() > 0) == bool(rows), name
+
+
 def blank_free(r):
     """Texts without blanks from small alphabets, which merge in many ways."""
     pieces = ["a", "b", "the", "in", "ing", "tion", "International", "ß", "Über", "日", "本", "語", "x" * 7, "=", "==", "0", "1", "\n", "é", "\U0001F600", "\U0010FFFF", "한", "ไท", "▁"]

@@ -8,12 +8,15 @@ by cosine. Each centroid has a radius from its training members; a text beyond
 the radius of its nearest centroid is marked as rejected.
 
 The model is fitted on at most ``per_language`` labelled texts per language,
-picked by a hash of the identifier. It is a few hundred kilobytes, however
-large the corpus is. Prediction reads every whole text, in Arrow batches.
+picked by a hash of the identifier. Texts are counted in tasks (16 KB a text),
+document frequencies are summed there, and each language is clustered as one
+group of that bounded size. The driver gets the centroids: 128 KB a language.
+Prediction reads every whole text, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,32 +94,68 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
-def fit(samples: list[tuple[str, str]], params: Fit = Fit()) -> Model:
-    """A model of (lang, text) pairs; texts without letters teach nothing."""
-    rows = [(lang, grams(text, params.dimensions)) for lang, text in samples if text]
-    rows = sorted(((lang, c) for lang, c in rows if c is not None), key=lambda r: r[0])
-    languages = sorted({lang for lang, _ in rows})
-    if not rows:
-        empty = np.zeros((0, params.dimensions))
-        return Model([], np.ones(params.dimensions), empty, np.zeros(0, int), np.zeros(0))
-    counts = np.array([c for _, c in rows])
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
-    vectors = np.array([vector(c, idf) for c in counts])
-    label = np.array([languages.index(lang) for lang, _ in rows])
-    random = np.random.default_rng(params.seed)
-    centroids, owner, radius = [], [], []
-    for k in range(len(languages)):
-        own = vectors[label == k]
-        centres = _spherical(own, min(params.centroids, len(own)), params.rounds, random)
+def _counted(params: Fit):
+    """(lang, counts) of (lang, text) batches; texts without letters teach nothing."""
+
+    def run(batches):
+        for batch in record_batches(batches, "text", 1 << 20):
+            rows = [(lang, c) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                    if t and (c := grams(t, params.dimensions)) is not None]
+            for at in range(0, len(rows), 256):
+                part = rows[at:at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in part], pa.string()), pa.array([c.astype("<i4").tobytes() for _, c in part], pa.binary())], ["lang", "counts"])
+
+    return run
+
+
+def _matrix(counts: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, "<i4") for x in counts.to_pylist()], dtype=np.int64)
+
+
+def _seen(batches):
+    """One row a task: its rows, and in how many of them each bin occurs."""
+    n, seen = 0, None
+    for batch in batches:
+        if batch.num_rows:
+            found = (_matrix(batch.column("counts")) > 0).sum(0)
+            n, seen = n + batch.num_rows, found if seen is None else seen + found
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["n", "seen"])
+
+
+def _clustered(idf: np.ndarray, params: Fit):
+    def run(table: pa.Table) -> pa.Table:
+        # In one order whatever the partitions: the same rows give the same centroids.
+        table = table.sort_by("counts")
+        lang = table.column("lang")[0].as_py()
+        own = np.array([vector(c, idf) for c in _matrix(table.column("counts"))])
+        centres = _spherical(own, min(params.centroids, len(own)), params.rounds, np.random.default_rng([params.seed, zlib.crc32(lang.encode())]))
         nearest = own @ centres.T
         member = nearest.argmax(1)
+        rows = []
         for i, centre in enumerate(centres):
             distances = 1 - nearest[member == i, i]
             if len(distances):
-                centroids.append(centre)
-                owner.append(k)
-                radius.append(min(1.0, float(np.quantile(distances, params.radius_quantile)) * params.radius_slack))
-    return Model(languages, idf, np.array(centroids), np.array(owner), np.array(radius))
+                rows.append((i, centre.astype("<f8").tobytes(), min(1.0, float(np.quantile(distances, params.radius_quantile)) * params.radius_slack)))
+        return pa.table({"lang": pa.array([lang] * len(rows), pa.string()), "place": pa.array([r[0] for r in rows], pa.int32()),
+                         "centre": pa.array([r[1] for r in rows], pa.binary()), "radius": pa.array([r[2] for r in rows], pa.float64())})
+
+    return run
+
+
+def fit(rows: DataFrame, params: Fit = Fit()) -> Model:
+    """A model of (lang, text) rows, a bounded number per language."""
+    workers_import(rows.sparkSession)
+    counted = stage(rows.select("lang", "text").mapInArrow(_counted(params), "lang string, counts binary"), "language-grams")
+    sums = counted.mapInArrow(_seen, "n long, seen binary").collect()
+    if not sums:
+        return Model([], np.ones(params.dimensions), np.zeros((0, params.dimensions)), np.zeros(0, int), np.zeros(0))
+    seen = np.sum([np.frombuffer(r.seen, "<i8") for r in sums], axis=0)
+    idf = np.log((1 + sum(r.n for r in sums)) / (1 + seen)) + 1
+    found = counted.groupBy("lang").applyInArrow(_clustered(idf, params), "lang string, place int, centre binary, radius double").collect()
+    found.sort(key=lambda r: (r.lang, r.place))
+    languages = sorted({r.lang for r in found})
+    return Model(languages, idf, np.array([np.frombuffer(r.centre, "<f8") for r in found]), np.array([languages.index(r.lang) for r in found]), np.array([r.radius for r in found]))
 
 
 def _spherical(own: np.ndarray, k: int, rounds: int, random: np.random.Generator) -> np.ndarray:
@@ -145,9 +184,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, params: Fit = Fit()) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts per language from outside the held-out
-    fold, the first by a hash of the identifier."""
+def training_sample(docs: DataFrame, params: Fit = Fit()) -> DataFrame:
+    """(lang, text): at most ``per_language`` identifiers per language from
+    outside the held-out fold, the first by a hash of the identifier."""
     learnable = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     ids = learnable.select(docs["lang"].cast("string").alias("l"), docs["doc_id"].cast("long").alias("d"))
     chosen = bounded_sample(ids, "l", "d", F.lit(params.per_language))
@@ -155,7 +194,7 @@ def training_sample(docs: DataFrame, params: Fit = Fit()) -> list[tuple[str, str
     first = stage(chosen.select("l", F.col("d").alias("chosen")).distinct(), "language-sample")
     texts = learnable.select(docs["lang"].cast("string").alias("lang"), docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("text"))
     rows = texts.join(first, (F.col("d") == F.col("chosen")) & (F.col("lang") == F.col("l")))
-    return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
+    return rows.select("lang", "text")
 
 
 def identify_languages(docs: DataFrame, params: Fit = Fit(), model: Model | None = None) -> DataFrame:

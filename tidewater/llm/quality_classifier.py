@@ -273,7 +273,9 @@ def train(docs: DataFrame, labels: DataFrame, params: Training = Training(), fea
     ``features``: the stored feature_rows of ``docs``."""
     rows = stage(feature_rows(docs), "quality-features") if features is None else features
     given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("d")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    marked = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(given, F.col("doc_id") == F.col("d"), "left").drop("d")
+    # Of rows under one identifier the smallest, so that every run learns from the same.
+    single = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_view", *META)).alias("m")).select("doc_id", "m.*")
+    marked = single.join(given, F.col("doc_id") == F.col("d"), "left").drop("d")
     marked = stage(marked.withColumn("tie", F.xxhash64("doc_id")), "quality-marked")
     sample = bounded_sample(marked.where("y IS NOT NULL"), "y", "doc_id", F.lit(params.per_class)).toArrow().sort_by([("tie", "ascending"), ("doc_id", "ascending")])
     if not sample.num_rows:

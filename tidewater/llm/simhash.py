@@ -7,7 +7,9 @@ the table. The index therefore posts each distinct fingerprint under every set
 of 5 positions with the 5 bytes found there (56 postings of 40 bits). Every
 pair that reaches the guaranteed minimum meets there; it is tallied (shared
 positional bytes), emitted only from the first 5 positions that it shares,
-kept from 5 on, and verified by its bit distance.
+kept from 5 on, and verified by its bit distance. Since a posting already
+stands for 5 shared bytes, the tally can drop no pair that met: the count
+filter is the index itself, and what it spares are the pairs that share fewer.
 
 A posting list over ``max_posting`` fingerprints (a huge group of near copies)
 is not paired up. Its members are linked exactly in linear space: each posts
@@ -42,13 +44,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII space change
     if not found:
         return 0
-    grams = [b" ".join(g) for g in zip(*(found[i:] for i in range(shingle)))] or [b" ".join(found)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    n = max(1, len(found) - shingle + 1)
     votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at:at + 65536]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    for at in range(0, n, 65536):  # some shingles at a time
+        part = min(65536, n - at)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i:i + shingle]), SEED) for i in range(at, at + part)), np.uint64, part)
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
