@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import record_batches, stage, workers_import
 
 #: Text bytes in a block at most (one longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Texts are encoded in portions of so many bytes.
 ENCODE_BYTES = 1 << 20
 #: A group with more links than this lists them by distinct ids.
 WIDE = 4096
 #: Links listed at once.
-SLICE_LINKS = 2 << 20
+SLICE_LINKS = 1 << 20
 #: A pair is one long: the A id above, the B id in so many low bits.
 PAIR_BITS = 32
 #: Characters whose classes are the same in all library versions.
