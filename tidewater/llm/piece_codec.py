@@ -40,8 +40,11 @@ WORD = re.compile(f"{SPACE_PIECE}[^{SPACE_PIECE}]*")
 CACHE_WORDS = 300_000
 #: Words over so many characters are cut at borders that no piece crosses.
 LONG_WORD = 24
+LONG = re.compile(f"[^{SPACE_PIECE}]{{{LONG_WORD}}}")
 #: Stretches over two windows are encoded in windows, each this far after the one before.
 WINDOW, STRIDE = 192, 128
+#: Bits of the table of pairs.
+PAIR_TABLE = 21
 PAD, PAD_STEP = chr(0x10FFFF), 16
 #: Words over so many characters are not kept between batches.
 CACHED_WORD = 64
@@ -76,7 +79,7 @@ class PieceModel:
         inner = [i for i in ids if len(self.texts[i]) == 1 or self.texts[i].strip(SPACE_PIECE)]
         # Ranks: single characters first, then merged pieces by score (the order of merging).
         inner.sort(key=lambda i: (len(self.texts[i]) > 1, -sp.get_score(i), i))
-        self.rank_ids = np.array(inner + [-1], np.int32)  # the last rank: a character without a piece
+        self.rank_ids = np.array(inner + [-1], "<i4")  # the last rank: a character without a piece
         self.n = len(inner)
         rank = {self.texts[i]: r for r, i in enumerate(inner)}
         self.longest = max(len(self.texts[i]) for i in inner)
@@ -108,7 +111,7 @@ class PieceModel:
         self.size_of = np.array([len(t) if k == "text" else 0 for t, k in zip(self.texts, self.kinds, strict=True)], np.int64)
         self.windows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.words: dict[str, bytes] = {}  # little-endian ids
-        self.valid: dict[int, bool] = {}
+        self.pair_known = np.zeros(1 << PAIR_TABLE, np.int64)  # (pair + 1) * 2 + answer
         self.lone = np.array([self.id_of[SPACE_PIECE]], "<i4").tobytes()
         self.spelled = [bytes([int(t[1:-1], 16)]) if kind == "byte" else t.replace(SPACE_PIECE, " ").encode() if kind == "text" else b""
                         for t, kind in zip(self.texts, self.kinds, strict=True)]
@@ -149,17 +152,20 @@ class PieceModel:
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b can follow piece a: undo the later of the two pieces'
         merges step by step; a merge across the border that came before an
-        undone one would have taken the pair apart."""
-        keys, back = np.unique(a.astype(np.int64) * (self.n + 1) + b, return_inverse=True)
-        out = np.array([self.valid.get(k, None) for k in keys.tolist()], dtype=object)
-        new = np.flatnonzero(out == None)  # noqa: E711
+        undone one would have taken the pair apart. Answers are kept in a table
+        of fixed size by the pair's hash, a new pair takes an old one's place."""
+        keys = a.astype(np.int64) * (self.n + 1) + b
+        with np.errstate(over="ignore"):
+            at = ((keys.astype(np.uint64) * BASE) >> np.uint64(64 - PAIR_TABLE)).astype(np.int64)
+        known = self.pair_known[at]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != keys + 1)
         if len(new):
-            ok = self._survives(keys[new] // (self.n + 1), keys[new] % (self.n + 1))
-            if len(self.valid) > 500_000:
-                self.valid.clear()
-            self.valid.update(zip(keys[new].tolist(), ok.tolist(), strict=True))
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            ok = self._survives(fresh // (self.n + 1), fresh % (self.n + 1))[back]
             out[new] = ok
-        return out.astype(bool)[back]
+            self.pair_known[at[new]] = ((keys[new] + 1) << 1) | ok
+        return out
 
     def _survives(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), bool)
@@ -189,9 +195,10 @@ class PieceModel:
         borders = [0, *(np.flatnonzero(self.beside[at] != pairs) + 1).tolist(), len(word)]
         return [word[x:y] for x, y in zip(borders, borders[1:])]
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of any lengths, equal lengths together, long ones in windows."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of words of any lengths, equal lengths together, long
+        ones in windows."""
+        out = [b""] * len(words)
         lengths = np.array([len(w) for w in words])
         for i in np.flatnonzero(lengths > 2 * WINDOW).tolist():
             out[i] = self._in_windows(words[i])
@@ -207,8 +214,8 @@ class PieceModel:
                     out[i] = ids
         return out
 
-    def _equal(self, length: int, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length, or shorter ones padded with a character
+    def _equal(self, length: int, words: list[str]) -> list[bytes]:
+        """Little-endian ids of words of one length, or shorter ones padded with a character
         that no piece holds, whose ranks are dropped again."""
         codes = np.frombuffer("".join([w.ljust(length, PAD) for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
         with np.errstate(over="ignore"):
@@ -250,18 +257,21 @@ class PieceModel:
             steps.append(np.where(live, last[at, rows], -1))
             at = np.where(live, at - back[at, rows], 0)
         chosen = np.array(steps[::-1]).T if steps else np.empty((len(words), 0), np.int64)
-        out = []
-        unknown = (chosen == self.n).any(axis=1)
-        for i, word in enumerate(words):
-            ranks = chosen[i][chosen[i] >= 0]
-            if len(word) < length:
-                ranks = ranks[:len(word) - length]
-            out.append(self._with_bytes(word, ranks) if unknown[i] else self.rank_ids[ranks])
+        sizes = np.array([len(w) for w in words])
+        # The last pieces of a padded word are its padding, one each.
+        used = chosen >= 0
+        used &= np.cumsum(used, axis=1) <= (used.sum(axis=1) - (length - sizes))[:, None]
+        flat = self.rank_ids[chosen[used]].tobytes()
+        ends = (4 * np.cumsum(used.sum(axis=1))).tolist()
+        out = [flat[x:y] for x, y in zip([0, *ends], ends)]
+        for i in np.flatnonzero((used & (chosen == self.n)).any(axis=1)).tolist():
+            out[i] = self._with_bytes(words[i], chosen[i][used[i]])
         return out
 
-    def _ended(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ended(self, window: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and ends (in characters) of a window's pieces. The bytes of a
         character without a piece count as one rank, ``self.n``."""
+        ids = np.frombuffer(window, "<i4")
         # A character's first byte tells that it begins; bytes that follow add nothing.
         value = np.full(len(self.texts), -1, np.int64)
         value[self.byte_ids] = np.arange(256)
@@ -270,7 +280,7 @@ class PieceModel:
         sizes = np.where(byte >= 0, 1, self.size_of[ids])[~follows]
         return self.rank_of[ids][~follows], np.cumsum(sizes)
 
-    def _in_windows(self, word: str) -> np.ndarray:
+    def _in_windows(self, word: str) -> bytes:
         """A long stretch: all windows at once, then joined from the left."""
         starts = list(range(0, max(1, len(word) - WINDOW + STRIDE), STRIDE))
         texts = [word[x:x + WINDOW] for x in starts]
@@ -308,7 +318,7 @@ class PieceModel:
                 ranks.append(step[0])
                 done, current, base = step[1], width[0], width[1]
         chosen = np.concatenate(ranks)
-        return self._with_bytes(word, chosen) if (chosen == self.n).any() else self.rank_ids[chosen]
+        return self._with_bytes(word, chosen) if (chosen == self.n).any() else self.rank_ids[chosen].tobytes()
 
     def _onward(self, word: str, own: np.ndarray, ends: np.ndarray, first: int, done: int):
         """Settle pieces of this window up to an end from which a window that
@@ -339,7 +349,7 @@ class PieceModel:
                 self.windows[text] = found
         return found
 
-    def _with_bytes(self, word: str, ranks: np.ndarray) -> np.ndarray:
+    def _with_bytes(self, word: str, ranks: np.ndarray) -> bytes:
         ids, at = [], 0
         for r in ranks.tolist():
             if r == self.n:
@@ -349,7 +359,7 @@ class PieceModel:
                 i = int(self.rank_ids[r])
                 ids.append(i)
                 at += len(self.texts[i])
-        return np.array(ids, np.int32)
+        return np.array(ids, "<i4").tobytes()
 
     def blanks(self, n: int) -> list[int]:
         """A run of blanks: their pieces have one score, so merging goes from
@@ -375,12 +385,14 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library's encode() without extras."""
         split = [self._words(t) for t in texts]
-        fresh = {w for words in split for w in words if w not in self.words and w[1:2] != SPACE_PIECE}
+        # A run of blanks is no word; see _settled().
+        every = [w for w in set().union(*split) if w[1:2] != SPACE_PIECE]
+        fresh = [w for w in every if w not in self.words]
         if len(self.words) + len(fresh) > CACHE_WORDS:  # a cache: cleared, never outgrown
             self.words.clear()
-            fresh = {w for words in split for w in words if w[1:2] != SPACE_PIECE}
-        todo = list(fresh)
-        self.words.update((w, ids.astype("<i4").tobytes()) for w, ids in zip(todo, self.segment(todo), strict=True))
+            fresh = every
+        todo = fresh
+        self.words.update(zip(todo, self.segment(todo), strict=True))
         known = self.words.__getitem__
         found = [np.frombuffer(b"".join(map(known, self._settled(words))), "<i4") for words in split]
         for w in todo:
@@ -390,8 +402,11 @@ class PieceModel:
         return found
 
     def _words(self, text: str) -> list[str]:
-        words = WORD.findall(SPACE_PIECE + text.replace(" ", SPACE_PIECE)) if text else []
-        if max(map(len, words), default=0) <= LONG_WORD:
+        if not text:
+            return []
+        marked = SPACE_PIECE + text.replace(" ", SPACE_PIECE)
+        words = WORD.findall(marked)
+        if not LONG.search(marked):
             return words
         return [part for w in words for part in ([w] if len(w) <= LONG_WORD else self.parts(w))]
 
