@@ -23,38 +23,22 @@ class Settings:
     max_history_chars: int = 300
     full_scan_row_threshold: int = 1000
     # --- engine knobs (ours) ---
-    broadcast_max_bytes: int = 64 * 1024 * 1024
     as_of: str = "2001-08-01"
     extra: dict = field(default_factory=dict)
 
 
 SETTINGS = Settings()
 
-# --- fixed values: domains of the logistics data model ---
-STATUSES = ["booked", "picked_up", "in_transit", "customs_hold", "delivered", "delayed", "cancelled"]
-MODES = ["ocean", "air", "road", "rail"]
-CARRIER_TYPES = ["ocean", "air", "multimodal", "road", "rail"]
-PRIORITIES = ["standard", "express", "economy"]
-DELAY_REASONS = [
-    "port_congestion", "customs_hold", "weather", "vessel_breakdown",
-    "documentation_error", "labor_strike", "equipment_shortage", "security_inspection",
-]
-COMMODITIES = [
-    "electronics", "textiles", "automotive_parts", "pharmaceuticals",
-    "frozen_food", "chemicals", "industrial_machinery", "furniture",
-    "apparel", "consumer_goods", "raw_materials", "medical_equipment",
-]
-INCOTERMS = ["FOB", "CIF", "EXW", "DDP", "CFR", "FCA", "DAP", "CPT"]
-CONTAINER_TYPES = ["20ft", "40ft", "40ft_hc", "LCL"]
-CHARGE_TYPES = ["freight", "customs_duty", "insurance", "handling", "documentation", "demurrage", "detention"]
+# --- domains of the logistics fixture (our own) ---
+DELAY_REASONS = ["berth_wait", "paperwork", "storm", "missed_transfer", "engine_trouble", "road_closed", "no_chassis", "recount"]
+COMMODITIES = ["grain", "timber", "machine_parts", "fresh_fruit", "paper", "glassware", "bicycles", "paint", "toys", "coffee", "tiles", "instruments"]
+INCOTERMS = ["CFR", "CIF", "CIP", "CPT", "EXW", "FAS", "FCA", "FOB"]
+CONTAINER_TYPES = ["20GP", "40GP", "40HC", "45HC"]
+# --- fixed values: event types, in order, that the questions name ---
 TRACKING_SEQUENCE = [
     "booked", "picked_up", "departed_origin", "in_transit",
     "arrived_port", "customs_cleared", "out_for_delivery", "delivered",
 ]
-MILESTONES = ["booked", "departed_origin", "arrived_port", "delivered"]
-PAYMENT_STATUSES = ["pending", "paid", "overdue", "disputed", "cancelled"]
-REVIEW_STATES = ["pending", "approved", "rejected", "corrected"]
-DOCUMENT_TYPES = ["invoice", "bill_of_lading", "packing_list", "customs_declaration"]
 
 # --- fixed values: expected fields per document type ---
 EXPECTED_FIELDS = {
