@@ -166,8 +166,8 @@ res2 AS (
                    WHEN expected_behavior IN ('injection', 'block') THEN NOT passed OR trim(sql) = ''
                    ELSE false END AS INTEGER) AS correct_behavior,
          CAST(CASE WHEN passed THEN 150 + (test_id * 37 + m * 101) % 4000 ELSE 0 END AS DOUBLE) AS latency_ms,
-         CAST(CASE WHEN passed THEN floor((length(text) + 1200) / 4) ELSE 0 END AS BIGINT) AS input_tokens,
-         CAST(floor(length(coalesce(raw_response, '')) / 4) AS BIGINT) AS output_tokens,
+         CAST(CASE WHEN passed THEN floor((length(text) + 1200) / 4) + CASE WHEN (test_id + m) % 3 <> 0 THEN 3 ELSE 0 END ELSE 0 END AS BIGINT) AS input_tokens,
+         CAST(floor(length(coalesce(raw_response, '')) / 4) + CASE WHEN passed AND (test_id + m) % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS output_tokens,
          CASE WHEN sql_valid = 1 AND len({_refs('sql')}) = 0 THEN 'No known table' END AS execution_error,
          CASE WHEN json_ok AND sql_valid = 0 THEN 'Not a single read-only SELECT' END AS validity_error
   FROM res),

@@ -268,6 +268,30 @@ _FKS = [
     ("invoices", "carrier_id", "carriers", "id"),
     ("extracted_documents", "linked_shipment_id", "shipments", "shipment_id"),
 ]
+# stated here and not imported, so that a wrong declaration in the package shows
+_NOT_NULL = {
+    "customers": "customer_code company_name industry country city tier",
+    "carriers": "carrier_code carrier_name carrier_type",
+    "shipments": "shipment_id customer_id carrier_id origin_port origin_country destination_port destination_country mode status booking_date weight_kg commodity",
+    "shipment_charges": "shipment_id charge_type amount_usd",
+    "tracking_events": "shipment_id event_type event_timestamp location",
+    "invoices": "invoice_number shipment_id customer_id carrier_id invoice_date due_date subtotal_usd total_usd",
+    "extracted_documents": "document_id document_type file_name extracted_fields confidence_scores",
+}
+_DEFAULTS = {
+    "shipments.container_count": "1", "shipments.delay_days": "0", "shipments.priority": "'standard'", "shipment_charges.currency": "'USD'",
+    "tracking_events.created_by": "'system'", "tracking_events.is_milestone": "0", "invoices.tax_usd": "0", "invoices.currency": "'USD'",
+    "invoices.payment_status": "'pending'", "extracted_documents.upload_timestamp": "CURRENT_TIMESTAMP", "extracted_documents.review_status": "'pending'",
+}
+
+
+def declared(t: str, c: str) -> tuple[str, str, str]:
+    """SQL literals: primary key, not null, default."""
+    pk = c == "id" and t != "shipment_charges"
+    default = _DEFAULTS.get(f"{t}.{c}")
+    return str(pk).lower(), str(pk or c in _NOT_NULL[t].split()).lower(), "NULL" if default is None else "'" + default.replace("'", "''") + "'"
+
+
 _TYPED = "\n  UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT typeof({c}) FROM {t} LIMIT 1) AS t"
     for t, cols in _COLUMNS.items() for c in cols)
@@ -294,14 +318,14 @@ SELECT c.table_name, c.row_count, l.column_count, l.columns, f.foreign_keys
 FROM counts c JOIN cols l USING (table_name) LEFT JOIN fks f USING (table_name)"""
 
 _FACTS = "\n  UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS position, count(*) = count({c}) AS full_column, "
-    f"{'true' if c == 'id' and t != 'shipment_charges' else 'false'} AS is_pk FROM {t}"
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS position, {declared(t, c)[0]} AS is_pk, {declared(t, c)[1]} AS notnull, "
+    f"{declared(t, c)[2]} AS default_value"
     for t, cols in _COLUMNS.items() for i, c in enumerate(cols))
 _CTES = SQL["a7_table_profile"][:SQL["a7_table_profile"].rindex("SELECT c.table_name, c.row_count")].rstrip()
 SQL["a7_schema_text"] = _CTES + f""",
 facts AS ({_FACTS}),
 lines AS (SELECT table_name, string_agg('    ' || column_name || ' ' || data_type || CASE WHEN is_pk THEN ' PRIMARY KEY'
-                 WHEN full_column THEN ' NOT NULL' ELSE '' END, chr(10) ORDER BY position) AS body
+                 WHEN "notnull" THEN ' NOT NULL' ELSE '' END || coalesce(' DEFAULT ' || default_value, ''), chr(10) ORDER BY position) AS body
           FROM ctypes JOIN facts USING (table_name, column_name) GROUP BY table_name),
 refs AS (SELECT from_table AS table_name,
                 string_agg(chr(10) || '    FOREIGN KEY (' || from_column || ') REFERENCES ' || to_table || '(' || to_column || ')', ''
@@ -309,3 +333,18 @@ refs AS (SELECT from_table AS table_name,
 SELECT table_name, 'TABLE: ' || table_name || ' (' || format('{{:,}}', row_count) || ' rows)' || chr(10) || body || coalesce(tail, '')
        AS description
 FROM counts JOIN lines USING (table_name) LEFT JOIN refs USING (table_name)"""
+_NULLS = "\n  UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count FROM {t}"
+                              for t, cols in _COLUMNS.items() for c in cols)
+SQL["a4_column_metadata"] = _CTES + f""",
+facts AS ({_FACTS}),
+nulls AS ({_NULLS})
+SELECT table_name, column_name, position, null_count, data_type, "notnull", default_value, is_pk
+FROM facts JOIN nulls USING (table_name, column_name) JOIN ctypes USING (table_name, column_name)"""
+SQL["l5_quarantine"] = """
+, lost AS (
+  SELECT CASE WHEN id % 5 <> 0 THEN status END AS status, CASE WHEN id % 7 <> 0 THEN origin_country END AS origin_country,
+         coalesce(CASE WHEN id % 3 <> 0 THEN delay_days END, 0) AS delay_days FROM shipments),
+judged AS (
+  SELECT delay_days, array_to_string(list_filter([CASE WHEN origin_country IS NULL THEN 'origin_country' END, CASE WHEN status IS NULL THEN 'status' END], lambda x: x IS NOT NULL), ',') AS violations
+  FROM lost)
+SELECT violations, count(*) AS shipments, sum(delay_days) AS delay_days, count(*) AS standard FROM judged GROUP BY violations"""

@@ -4,15 +4,8 @@ from oracle.evaluation import RESULTS
 from oracle.screens import _COLUMNS, _FKS as _KEYS
 
 
-def _nulls(table: str, column: str, at: int) -> str:
-    pk = "true" if column == "id" and table != "shipment_charges" else "false"
-    return (f"SELECT '{table}' AS table_name, '{column}' AS column_name, {at} AS position, {pk} AS is_pk, "
-            f"count(*) - count({column}) AS null_count, count(*) = count({column}) AS notnull FROM {table}")
-
-
 SQL = {
     "a3_table_names": " UNION ALL ".join(f"SELECT '{t}' AS table_name WHERE EXISTS (SELECT 1 FROM {t})" for t in _COLUMNS),
-    "a4_column_metadata": " UNION ALL ".join(_nulls(t, c, i) for t, cs in _COLUMNS.items() for i, c in enumerate(cs)),
     "a5_foreign_keys": " UNION ALL ".join(
         f"SELECT '{a}' AS from_table, '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column, count({b}) AS rows_with_key FROM {a}"
         for a, b, c, d in _KEYS),
@@ -32,6 +25,9 @@ named AS (SELECT *, CASE WHEN contains(file_name, '.') THEN lower(string_split(f
 judged AS (SELECT *, CASE WHEN ext IS NULL OR ext NOT IN ('pdf', 'png', 'jpg', 'jpeg') THEN 'Unsupported file type: .' || coalesce(ext, '')
                           WHEN length > 10485760 THEN 'File too large (max 10 MB)' END AS reason FROM named)
 SELECT file_name, length, reason IS NULL AS accepted, reason FROM judged""",
-    "a15_result_sink": ", " + RESULTS.lstrip().lstrip(",") + """
-SELECT model, count(*) AS results, sum(correct_behavior) AS correct, sum(output_tokens) AS output_tokens FROM costed GROUP BY model""",
+    "a15_result_sink": ", " + RESULTS.lstrip().lstrip(",") + """,
+best AS (SELECT model FROM summ2 ORDER BY round(comp, 1) DESC, model DESC LIMIT 1)
+SELECT c.model, count(*) AS results, sum(correct_behavior) AS correct, sum(output_tokens) AS output_tokens, max(s.test_count) AS summary_count,
+       round(max(s.comp), 1) AS composite_score, count(*) FILTER (WHERE correct_behavior = 0) AS failed, c.model = (SELECT model FROM best) AS is_winner
+FROM costed c JOIN summ2 s USING (model) GROUP BY c.model""",
 }

@@ -136,3 +136,12 @@ def test_behaviour_scoring(spark):
     got = [r[0] for r in df.select(E.behaviour_correct(F.col("expected"), F.col("ok"), F.col("sql"), F.col("raw"),
                                                        F.col("blocked"))).collect()]
     assert got == [True, False, True, False, True, False, False]
+
+
+def test_unreported_tokens_are_estimated(spark):
+    rows = [(1, "q", "m", "c", "answer", None, "SELECT 1", "x" * 41, 10.0, 403, None, None), (2, "q", "m", "c", "answer", None, "SELECT 1", "x" * 41, 10.0, 403, 7, 9),
+            (3, "q", "m", "c", "answer", None, "SELECT 1", None, 10.0, None, None, None)]
+    replies = spark.createDataFrame(rows, "question_id long, text string, model string, category string, expected_behavior string, guardrail_reason string, truth_sql string, "
+                                          "raw_response string, latency_ms double, prompt_chars long, input_tokens long, output_tokens long")
+    got = {r.test_id: (r.input_tokens, r.output_tokens) for r in E.score_replies(replies).collect()}
+    assert got == {1: (100, 10), 2: (7, 9), 3: (0, 0)}

@@ -190,10 +190,17 @@ def behaviour_correct(expected: Column, json_ok: Column, sql: Column, raw: Colum
 # ------------------------------------------------------------------ results table
 
 
+def estimated_tokens(chars: Column) -> Column:
+    """K9: about four characters a token."""
+    return F.floor(F.coalesce(chars, F.lit(0)) / 4).cast("bigint")
+
+
 def score_replies(replies: DataFrame) -> DataFrame:
     """One scored row per reply. ``replies``: (question_id, text, model, category,
     expected_behavior, guardrail_reason, truth_sql, raw_response, latency_ms,
-    input_tokens, output_tokens); a guardrail_reason that isn't null was a block."""
+    prompt_chars, input_tokens, output_tokens); a guardrail_reason that isn't null
+    was a block. Tokens that a model doesn't report (null) are estimated at four
+    characters each."""
     r = replies.withColumn("p", normalise_model_response(F.col("raw_response")))
     blocked = F.col("guardrail_reason").isNotNull()
     sql = F.col("p.sql")
@@ -214,7 +221,9 @@ def score_replies(replies: DataFrame) -> DataFrame:
         (json_ok & readonly & runs).cast("int").alias("sql_runs"),
         ((F.size(expected_tables) == 0) | (F.size(F.array_except(expected_tables, reported)) == 0))
         .cast("int").alias("correct_tables"),
-        behaved.cast("int").alias("correct_behavior"), "latency_ms", "input_tokens", "output_tokens",
+        behaved.cast("int").alias("correct_behavior"), "latency_ms",
+        F.coalesce("input_tokens", estimated_tokens(F.col("prompt_chars"))).alias("input_tokens"),
+        F.coalesce("output_tokens", estimated_tokens(F.length(F.coalesce("raw_response", F.lit(""))))).alias("output_tokens"),
         # the error texts of the five steps, in the order in which a report looks for one
         F.col("guardrail_reason").alias("error"),
         F.when(~blocked, F.col("p.parse_error")).alias("parse_error"),

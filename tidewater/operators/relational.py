@@ -237,10 +237,10 @@ def c8_extracted_vs_actual(wh) -> DataFrame:
                  F.get_json_object("extracted_fields", "$.total_amount").alias("extracted_amount")))
     s = wh.shipments.select(F.col("id"), F.col("shipment_id").alias("linked_shipment_id"))
     linked = e.join(s, "linked_shipment_id")
-    # only the charges of invoiced shipments are summed
-    ch = (wh.shipment_charges.select(F.col("shipment_id").alias("id"), "amount_usd")
-          .join(linked.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("amount_usd").alias("amt")))
-    j = linked.join(ch, "id")
+    # the charges meet the few invoiced shipments, and are summed by document: one join, one shuffle
+    ch = wh.shipment_charges.select(F.col("shipment_id").alias("id"), "amount_usd")
+    keys = ["document_id", "invoice_number", "extracted_amount", "linked_shipment_id"]
+    j = linked.join(ch, "id").groupBy(*keys).agg(F.sum("amount_usd").alias("amt"))
     return j.select("invoice_number", "extracted_amount", F.col("linked_shipment_id").alias("shipment_id"),
                     F.col("amt").cast("decimal(18,2)").alias("actual_charges"))
 

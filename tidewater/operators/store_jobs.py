@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.config import KNOWN_TABLES
 from tidewater.operators import document_jobs as DJ
 from tidewater.operators import documents as D
+from tidewater.operators import evaluation as E
 from tidewater.operators import evaluation_jobs as EJ
 from tidewater.session import shared_path
 from tidewater.sources import catalog as C
@@ -24,10 +25,24 @@ def a3_table_names(wh) -> DataFrame:
 
 
 def a4_column_metadata(wh) -> DataFrame:
-    """Columns with their place, key and the nulls that the data holds."""
+    """Columns with type, declared NOT NULL, default and key, and the nulls that the data holds."""
     profiled = reduce(DataFrame.unionByName, [C.null_counts(wh, t) for t in KNOWN_TABLES])
-    meta = C.column_metadata(wh.spark, wh).select("table_name", "column_name", "is_pk")
-    return profiled.join(meta, ["table_name", "column_name"]).withColumn("notnull", F.col("null_count") == 0)
+    return profiled.join(C.column_metadata(wh.spark, wh), ["table_name", "column_name"])
+
+
+def l5_quarantine(wh) -> DataFrame:
+    """Declared constraints on write: shipments whose status, country or delay is
+    lost for some ids pass through the checked writer; what was stored, what went
+    to quarantine and for which columns."""
+    schema = C.declared("shipments", wh.shipments.schema)
+    lost = {"status": F.when(F.col("id") % 5 != 0, F.col("status")), "origin_country": F.when(F.col("id") % 7 != 0, F.col("origin_country")),
+            "delay_days": F.when(F.col("id") % 3 != 0, F.col("delay_days"))}
+    folder = shared_path(wh.spark, "checked", uuid.uuid4().hex)
+    C.write_checked(wh.shipments.withColumns(lost).drop("priority"), schema, f"{folder}/stored", f"{folder}/quarantine")
+    good, bad = wh.spark.read.parquet(f"{folder}/stored"), wh.spark.read.parquet(f"{folder}/quarantine")
+    shape = [F.count("*").alias("shipments"), F.sum("delay_days").alias("delay_days"), F.count_if(F.col("priority") == "standard").alias("standard")]
+    return good.withColumn("violations", F.lit("")).groupBy("violations").agg(*shape).unionByName(
+        bad.withColumn("violations", F.array_join("violations", ",")).groupBy("violations").agg(*shape))
 
 
 def a5_foreign_keys(wh) -> DataFrame:
@@ -86,12 +101,22 @@ def a13_upload_screening(wh) -> DataFrame:
 
 
 def a15_result_sink(wh) -> DataFrame:
-    """Evaluation results as JSON lines, read back and counted."""
+    """Evaluation results and their summary as JSON lines, read back: counts of
+    the results beside what the summary says of each model."""
     path = shared_path(wh.spark, "results", uuid.uuid4().hex)
-    SD.write_results(EJ.costed(wh), path)
-    back = wh.spark.read.schema("test_id bigint, model string, correct_behavior int, output_tokens bigint").json(path)
-    return back.groupBy("model").agg(F.count("*").alias("results"), F.sum("correct_behavior").alias("correct"),
-                                     F.sum("output_tokens").alias("output_tokens"))
+    results = EJ.costed(wh)
+    models = E.model_summary(results)
+    SD.write_results(results, path, {"models": models, "categories": E.category_matrix(results),
+                                     "winners": E.winners(models, EJ.prices(wh)), "failed_cases": E.failed_cases(results)})
+    read = wh.spark.read
+    back = read.schema("test_id bigint, model string, correct_behavior int, output_tokens bigint").json(f"{path}/results")
+    said = read.schema("model string, test_count bigint, composite_score double").json(f"{path}/summary/models")
+    failed = read.schema("test_id bigint, model string").json(f"{path}/summary/failed_cases").groupBy("model").agg(F.count("*").alias("failed"))
+    won = read.schema("overall_winner string").json(f"{path}/summary/winners")
+    counts = back.groupBy("model").agg(F.count("*").alias("results"), F.sum("correct_behavior").alias("correct"), F.sum("output_tokens").alias("output_tokens"))
+    joined = counts.join(said, "model").join(failed, "model", "left").join(won.select(F.col("overall_winner").alias("model"), F.lit(True).alias("is_winner")), "model", "left")
+    return joined.select("model", "results", "correct", "output_tokens", F.col("test_count").alias("summary_count"), "composite_score",
+                         F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("is_winner", F.lit(False)).alias("is_winner"))
 
 
 def _merged(wh, log: DataFrame, apply) -> tuple[DocumentStore, DataFrame]:

@@ -135,6 +135,7 @@ CATALOG: dict[str, QueryFn] = {
     "a10_append": ST.a10_append,
     "a11_list_documents": ST.a11_list_documents,
     "a12_get_document": ST.a12_get_document,
+    "l5_quarantine": ST.l5_quarantine,
     "a15_result_sink": ST.a15_result_sink,
     "a6_row_counts": SJ.a6_row_counts,
     "a7_table_profile": SJ.a7_table_profile,

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewater.config import KNOWN_TABLES
 
@@ -28,6 +29,24 @@ FOREIGN_KEYS = [
     ("invoices", "carrier_id", "carriers", "id"),
     ("extracted_documents", "linked_shipment_id", "shipments", "shipment_id"),
 ]
+# --- fixed values: declared NOT NULL columns and defaults (SQL text) of the logistics model ---
+NOT_NULL = {
+    "customers": ["customer_code", "company_name", "industry", "country", "city", "tier"],
+    "carriers": ["carrier_code", "carrier_name", "carrier_type"],
+    "shipments": ["shipment_id", "customer_id", "carrier_id", "origin_port", "origin_country", "destination_port",
+                  "destination_country", "mode", "status", "booking_date", "weight_kg", "commodity"],
+    "shipment_charges": ["shipment_id", "charge_type", "amount_usd"],
+    "tracking_events": ["shipment_id", "event_type", "event_timestamp", "location"],
+    "invoices": ["invoice_number", "shipment_id", "customer_id", "carrier_id", "invoice_date", "due_date", "subtotal_usd", "total_usd"],
+    "extracted_documents": ["document_id", "document_type", "file_name", "extracted_fields", "confidence_scores"],
+}
+DEFAULTS = {
+    "shipments": {"container_count": "1", "delay_days": "0", "priority": "'standard'"},
+    "shipment_charges": {"currency": "'USD'"},
+    "tracking_events": {"created_by": "'system'", "is_milestone": "0"},
+    "invoices": {"tax_usd": "0", "currency": "'USD'", "payment_status": "'pending'"},
+    "extracted_documents": {"upload_timestamp": "CURRENT_TIMESTAMP", "review_status": "'pending'"},
+}
 ENUM_COLUMNS = {
     "shipments": ["mode", "status", "priority"],
     "customers": ["tier", "industry"],
@@ -42,14 +61,49 @@ def table_names(spark: SparkSession) -> list[str]:
     return sorted(n for n in names if n in KNOWN_TABLES)
 
 
+def declared(table: str, schema: StructType) -> StructType:
+    """``schema`` with the declared constraints as metadata of its fields:
+    ``notnull``, ``pk`` and, where there is one, ``default`` as SQL text. Spark
+    keeps metadata through selects and in Parquet files."""
+    fields = []
+    for f in schema.fields:
+        key = PRIMARY_KEYS.get(table) == f.name
+        given = {"notnull": key or f.name in NOT_NULL.get(table, ()), "pk": key}
+        if f.name in DEFAULTS.get(table, ()):
+            given["default"] = DEFAULTS[table][f.name]
+        fields.append(StructField(f.name, f.dataType, True, {**f.metadata, **given}))
+    return StructType(fields)
+
+
 def column_metadata(spark: SparkSession, wh) -> DataFrame:
-    """A4: (table, column, type, notnull, is_pk) from each view's schema."""
-    rows = []
-    for t in KNOWN_TABLES:
-        for f in wh.table(t).schema.fields:
-            rows.append((t, f.name, f.dataType.simpleString(), not f.nullable, PRIMARY_KEYS.get(t) == f.name))
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, "
-                                       "notnull boolean, is_pk boolean")
+    """A4: (table, column, type, notnull, default_value, is_pk) as declared."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.metadata["notnull"], f.metadata.get("default"), f.metadata["pk"])
+            for t in KNOWN_TABLES for f in declared(t, wh.table(t).schema).fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, notnull boolean, default_value string, is_pk boolean")
+
+
+def checked(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows as a table with the declared ``schema`` takes them: columns in its
+    order and types, missing ones and nulls filled by their defaults. Returns
+    (rows without a violation, violating rows with ``violations``: the columns
+    that are null and must not be)."""
+    def value(f: StructField) -> Column:
+        own = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        return F.coalesce(own, F.expr(f.metadata["default"]).cast(f.dataType)) if "default" in f.metadata else own
+
+    filled = df.select(*[value(f).alias(f.name, metadata=f.metadata) for f in schema.fields])
+    required = [f.name for f in schema.fields if f.metadata.get("notnull")]
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
+    judged = filled.withColumn("violations", missing)
+    return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
+def write_checked(df: DataFrame, schema: StructType, path: str, quarantine: str) -> None:
+    """Append to the table at ``path`` what its declarations allow, and the
+    other rows, with their violations, to the table at ``quarantine``."""
+    good, bad = checked(df, schema)
+    bad.write.mode("append").parquet(quarantine)
+    good.write.mode("append").parquet(path)
 
 
 def null_counts(wh, table: str) -> DataFrame:
@@ -95,15 +149,14 @@ def table_profile(spark: SparkSession, wh) -> DataFrame:
 
 
 def schema_text(wh) -> DataFrame:
-    """A7 as one text per table: its rows, columns with constraints, and keys.
-
-    A column is NOT NULL where the data holds no null: Parquet declares none.
-    """
-    meta = column_metadata(wh.spark, wh)
-    nulls = reduce(DataFrame.unionByName, [null_counts(wh, t) for t in KNOWN_TABLES])
-    rule = (F.when(F.col("is_pk"), " PRIMARY KEY").when(F.col("null_count") == 0, " NOT NULL").otherwise(""))
-    line = F.concat(F.lit("    "), "column_name", F.lit(" "), "data_type", rule)
-    columns = meta.join(nulls, ["table_name", "column_name"]).groupBy("table_name").agg(
+    """A7 as one text per table: its rows, columns with declared constraints, and keys."""
+    places = [(t, c, i) for t in KNOWN_TABLES for i, c in enumerate(wh.table(t).columns)]
+    place = wh.spark.createDataFrame(places, "table_name string, column_name string, position int")
+    meta = column_metadata(wh.spark, wh).join(place, ["table_name", "column_name"])
+    rule = F.when(F.col("is_pk"), " PRIMARY KEY").when(F.col("notnull"), " NOT NULL").otherwise("")
+    default = F.coalesce(F.concat(F.lit(" DEFAULT "), "default_value"), F.lit(""))
+    line = F.concat(F.lit("    "), "column_name", F.lit(" "), "data_type", rule, default)
+    columns = meta.groupBy("table_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))),
                                  lambda c: c["line"]), "\n").alias("body"))
     key = F.concat(F.lit("\n    FOREIGN KEY ("), "from_column", F.lit(") REFERENCES "), "to_table", F.lit("("), "to_column", F.lit(")"))

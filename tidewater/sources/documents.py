@@ -62,6 +62,10 @@ def screen_manifest(files: DataFrame) -> DataFrame:
     return files.select("file_name", "length", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """Evaluation results as JSON lines."""
-    df.write.mode("overwrite").json(path)
+def write_results(results: DataFrame, path: str, summary: dict[str, DataFrame] | None = None) -> None:
+    """Evaluation results as JSON lines in ``results``, and each part of
+    their summary in ``summary/<part>``. The summary is written last: a folder
+    with all its parts is complete."""
+    results.write.mode("overwrite").json(f"{path}/results")
+    for part, rows in (summary or {}).items():
+        rows.write.mode("overwrite").json(f"{path}/summary/{part}")

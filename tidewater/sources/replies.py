@@ -51,9 +51,10 @@ def model_replies(wh) -> DataFrame:
            .when(style == 7, F.lit(None).cast("string"))
            .otherwise(F.lit("Sorry, that is not available.")))
     took = F.when(F.col("passed"), 150 + (F.col("question_id") * 37 + F.col("m") * 101) % 4000).otherwise(0)
-    tokens = F.when(F.col("passed"), F.floor((F.length("text") + 1200) / 4)).otherwise(0)
+    prompt = F.when(F.col("passed"), F.length("text") + 1200).otherwise(0).cast("bigint")
+    counted = F.col("passed") & ((F.col("question_id") + F.col("m")) % 3 != 0)  # the others report no tokens
     r = r.withColumn("raw_response", raw)
     return r.select("question_id", "text", "model", "category", "expected_behavior", F.col("reason").alias("guardrail_reason"),
                     "truth_sql", "raw_response", took.cast("double").alias("latency_ms"),
-                    tokens.cast("bigint").alias("input_tokens"),
-                    F.floor(F.length(F.coalesce("raw_response", F.lit(""))) / 4).cast("bigint").alias("output_tokens"))
+                    prompt.alias("prompt_chars"), F.when(counted, F.floor(prompt / 4) + 3).cast("bigint").alias("input_tokens"),
+                    F.when(counted, F.floor(F.length(F.coalesce("raw_response", F.lit(""))) / 4) + 1).cast("bigint").alias("output_tokens"))
