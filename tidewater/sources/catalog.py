@@ -106,9 +106,19 @@ def write_checked(df: DataFrame, schema: StructType, path: str, quarantine: str)
     good.write.mode("append").parquet(path)
 
 
+def _profile(wh, table: str) -> tuple[int, dict[str, int]] | None:
+    """What was counted while the table was written, if it was."""
+    return getattr(wh, "profiles", {}).get(table)
+
+
 def null_counts(wh, table: str) -> DataFrame:
-    """A4 over the data: (table, column, position, null_count), one pass over the table."""
+    """A4 over the data: (table, column, position, null_count): kept from the
+    write, else one pass over the table."""
     columns = wh.table(table).columns
+    kept = _profile(wh, table)
+    if kept:
+        rows = [(table, c, i, kept[1][c]) for i, c in enumerate(columns)]
+        return wh.spark.createDataFrame(rows, "table_name string, column_name string, position int, null_count bigint")
     counted = wh.table(table).agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                                                      F.count_if(F.col(c).isNull()).alias("null_count"))
                                             for i, c in enumerate(columns)]).alias("c"))
@@ -121,11 +131,15 @@ def foreign_keys(spark: SparkSession) -> DataFrame:
 
 
 def row_counts(wh, tables: list[str] | None = None) -> DataFrame:
-    """One row per known table; each count is a distributed aggregate."""
-    names = tables or KNOWN_TABLES
-    parts = [wh.table(t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
-             for t in names]
-    return reduce(DataFrame.unionByName, parts)
+    """One row per known table: the count kept from the write, else a
+    distributed aggregate."""
+    def counted(t: str) -> DataFrame:
+        kept = _profile(wh, t)
+        if kept:
+            return wh.spark.createDataFrame([(t, kept[0])], "table_name string, row_count bigint")
+        return wh.table(t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+
+    return reduce(DataFrame.unionByName, [counted(t) for t in tables or KNOWN_TABLES])
 
 
 def row_count(wh, table: str) -> int:

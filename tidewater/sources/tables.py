@@ -6,7 +6,8 @@ import os
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.session import accept_repeated_keys, shared_path
 from tidewater.sources.logistics_sql import view_sql
@@ -48,6 +49,8 @@ class Warehouse:
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
         self.materialized_at: str | None = None
+        #: Of tables that materialize() wrote: rows, and nulls by column.
+        self.profiles: dict[str, tuple[int, dict[str, int]]] = {}
         self._stages: list[str] = []
         self._seen: tuple = ()
 
@@ -136,16 +139,27 @@ class Warehouse:
             df = self._frames[name]
             if name in cluster:
                 df = df.repartitionByRange(cluster[name]).sortWithinPartitions(cluster[name])
+            # Counted while it is written, in the writing stage itself: the profile needs no scan of its own.
+            seen = Observation(f"profile-{name}")
+            df = df.observe(seen, F.count(F.lit(1)).alias("row_count"), *[F.count_if(F.col(c).isNull()).alias(f"null:{c}") for c in df.columns])
             # point lookups by a key that the table isn't sorted by skip row groups by its Bloom filter
             writer = (indexed_writer(df, POINT_KEYS[name]) if name in POINT_KEYS else df.write).mode("overwrite")
             if name == "extracted_documents":
                 writer = writer.partitionBy("document_type")
             writer.parquet(path)
             self._frames[name] = self.spark.read.parquet(path)
+            self._keep_profile(name, path, seen.get)
             self._frames[name].createOrReplaceTempView(name)
         self.materialized_at = out
         return out
 
+    def _keep_profile(self, name: str, path: str, seen: dict) -> None:
+        """A table's row and null counts, in memory and as one JSON row beside it."""
+        nulls = {c.removeprefix("null:"): n for c, n in seen.items() if c != "row_count"}
+        self.profiles[name] = (seen["row_count"], nulls)
+        row = self.spark.createDataFrame([(name, seen["row_count"], nulls)], "table_name string, row_count bigint, nulls map<string,bigint>")
+        row.coalesce(1).write.mode("overwrite").json(os.path.join(path, "_profile"))
+
     def stored(self, name: str) -> DataFrame:
         """A view materialised as a table, for inputs that are tables in production."""
         if self.materialized_at:
