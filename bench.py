@@ -23,7 +23,7 @@ HEADLINE = [
     "d21_three_join_filter", "e1_latest_per_key", "e2_transit_time", "e3_recent_turns", "f1_top_n_groups",
     "i1_i2_parse_status", "i17_notes", "i16_auto_link", "j1_question_screen", "j4_pitfall_lint",
     "j6_scan_budget", "k1_nearest_documents", "k7_k8_model_summary", "l2_orphan_keys",
-    "l7_invoice_reconciliation",
+    "l7_invoice_reconciliation", "k1_similar_vectors", "k10_category_matrix", "i18_review_merge", "i18_stored_reviews", "m1_stream_ingest",
 ]
 
 
