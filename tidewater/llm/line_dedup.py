@@ -163,6 +163,7 @@ class LineRuns:
         self.tables.add(f"{self.prefix}_{name}")
         session.sql(f"CREATE TABLE IF NOT EXISTS {self.prefix}_{name} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet "
                     f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self._path(name)}'")
+        session.catalog.refreshTable(f"{self.prefix}_{name}")  # a replay may have written it over
         return session.read.table(f"{self.prefix}_{name}")
 
     def batches(self) -> int:
