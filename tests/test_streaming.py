@@ -3,6 +3,7 @@
 import os
 import time
 import uuid
+from types import SimpleNamespace
 
 import pytest
 
@@ -108,3 +109,13 @@ def test_stored_documents_are_not_read_again(spark, wh):
     _land(_raw(spark, [("a", "later"), ("b", "beta")]), landing, "n=2")
     run_ingest(spark, os.path.join(landing, "*"), out, wh.shipments, wh.invoices)
     assert [r.document_id for r in spark.read.parquet(os.path.join(docs_path, "writer=*", "epoch=1")).collect()] == ["b"]
+
+
+def test_an_arrival_of_many_files_is_one_micro_batch(spark, wh, monkeypatch):
+    """However many partitions the responses have, the four arrivals are four epochs and the replayed one adds none."""
+    many = SimpleNamespace(spark=spark, raw_responses=wh.raw_responses.repartition(6), shipments=wh.shipments, invoices=wh.invoices)
+    monkeypatch.setattr(ingest_module, "LANDED_ROWS", 5)  # several files an arrival
+    docs = spark.read.parquet(ingest_module.ingest_from_warehouse(many)[0])
+    dealt = docs.select("epoch", (F.crc32(F.col("document_id").cast("binary")) % 4).alias("arrival")).distinct().collect()
+    assert sorted((r.epoch, r.arrival) for r in dealt) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert docs.count() == docs.select("document_id").distinct().count() > 0
