@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tidewater.operators import evaluation as E
 from tidewater.operators import nearest
@@ -100,6 +100,28 @@ def test_blocks_are_skipped_and_hot_blocks_split(spark):
     assert [d for _, d in sorted(got[2400].items())] == sorted(f"example_{i}" for i in ids)[:5]
 
 
+def test_chunks_meet_questions_as_matrices_with_the_ties_of_the_plain_cosine(spark):
+    """Copies, ties, zeros, nulls, NaN and other lengths: rank by rank what comparing every pair gives."""
+    r = np.random.default_rng(7)
+    some = [r.integers(-2, 3, size=6).astype(float).tolist() for _ in range(120)] + [r.normal(size=6).tolist() for _ in range(60)]
+    some += [some[130]] * 30 + [[0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [1.0, 2.0], [1e-160] * 6, [1e150, -1e150, 0.0, 0.0, 0.0, 1.0]]
+    docs = E._represented(spark.createDataFrame([(f"d{i * 37 % 1000:03d}", v, str(i)) for i, v in enumerate(some)], "doc_id string, vec array<double>, table string"), "vec")
+    asked = E._represented(spark.createDataFrame([(i, v) for i, v in enumerate(some) if i != 213 and (i % 3 == 0 or i > 205)], "vec_id long, vec array<double>"), "vec")
+    keys = ["model", "vec_id"]
+    docs, asked = docs.cache(), asked.cache()
+    index = nearest.build_index(docs, ["table"], Layout(pivots=4, rings=2, chunk_rows=40, question_rows=16))
+    got = nearest.nearest(asked, keys, index, ["table"], 5)
+    pairs = asked.select(*keys, F.col("vec").alias("v"), F.col("norm").alias("n")).join(docs, "model")
+    cosine = nearest.similarity(F.col("v"), F.col("n"), F.col("vec"), F.col("norm"))
+    order = W.partitionBy(*keys).orderBy((-cosine).alias("distance"), "doc_id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    rows = lambda df: sorted(tuple(x) for x in df.select(*keys, "rank", "doc_id", "table").collect())
+    assert rows(got) == rows(want)
+    early, _, _ = nearest.rounds(asked.where("norm > 0"), keys, index, ["table"], 5)
+    plan = nearest._meet(early, keys, index, ["table"], 5)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "transform(docs" not in plan
+
+
 def test_category_matrix_takes_any_model(spark):
     rows = spark.createDataFrame([("a", "new/model-x", 1), ("a", "other/model-x", 0)], "category string, model string, correct_behavior int")
     assert {(r["model"], r["correct_pct"]) for r in E.category_matrix(rows).collect()} == {("new/model-x", 100.0), ("other/model-x", 0.0)}
