@@ -41,6 +41,8 @@ UPPER, DIGITS, PUNCTUATION, BEYOND = "[A-Z]+", "[0-9]+", "[!-/:-@\\[-`{-~]+", "[
 SYMBOLS = "[#*$%&|<>]+"
 #: Windows are first compared by 44 hash bits packed over 20 bits of position.
 POSITION_BITS = 20
+#: A word whose hash has none of the common words' slots is none of them.
+SLOTS = 1024
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -83,37 +85,41 @@ def _repeated_by_text(tokens: Column, starts: Column) -> Column:
         F.transform(order, lambda x: F.substring(x, 1, F.length(x) - 11)), lambda body: repeated(order, body)))
 
 
-def _repeated(tokens: Column, hashes: Column) -> Column:
-    """The same by sorting hashes packed with positions. Neighbours of equal
-    hash are compared word by word; if such a pair differs, or the positions
-    don't fit, the texts are sorted instead, so the result is exact."""
+def _repeated(tokens: Column, packed: Column) -> Column:
+    """The same by sorting hashes packed with positions. Only what has a
+    neighbour of equal hash goes on; such neighbours are compared word by word;
+    if a pair differs, or the positions don't fit, the texts are sorted instead,
+    so the result is exact."""
     low = (1 << POSITION_BITS) - 1
-    packed = F.transform(hashes, lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long")))
+
+    def hash_of(x: Column) -> Column:
+        return F.shiftright(x, POSITION_BITS)
+
+    def shared(every: Column) -> Column:
+        """Runs of equal hashes; windows of a hash of their own are left out."""
+        return F.filter(every, lambda x, i: (hash_of(x) == hash_of(F.get(every, i + 1))) | (hash_of(x) == hash_of(F.get(every, i - 1))))
 
     def pair(x: Column, y: Column) -> Column:
         """0: other windows, 1: equal, 2: equal hashes of other windows."""
         a, b = x.bitwiseAND(F.lit(low)).cast("int"), y.bitwiseAND(F.lit(low)).cast("int")
         equal = (F.get(tokens, a) == F.get(tokens, b)) & (F.get(tokens, a + 1) == F.get(tokens, b + 1)) & (F.get(tokens, a + 2) == F.get(tokens, b + 2))
-        return F.when(y.isNull() | (F.shiftright(x, POSITION_BITS) != F.shiftright(y, POSITION_BITS)), 0).when(equal, 1).otherwise(2)
+        return F.when(y.isNull() | (hash_of(x) != hash_of(y)), 0).when(equal, 1).otherwise(2)
 
-    def positions(order: Column, next_: Column) -> Column:
-        hit = F.transform(order, lambda x, i: F.when((F.get(next_, i) == 1) | (F.get(next_, i - 1) == 1), x.bitwiseAND(F.lit(low)).cast("int")))
-        return F.sort_array(F.filter(hit, lambda p: p.isNotNull()))
+    def positions(order: Column) -> Column:
+        return F.sort_array(F.transform(order, lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
 
-    starts = F.transform(hashes, lambda _, i: i)
-    exact = let(F.sort_array(packed), lambda order: let(
-        F.transform(order, lambda x, i: pair(x, F.get(order, i + 1))),
-        lambda next_: F.when(F.array_contains(next_, 2), _repeated_by_text(tokens, starts)).otherwise(positions(order, next_))))
-    return F.when(F.size(hashes) <= low, exact).otherwise(_repeated_by_text(tokens, starts))
+    by_text = _repeated_by_text(tokens, F.sequence(F.lit(0), F.size(tokens) - 3))
+    exact = let(F.sort_array(packed), lambda every: let(shared(every), lambda order: F.when(
+        F.exists(F.transform(order, lambda x, i: pair(x, F.get(order, i + 1))), lambda p: p == 2), by_text).otherwise(positions(order))))
+    return F.when(F.size(tokens) <= low, exact).otherwise(by_text)
 
 
 def repeated_words(tokens: Column) -> Column:
     """Words inside 3-word windows that occur twice or more: n log n in the
-    words of a document that repeats any, linear in others."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - 3)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
-    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(_repeated(tokens, h), _covered)))
-    return F.when(F.size(tokens) < 3, 0).otherwise(counted).cast("long")
+    words of a document, of small steps for windows that occur once."""
+    packed = F.transform(F.slice(tokens, 1, F.size(tokens) - 2), lambda w, i: F.shiftleft(
+        F.xxhash64(w, F.get(tokens, i + 1), F.get(tokens, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))
+    return F.when(F.size(tokens) < 3, 0).otherwise(let(_repeated(tokens, packed), _covered)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -121,9 +127,19 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def counts_of(tokens: Column, common: Column) -> Column:
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def slots_of(common: Column) -> Column:
+    """Which slots the words ``common`` have, as an array of booleans."""
+    return let(F.transform(common, _slot), lambda taken: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_contains(taken, i)))
+
+
+def counts_of(tokens: Column, common: Column, slots: Column | None = None) -> Column:
     """How often each of the distinct words ``common`` is in ``tokens``: the
-    others are left out, the rest is sorted and its runs are counted."""
+    others are left out, the rest is sorted and its runs are counted. With
+    ``slots`` (``slots_of(common)``) most others are not compared with each."""
 
     def counts(order: Column) -> Column:
         last = F.filter(F.transform(order, lambda w, i: F.when(
@@ -131,7 +147,10 @@ def counts_of(tokens: Column, common: Column) -> Column:
         return let(last, lambda e: F.map_from_entries(F.transform(e, lambda x, i: F.struct(
             x["w"], (x["upto"] - F.coalesce(F.get(e, i - 1)["upto"], F.lit(0))).cast("long")))))
 
-    found = let(F.sort_array(F.filter(tokens, lambda w: F.array_contains(common, w))), counts)
+    def is_common(w: Column) -> Column:
+        return F.array_contains(common, w) if slots is None else F.get(slots, _slot(w)) & F.array_contains(common, w)
+
+    found = let(F.sort_array(F.filter(tokens, is_common)), counts)
     return let(found, lambda m: F.transform(common, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long"))))
 
 
@@ -157,11 +176,12 @@ def document_profiles(docs: DataFrame, common: DataFrame, limits: Limits = Limit
     the class counts and the counts of its language's common words."""
     text = text_of(docs)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), text.alias("text"))
+    common = common.withColumn("slots", slots_of(F.col("common")))  # once a language
     own = own.join(common, own["lang"].eqNullSafe(common["of"]), "left").drop("of")
     text = F.col("text")
     per_word = let(words(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"),
-        F.when(F.col("common").isNotNull(), counts_of(w, F.col("common"))).alias("common_counts")))
+        F.when(F.col("common").isNotNull(), counts_of(w, F.col("common"), F.col("slots"))).alias("common_counts")))
     return own.select("doc_id", "lang", F.length(text).cast("long").alias("size"), class_counts(text).alias("c"),
                       duplicate_lines(text).alias("n_dup_lines"), per_word.alias("w"), "common_shares"
                       ).select("doc_id", "lang", "size", "c.*", "n_dup_lines", "w.*", "common_shares")
