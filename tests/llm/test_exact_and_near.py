@@ -120,6 +120,35 @@ def test_overlong_postings_give_the_same_components(spark):
         assert {v: found.get(v, v) for v in signed} == want
 
 
+def broadcast_parts(df):
+    """What the plan of ``df`` has below each broadcast."""
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"\w", x)]
+    depth = [re.search(r"\w", x).start() for x in lines]
+    parts = []
+    for i in range(len(lines)):
+        if "BroadcastExchange" in lines[i]:
+            parts.append("\n".join(lines[j] for j in itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))))
+    return parts
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the 56 or 2,081 rows that each of these becomes for one."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(100)}
+    signed = sorted(simhash._signed(v) for v in values)
+    fps = simhash.stage(spark.createDataFrame([(v,) for v in signed], "fp long"), "test")
+    pairs = [(a, b) for a, b in itertools.combinations(signed, 2) if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3]
+    want = components(pairs, signed)
+    monkeypatch.setattr(simhash, "FEW_MEMBERS", 0, raising=False)
+    for most in (256, 2):
+        links = simhash.links(fps, max_posting=most)
+        planned = broadcast_parts(links)
+        rows = [tuple(r) for r in links.collect()]
+        assert not [x for x in planned + broadcast_parts(links) if "Generate" in x]  # as planned, and as run
+        assert components(rows, signed) == want
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(make):
     text = " ".join(f"w{i} x{i * 7 % 13}" for i in range(300))
     docs = make([(3, text), (1, text + " tail"), (2, "other words entirely here " * 3), (2, "other words entirely here " * 3)])

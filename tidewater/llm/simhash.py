@@ -17,6 +17,10 @@ itself under all values within 1 and within 2 bits; whatever is within 2 bits
 of a value links to the smallest fingerprint within 1 bit of it. Two
 fingerprints within 3 bits always meet at such a value, and all links made this
 way are within 3 bits, so the components are the same.
+
+Spark sizes a table after an explode as one row for each row before it, here up
+to 2,081 times too low, and would broadcast it. Each join over such rows says how
+it is done: as a merge join, unless the counted rows are few.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 POSITIONS = 8
+#: Values within 1 bit of so many members of overlong postings are broadcast.
+FEW_MEMBERS = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -99,6 +105,7 @@ def _star_links(heavy: DataFrame, max_bits: int) -> DataFrame:
     masks = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("n")) for m, n in _near_values(outer)]))
     posted = heavy.select("fp", masks.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m.mask")).alias("at"), F.col("m.n").alias("n"))
     centres = posted.where(F.col("n") <= inner).groupBy("at").agg(F.min("fp").alias("centre"))
+    centres = centres.hint("broadcast" if heavy.count() <= FEW_MEMBERS else "merge")
     return posted.join(centres, "at").where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
 
 
@@ -114,7 +121,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_posting: int = 256) -> D
     left = light.select("bits", "upto", "key", F.col("fp").alias("a"))
     right = light.select("bits", "key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (left.join(right, ["bits", "key"]).where("a < b")
+    pairs = (left.join(right.hint("merge"), ["bits", "key"]).where("a < b")
              .withColumn("shared", shared_positions(x))
              .where(F.col("shared").bitwiseAND(F.col("upto")) == F.col("bits"))  # once a pair
              .where(F.bit_count("shared") >= need)
@@ -147,7 +154,7 @@ def _components(marked: DataFrame, max_bits: int = MAX_BITS, max_posting: int =
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(roots, "root").select("fp", "component_id", "root")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id", "root")  # repeated rows make small files of any number
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
