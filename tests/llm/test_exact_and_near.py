@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import corpus_pipeline
 import xxhash
 from pyspark.sql import functions as F
 
@@ -149,6 +150,22 @@ def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
         assert components(rows, signed) == want
 
 
+def test_near_stage_broadcasts_no_rows_of_unknown_number(make, monkeypatch):
+    """What the pipeline's near stage writes is planned without a broadcast of exploded rows or of the fingerprints of all rows."""
+    seen, stage = [], simhash.stage
+
+    def recorded(df, name):
+        seen.extend(broadcast_parts(df))
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash, "stage", recorded)
+    monkeypatch.setattr(graph, "stage", recorded)
+    text = " ".join(f"w{i} x{i * 7 % 13}" for i in range(300))
+    docs = make([(3, text), (1, text + " tail"), (2, "other words entirely here " * 3)]).select(corpus_pipeline.COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near(docs.sparkSession, docs, "").collect()) == [1, 2]
+    assert not [x for x in seen if "Generate" in x or re.search(r"parquet \[doc_id#\d+L,fp#\d+L\]", x)]
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(make):
     text = " ".join(f"w{i} x{i * 7 % 13}" for i in range(300))
     docs = make([(3, text), (1, text + " tail"), (2, "other words entirely here " * 3), (2, "other words entirely here " * 3)])
